@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,19 +24,21 @@ def chunk_documents(
     documents: DataFrame,
     chunk_size: int = Settings.chunk_size,
     chunk_overlap: int = Settings.chunk_overlap,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """``document_id, text, metadata`` to ``document_id, chunk_index, chunk_text, metadata``.
 
     A narrow transformation: no shuffle and no Python worker. Blank documents give no row.
-    Other input columns are dropped.
+    Other input columns are dropped unless named in ``carry``.
     """
     return documents.select(
+        *carry,
         F.col("document_id").cast("string").alias("document_id"),
         coerce_metadata(F.col("metadata")).alias("metadata"),
         F.posexplode(chunk_text(F.col("text"), chunk_size, chunk_overlap)).alias(
             "chunk_index", "chunk_text"
         ),
-    ).select("document_id", "chunk_index", "chunk_text", "metadata")
+    ).select("document_id", "chunk_index", "chunk_text", "metadata", *carry)
 
 
 def chunk_tallies(

@@ -138,23 +138,32 @@ def metric_report(means: DataFrame) -> DataFrame:
     )
 
 
+# Fixed values of the token-overlap judge.
+STATEMENT_PATTERN = r"[^.!?\n]+"
+PUNCTUATION = ".,;:!?"
+
+
+def _words(text: Column) -> Column:
+    """Distinct lower-case tokens without punctuation."""
+    bare = F.translate(F.lower(text), PUNCTUATION, " " * len(PUNCTUATION))
+    return F.array_distinct(tokens(bare))
+
+
 def statement_verdicts(
     samples: DataFrame, text: str, key: str = "sample_id", support: float = 0.5
 ) -> DataFrame:
-    """Statements of ``text``, 1 when ``support`` of their distinct tokens are in ``contexts``.
+    """Statements of ``text``, 1 when ``support`` of their distinct words are in ``contexts``.
 
     Stays within the row: a sample's contexts are bounded by its top-k.
     """
-    words = F.array_distinct(F.flatten(F.transform("contexts", lambda c: tokens(F.lower(c)))))
-    statements = F.split(F.col(text), r"(?<=[.!?])\s+|\n+")
+    statements = F.regexp_extract_all(
+        F.coalesce(text, F.lit("")), F.lit(STATEMENT_PATTERN), F.lit(0)
+    )
     rows = samples.select(
-        key, words.alias("known"), F.posexplode(statements).alias("statement_no", "statement")
-    ).select(
         key,
-        "statement_no",
-        "known",
-        F.array_distinct(tokens(F.lower("statement"))).alias("said"),
-    )
+        F.flatten(F.transform("contexts", _words)).alias("known"),
+        F.posexplode(statements).alias("statement_no", "statement"),
+    ).select(key, "statement_no", "known", _words(F.col("statement")).alias("said"))
     return rows.where(F.size("said") > 0).select(
         key,
         "statement_no",
@@ -168,12 +177,13 @@ def context_verdicts(
     samples: DataFrame, reference: str = "ground_truth", key: str = "sample_id",
     support: float = 0.1,
 ) -> DataFrame:
-    """Contexts in rank order, 1 when they hold ``support`` of the reference's tokens."""
-    wanted = F.array_distinct(tokens(F.lower(reference)))
+    """Contexts in rank order, 1 when they hold ``support`` of the reference's words."""
     rows = samples.select(
-        key, wanted.alias("wanted"), F.posexplode("contexts").alias("place", "context")
+        key,
+        _words(F.coalesce(reference, F.lit(""))).alias("wanted"),
+        F.posexplode("contexts").alias("place", "context"),
     )
-    shared = F.size(F.array_intersect("wanted", tokens(F.lower("context"))))
+    shared = F.size(F.array_intersect("wanted", _words(F.col("context"))))
     return rows.select(
         key,
         (F.col("place") + 1).alias("rank"),

@@ -189,6 +189,7 @@ class Collection:
             "chunk_id",
             F.col("batch").desc(),
             F.col(_SEQUENCE).desc(),
+            F.col("payload")["chunk_text"].desc(),
         )
         live = newest.where(F.col("deleted") == 0).select(*POINT_COLUMNS)
         if base is None:

@@ -31,21 +31,19 @@ def gather_sources(hits: DataFrame, key: str = "query_id") -> DataFrame:
 
     Groups hold at most ``top_k`` hits.
     """
-    source = F.struct("rank", F.col("chunk_id").alias("id"), "score", "chunk_text", "metadata_json")
-    ranked = (
-        hits.withColumn("metadata_json", F.to_json("metadata"))
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(source)).alias("ranked"))
+    source = F.struct("rank", "chunk_id", "score", "chunk_text", "metadata")
+    ranked = hits.groupBy(key).agg(
+        F.array_sort(F.collect_list(source), lambda a, b: a["rank"] - b["rank"]).alias("ranked")
     )
     return ranked.select(
         key,
         F.transform(
             "ranked",
             lambda s: F.struct(
-                s["id"].alias("id"),
+                s["chunk_id"].alias("id"),
                 s["score"].alias("score"),
                 s["chunk_text"].alias("chunk_text"),
-                F.from_json(s["metadata_json"], "map<string,string>").alias("metadata"),
+                s["metadata"].alias("metadata"),
             ),
         ).alias("sources"),
         F.transform("ranked", lambda s: s["chunk_text"]).alias("contexts"),
@@ -55,9 +53,12 @@ def gather_sources(hits: DataFrame, key: str = "query_id") -> DataFrame:
 
 def ground(questions: DataFrame, gathered: DataFrame, key: str = "query_id") -> DataFrame:
     """Every question with its sources and ``prompt``; the prompt is null without sources."""
-    joined = questions.join(gathered, key, "left")
+    joined = questions.join(gathered, key, "left").withColumn(
+        "contexts", F.coalesce("contexts", F.array().cast("array<string>"))
+    )
     return joined.withColumn("n_contexts", F.coalesce("n_contexts", F.lit(0))).withColumn(
-        "prompt", grounded_prompt(F.col("query"), F.col("contexts"))
+        "prompt",
+        F.when(F.size("contexts") > 0, grounded_prompt(F.col("query"), F.col("contexts"))),
     )
 
 

@@ -37,11 +37,20 @@ def points_of_requests(
     chunk_size: int = Settings.chunk_size,
     chunk_overlap: int = Settings.chunk_overlap,
     request_key: str | None = None,
+    order: str | None = None,
 ) -> DataFrame:
-    """Points ``chunk_id, vector, payload`` of valid requests. No shuffle."""
+    """Points ``chunk_id, vector, payload`` of valid requests. No shuffle.
+
+    ``order`` is a column of the requests to keep, which tells the later of two requests for
+    the same document.
+    """
+    carry = [order] if order else []
     accepted, _ = split_requests(requests, text="text", top_k=None)
-    chunks = chunk_documents(with_document_id(accepted, request_key), chunk_size, chunk_overlap)
+    chunks = chunk_documents(
+        with_document_id(accepted, request_key), chunk_size, chunk_overlap, carry
+    )
     return chunks.select(
+        *carry,
         chunk_id(F.col("document_id"), F.col("chunk_index")).alias("chunk_id"),
         embed(F.col("chunk_text")).alias("vector"),
         request_payload(

@@ -27,6 +27,7 @@ def ingest_stream(
     chunk_size: int = Settings.chunk_size,
     chunk_overlap: int = Settings.chunk_overlap,
     request_key: str | None = None,
+    order: str | None = None,
     first_batch: int = 0,
     trigger: dict[str, object] | None = None,
 ) -> StreamingQuery:
@@ -34,12 +35,15 @@ def ingest_stream(
 
     Chunking and embedding are stateless and run on the stream; each micro-batch is stored
     under its own number, so a batch that is run again replaces itself. ``first_batch`` shifts
-    the numbers past those already in the collection.
+    the numbers past those already in the collection. ``order`` is a request column that tells
+    the later of two requests for one document within a batch.
     """
-    points = points_of_requests(requests, embed, chunk_size, chunk_overlap, request_key)
+    points = points_of_requests(
+        requests, embed, chunk_size, chunk_overlap, request_key, order
+    )
 
     def store(batch: DataFrame, number: int) -> None:
-        collection.write_batch(first_batch + number, batch)
+        collection.write_batch(first_batch + number, batch, order)
 
     return (
         points.writeStream.foreachBatch(store)
