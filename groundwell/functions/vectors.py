@@ -10,10 +10,11 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from groundwell.functions.binding import let
+from groundwell.session import ship_package
 
 Embedder = Callable[[Column], Column]
 
@@ -79,6 +80,9 @@ def model_embedder(
     The model is loaded once per Python worker and fed Arrow batches in slices of
     ``batch_size`` texts.
     """
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        ship_package(session)
 
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
