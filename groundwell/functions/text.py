@@ -8,13 +8,31 @@ from pyspark.sql import functions as F
 from groundwell.functions.binding import let
 from groundwell.settings import Settings
 
-# Fixed value: a token is a run of characters outside the Unicode white space set.
-# Java's \S knows only ASCII white space, so the set is spelled out.
-TOKEN_PATTERN = (
-    r"[^\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+# First and last code point of each run of Unicode white space. A token is a run
+# of anything else. Java's \s knows only ASCII white space, so the set is spelled out.
+WHITE_SPACE = (
+    (0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680),
+    (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000),
 )
 
 
+def _token_pattern() -> str:
+    """A class of the ranges between white space, with the common ones in front.
+
+    The matcher tries the parts of a nested class in order, so most characters pass at the
+    first range; a negated class would try all ranges for every character.
+    """
+    edges = [(-1, -1), *WHITE_SPACE, (0x110000, 0x110000)]
+    between = [(left[1] + 1, right[0] - 1) for left, right in zip(edges, edges[1:])]
+    ranges = [rf"\x{{{first:x}}}-\x{{{last:x}}}" for first, last in between if first <= last]
+    ascii_and_latin = [r for r, (first, _) in zip(ranges, between) if first in (0x21, 0xA1)]
+    others = [r for r in ranges if r not in ascii_and_latin]
+    return f"[{ascii_and_latin[0]}[{ascii_and_latin[1]}[{''.join(others)}]]]+"
+
+
+TOKEN_PATTERN = _token_pattern()
+
+
 def check_window(chunk_size: int, chunk_overlap: int) -> int:
     """Validate the window when the plan is built; returns the step between windows."""
     if chunk_size <= 0:

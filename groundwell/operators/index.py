@@ -163,6 +163,18 @@ class Collection:
             ),
         )
 
+    def load(self, points: DataFrame) -> None:
+        """Fill an empty collection with points whose ids are unique.
+
+        They become the base, which readers take as it is: no batch has to be ranked.
+        """
+        for part in ("base", "changes"):
+            if _has_data(self.spark, f"{self.root}/{part}"):
+                raise ValueError(f"collection {self.root} is not empty")
+        check_dimension(points, self.dimension).select(*POINT_COLUMNS).write.parquet(
+            f"{self.root}/base"
+        )
+
     def delete_batch(self, batch: int, ids: DataFrame) -> None:
         """Store deletions of the ids in ``ids.chunk_id`` as batch ``batch``."""
         gone = ids.select(

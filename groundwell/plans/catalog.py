@@ -66,21 +66,21 @@ def tokenize_stats(spark: SparkSession, folder: str) -> DataFrame:
             F.array_max(F.transform(t, F.length)).alias("longest"),
         ),
     )
-    return tables.table(spark, folder, "documents").select(
+    return tables.spread_table(spark, folder, "documents").select(
         "doc_id", figures.alias("figures")
     ).select("doc_id", "figures.*")
 
 
 @_query
 def token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return tables.table(spark, folder, "documents").select(
+    return tables.spread_table(spark, folder, "documents").select(
         "doc_id", count_tokens(F.col("text")).alias("n_tokens")
     )
 
 
 @_query
 def chunk_arrays(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = tables.table(spark, folder, "documents").select(
+    chunks = tables.spread_table(spark, folder, "documents").select(
         "doc_id", chunk_text(F.col("text"), *SMALL_WINDOW).alias("chunks")
     )
     return chunks.select(
@@ -403,8 +403,16 @@ def rag_fallback(spark: SparkSession, folder: str) -> DataFrame:
     return answered.select("query_id", "query", "n_contexts", "answer", "prompt")
 
 
+def _run_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def _text_points(spark: SparkSession, folder: str) -> DataFrame:
-    return ingest.points_of_requests(tables.documents(spark, folder), embed_text)
+    """The documents as a stored index: searched by its vectors, then read for the winners'
+    text, so chunks are made and embedded once."""
+    collection = index.Collection.create(spark, _run_folder(spark, "index"), TEXT_WIDTH)
+    collection.load(ingest.points_of_requests(tables.documents(spark, folder), embed_text))
+    return collection.points()
 
 
 @_query
@@ -609,10 +617,6 @@ def index_audit(spark: SparkSession, folder: str) -> DataFrame:
     return index.audit(tables.vector_points(spark, folder), VECTOR_WIDTH)
 
 
-def _run_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @_query
 def index_lifecycle(spark: SparkSession, folder: str) -> DataFrame:
     """A stored collection: ingest, re-ingest shorter, delete, compact, re-ingest, read."""
@@ -678,11 +682,12 @@ def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def stream_retrieval(spark: SparkSession, folder: str) -> DataFrame:
     root = _run_folder(spark, "stream")
+    points = _text_points(spark, folder)
     requests = _stream_of(spark, folder, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query")
     )
     retrieval_stream(
-        requests, lambda: _text_points(spark, folder), embed_text,
+        requests, lambda: points, embed_text,
         f"{root}/hits", f"{root}/state",
     ).awaitTermination()
     return spark.read.parquet(f"{root}/hits").select(

@@ -136,12 +136,16 @@ def chunks_per_source(
     chunk_size: int = Settings.chunk_size,
     chunk_overlap: int = Settings.chunk_overlap,
 ) -> DataFrame:
-    """Number of chunks per source, from token counts and not from built chunks."""
+    """Number of chunks per source, from token counts and not from built chunks.
+
+    Sources without chunks are dropped after the sum; a filter before it would be pushed to
+    the scan and count the tokens once more.
+    """
     return (
         chunk_tallies(documents, chunk_size, chunk_overlap)
-        .where(F.col("n_chunks") > 0)
         .groupBy(source)
         .agg(F.sum("n_chunks").alias("n_chunks"))
+        .where(F.col("n_chunks") > 0)
     )
 
 

@@ -7,13 +7,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Below this many bytes per core Spark makes fewer splits than there are cores.
+SPREAD_BYTES = 4 * 1024 * 1024
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose rows are costly to work on.
+
+    One that is too small for a split per core, by its size on disk, is dealt out to all
+    cores; any other is read in its own splits, without a shuffle.
+    """
+    frame = table(spark, folder, name)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    cores = spark.sparkContext.defaultParallelism
+    if system.getContentSummary(path).getLength() < cores * SPREAD_BYTES:
+        return frame.repartition(cores)
+    return frame
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """``document_id, text, metadata, lang, source``."""
-    return table(spark, folder, "documents").select(
+    return spread_table(spark, folder, "documents").select(
         F.col("doc_id").cast("string").alias("document_id"),
         "text",
         F.create_map(
