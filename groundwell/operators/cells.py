@@ -70,6 +70,16 @@ class Cells:
         )
 
 
+def store_cells(placed: DataFrame, path: str) -> DataFrame:
+    """Write points with their cells so that a search reads only the cells it visits.
+
+    Rows of a cell are brought together first, and a cell much larger than the others is
+    written by several tasks.
+    """
+    placed.hint("rebalance", "cell").write.partitionBy("cell").parquet(path)
+    return placed.sparkSession.read.schema(placed.schema).parquet(path)
+
+
 def search_cells(
     cells: Cells,
     points: DataFrame,
@@ -95,12 +105,21 @@ def search_cells(
         F.col(point_id).alias("point_id"), F.col(vector).alias("vector"),
         F.col("cell").alias("part"),
     )
-    # At most one radius per cell, whatever the number of points.
-    radii = dict.fromkeys(range(cells.n_cells), 0.0)
-    if exact:
-        for row in points.groupBy("cell").agg(F.max("angle").alias("radius")).collect():
-            radii[row["cell"]] = row["radius"]
-    bounds = _cell_bounds(cells.centers, np.array([radii[i] for i in range(cells.n_cells)]))
+    # At most one row per cell, whatever the number of points.
+    figures = points.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"),
+        *([F.max("angle").alias("radius")] if exact else []),
+    ).collect()
+    radii = np.zeros(cells.n_cells)
+    for row in figures if exact else ():
+        radii[row["cell"]] = row["radius"]
+    bounds = _cell_bounds(cells.centers, radii)
+    cuts = F.broadcast(
+        points.sparkSession.createDataFrame(
+            [(r["cell"], math.ceil(r["n"] / block_rows)) for r in figures if r["n"] > block_rows],
+            "part INT, stored_blocks INT",
+        )
+    )
     requests = queries.select(
         F.col(query_id).alias("query_id"), F.col(vector).alias("vector"),
         F.lit(top_k).alias("top_k"), bounds(F.col(vector)).alias("visits"),
@@ -114,7 +133,9 @@ def search_cells(
     def candidates(visits: DataFrame) -> DataFrame:
         # At most one row per cell, so stored cells that nobody visits are not read.
         visited = F.broadcast(visits.select("part").distinct())
-        return score_in_blocks(stored.join(visited, "part", "left_semi"), visits, block_rows)
+        return score_in_blocks(
+            stored.join(visited, "part", "left_semi"), visits, block_rows, cuts
+        )
 
     near = candidates(visiting(requests, F.slice("visits", 1, n_probe)))
     if not exact:

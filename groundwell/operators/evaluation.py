@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groundwell.functions.binding import let
 from groundwell.functions.text import tokens
 from groundwell.functions.vectors import cosine
 from groundwell.operators.running import running_sum
@@ -154,23 +155,18 @@ def statement_verdicts(
 ) -> DataFrame:
     """Statements of ``text``, 1 when ``support`` of their distinct words are in ``contexts``.
 
-    Stays within the row: a sample's contexts are bounded by its top-k.
+    Statements without words are left out. Stays within the row: a sample's contexts are
+    bounded by its top-k.
     """
     statements = F.regexp_extract_all(
         F.coalesce(text, F.lit("")), F.lit(STATEMENT_PATTERN), F.lit(0)
     )
-    rows = samples.select(
-        key,
-        F.flatten(F.transform("contexts", _words)).alias("known"),
-        F.posexplode(statements).alias("statement_no", "statement"),
-    ).select(key, "statement_no", "known", _words(F.col("statement")).alias("said"))
-    return rows.where(F.size("said") > 0).select(
-        key,
-        "statement_no",
-        (F.size(F.array_intersect("said", "known")) >= support * F.size("said"))
-        .cast("int")
-        .alias("verdict"),
+    said = F.filter(F.transform(statements, _words), lambda words: F.size(words) > 0)
+    verdicts = let(
+        F.flatten(F.transform("contexts", _words)),
+        lambda known: F.transform(said, lambda words: _holds(words, known, support)),
     )
+    return samples.select(key, F.posexplode(verdicts).alias("statement_no", "verdict"))
 
 
 def context_verdicts(
@@ -178,16 +174,19 @@ def context_verdicts(
     support: float = 0.1,
 ) -> DataFrame:
     """Contexts in rank order, 1 when they hold ``support`` of the reference's words."""
-    rows = samples.select(
-        key,
-        _words(F.coalesce(reference, F.lit(""))).alias("wanted"),
-        F.posexplode("contexts").alias("place", "context"),
+    verdicts = let(
+        _words(F.coalesce(reference, F.lit(""))),
+        lambda wanted: F.transform(
+            "contexts",
+            lambda context: F.when(F.size(wanted) == 0, 0).otherwise(
+                _holds(wanted, _words(context), support)
+            ),
+        ),
     )
-    shared = F.size(F.array_intersect("wanted", _words(F.col("context"))))
-    return rows.select(
-        key,
-        (F.col("place") + 1).alias("rank"),
-        ((F.size("wanted") > 0) & (shared >= support * F.size("wanted")))
-        .cast("int")
-        .alias("verdict"),
+    return samples.select(key, F.posexplode(verdicts).alias("place", "verdict")).select(
+        key, (F.col("place") + 1).alias("rank"), "verdict"
     )
+
+
+def _holds(words: Column, known: Column, support: float) -> Column:
+    return (F.size(F.array_intersect(words, known)) >= support * F.size(words)).cast("int")

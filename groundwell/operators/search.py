@@ -272,18 +272,23 @@ def _score_in_place(stored: DataFrame, small: pa.Table, query_type: DataType) ->
 
 
 def score_in_blocks(
-    stored: DataFrame, requests: DataFrame, block_rows: int = BLOCK_ROWS
+    stored: DataFrame,
+    requests: DataFrame,
+    block_rows: int = BLOCK_ROWS,
+    stored_cuts: DataFrame | None = None,
 ) -> DataFrame:
     """Top-k candidates of ``requests`` in ``stored`` rows of the same ``part``.
 
     Parts above ``block_rows`` rows are cut in blocks on either side. Each pair of blocks of a
     part is one group, of at most about ``block_rows`` rows a side, and yields at most
-    ``top_k`` rows per query.
+    ``top_k`` rows per query. ``stored_cuts`` are the ``part, stored_blocks`` of the large
+    parts of ``stored`` where they are known already.
     """
     schema = _candidate_schema(
         requests.schema["query_id"].dataType, stored.schema["point_id"].dataType
     )
-    stored_cuts = _large_parts(stored, "stored_blocks", block_rows)
+    if stored_cuts is None:
+        stored_cuts = _large_parts(stored, "stored_blocks", block_rows)
     request_cuts = _large_parts(requests, "request_blocks", block_rows)
 
     def cut(side: DataFrame, own: str, other: str, row_id: str) -> DataFrame:

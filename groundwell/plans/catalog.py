@@ -21,7 +21,7 @@ from groundwell.functions.prompts import generation_request, grounded_prompt
 from groundwell.functions.text import chunk_text, count_tokens, tokens
 from groundwell.functions.vectors import hash_embedder, hash_embedding, l2_normalize
 from groundwell.operators import chunking, evaluation, index, search
-from groundwell.operators.cells import Cells, recall, search_cells
+from groundwell.operators.cells import Cells, recall, search_cells, store_cells
 from groundwell.operators.requests import with_reject_reason
 from groundwell.plans import evaluation as evaluation_plan
 from groundwell.plans import grounding, ingest, retrieval, tables
@@ -456,22 +456,28 @@ def rag_batch(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@_query
-def cell_search_exact(spark: SparkSession, folder: str) -> DataFrame:
+def _placed_points(spark: SparkSession, folder: str) -> tuple[Cells, DataFrame]:
     points = tables.vector_points(spark, folder)
     cells = Cells.fit(points, N_CELLS)
+    placed = cells.assign(points).select("chunk_id", "vector", "angle", "cell")
+    return cells, store_cells(placed, _run_folder(spark, "cells"))
+
+
+@_query
+def cell_search_exact(spark: SparkSession, folder: str) -> DataFrame:
+    cells, placed = _placed_points(spark, folder)
     return search_cells(
-        cells, cells.assign(points), tables.vector_queries(spark, folder), n_probe=4, exact=True
+        cells, placed, tables.vector_queries(spark, folder), n_probe=4, exact=True
     )
 
 
 @_query
 def cell_search_recall(spark: SparkSession, folder: str) -> DataFrame:
-    points = tables.vector_points(spark, folder)
     queries = tables.vector_queries(spark, folder)
-    cells = Cells.fit(points, N_CELLS)
-    found = search_cells(cells, cells.assign(points), queries, n_probe=4)
-    return recall(found, search.search(points, queries), "query_id", "chunk_id")
+    cells, placed = _placed_points(spark, folder)
+    found = search_cells(cells, placed, queries, n_probe=4)
+    exact = search.search(tables.vector_points(spark, folder), queries)
+    return recall(found, exact, "query_id", "chunk_id")
 
 
 # Prompts -------------------------------------------------------------------------------------

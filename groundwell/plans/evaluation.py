@@ -19,6 +19,7 @@ from groundwell.operators.evaluation import (
     share_scores,
     statement_verdicts,
 )
+from groundwell.settings import shared_folder
 
 
 def judge_samples(
@@ -26,9 +27,11 @@ def judge_samples(
 ) -> DataFrame:
     """``sample_id, metric, value`` by the token-overlap judge.
 
-    Answer relevancy takes the answer itself as the one question generated from it.
+    Answer relevancy takes the answer itself as the one question generated from it. Each
+    metric reads the samples, so they are written once to the shared folder.
     """
-    samples = complete_samples(samples)
+    shared_folder(samples.sparkSession)
+    samples = complete_samples(samples).checkpoint()
     by_name = {
         "faithfulness": lambda: share_scores(
             statement_verdicts(samples, "answer"), "faithfulness"

@@ -292,8 +292,14 @@ ORACLES: dict[str, str] = {
         join {_SMALL} b on b.document_id = a.document_id and b.chunk_index = a.chunk_index + 1""",
     "chunk_coverage_audit": f"""
         select doc_id::varchar as document_id, len(tk)::int as n_tokens,
-               ({_n_chunks('len(tk)', *SMALL_WINDOW)})::int as n_chunks, 0 as n_uncovered
-        from (select doc_id, {_tokens('text')} as tk from documents)""",
+               ({_n_chunks('len(tk)', *SMALL_WINDOW)})::int as n_chunks,
+               len(list_filter(list_distinct(tk),
+                               lambda x: not list_contains(coalesce(covered, []), x)))::int
+                 as n_uncovered
+        from (select doc_id, {_tokens('text')} as tk from documents)
+        left join (
+          select document_id, list_distinct(flatten(list({_tokens('chunk_text')}))) as covered
+          from {_SMALL} group by document_id) on document_id = doc_id::varchar""",
     "metadata_coerce": """
         select doc_id::varchar as document_id, case when lang = 'de' then 0 else 2 end as n_keys,
                case lang when 'de' then null when 'en' then 'None' else lang end as lang,
