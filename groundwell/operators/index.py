@@ -25,6 +25,7 @@ from pyspark.sql.types import (
 from pyspark.sql.window import Window
 
 from groundwell.functions.vectors import norm
+from groundwell.operators.sizes import broadcast_if_small
 
 POINT_SCHEMA = StructType(
     [
@@ -65,9 +66,10 @@ def upsert(
     changes of one batch is later. Without it ids must be unique within the batch. Points of
     a document that now has fewer chunks stay, as only given ids are touched.
     """
+    ids = broadcast_if_small(changes.select(key))
     if order is not None:
         changes = latest(changes, key, F.col(order).desc()).drop(order)
-    return points.join(changes.select(key), key, "left_anti").unionByName(changes)
+    return points.join(ids, key, "left_anti").unionByName(changes)
 
 
 def insert(points: DataFrame, rows: DataFrame) -> DataFrame:
@@ -77,7 +79,7 @@ def insert(points: DataFrame, rows: DataFrame) -> DataFrame:
 
 def delete(points: DataFrame, ids: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Remove by id. Unknown ids are no error."""
-    return points.join(ids.select(key), key, "left_anti")
+    return points.join(broadcast_if_small(ids.select(key)), key, "left_anti")
 
 
 def count(points: DataFrame) -> DataFrame:
@@ -187,8 +189,8 @@ class Collection:
         self._write(batch, gone)
 
     def points(self) -> DataFrame:
-        """Current points. The base is not shuffled while the changes are small enough for
-        the planner to broadcast their ids."""
+        """Current points. The base is not shuffled while the changed ids are few enough to
+        broadcast."""
         base = (
             self.spark.read.schema(POINT_SCHEMA).parquet(f"{self.root}/base")
             if _has_data(self.spark, f"{self.root}/base")
@@ -196,8 +198,9 @@ class Collection:
         )
         if not _has_data(self.spark, f"{self.root}/changes"):
             return base if base is not None else self.spark.createDataFrame([], POINT_SCHEMA)
+        changes = self.spark.read.schema(_CHANGE_SCHEMA).parquet(f"{self.root}/changes")
         newest = latest(
-            self.spark.read.schema(_CHANGE_SCHEMA).parquet(f"{self.root}/changes"),
+            changes,
             "chunk_id",
             F.col("batch").desc(),
             F.col(_SEQUENCE).desc(),
@@ -206,7 +209,8 @@ class Collection:
         live = newest.where(F.col("deleted") == 0).select(*POINT_COLUMNS)
         if base is None:
             return live
-        return base.join(newest.select("chunk_id"), "chunk_id", "left_anti").unionByName(live)
+        ids = broadcast_if_small(changes.select("chunk_id"))
+        return base.join(ids, "chunk_id", "left_anti").unionByName(live)
 
     def compact(self, root: str) -> Collection:
         """Write the current points as the base of a new collection at ``root``.

@@ -77,7 +77,7 @@ def block_candidates(
 class Shortlist:
     """Running top-k of a fixed set of queries over any number of blocks."""
 
-    def __init__(self, n_queries: int, top_k: np.ndarray) -> None:
+    def __init__(self, top_k: np.ndarray) -> None:
         self._top_k = top_k
         self._limit = max(200_000, 4 * int(top_k.sum()))
         self._size = 0

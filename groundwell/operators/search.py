@@ -32,15 +32,20 @@ from groundwell.operators.scoring import (
     as_matrix,
     as_values,
 )
+from groundwell.operators.sizes import broadcast_if_small
 from groundwell.session import ship_package
-from groundwell.settings import SEARCH_TOP_K_MAX, Settings
+from groundwell.settings import SEARCH_TOP_K_MAX, Settings, shared_folder
 
 # Queries up to these bounds are sent to every task; beyond them both sides are blocked.
-SMALL_QUERY_ROWS = 4096
+SMALL_QUERY_ROWS = 16_384
 SMALL_QUERY_BYTES = 64 * 1024 * 1024
 
-# Rows per block of the blocked search.
-BLOCK_ROWS = 32_768
+# Stored rows per block of the blocked search; blocks of queries are a quarter of it. Larger
+# blocks mean fewer copies of either side, and one pair of blocks must fit in a task.
+BLOCK_ROWS = 131_072
+
+# Rows of a block that are turned into a matrix at a time.
+_SLICE_ROWS = 16_384
 
 # Parts with more than one block that are broadcast as a list.
 MAX_LISTED_PARTS = 100_000
@@ -162,10 +167,15 @@ def with_payload(
 ) -> DataFrame:
     """Hits with ``chunk_text`` and ``metadata`` (the whole payload) of their points.
 
-    Text joins only the winners, so it takes no part in scoring or ranking.
+    Text joins only the winners, so it takes no part in scoring or ranking. The hits, at most
+    top-k per query, are written to the shared folder first: the search then runs once, and
+    their number tells whether they can be broadcast, so that the points are not shuffled.
     """
-    return hits.join(points.select(point_id, payload), point_id).select(
-        *[hits[c] for c in hits.columns],
+    shared_folder(points.sparkSession)
+    hits = hits.checkpoint()
+    joined = broadcast_if_small(hits).join(points.select(point_id, payload), point_id)
+    return joined.select(
+        *hits.columns,
         payload_text(F.col(payload)).alias("chunk_text"),
         F.col(payload).alias("metadata"),
     )
@@ -237,7 +247,7 @@ def _score_in_place(stored: DataFrame, small: pa.Table, query_type: DataType) ->
     vectors = as_matrix(small.column("vector"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Shortlist(len(top_k), top_k)
+        best = Shortlist(top_k)
         id_type = None
         for batch in batches:
             if batch.num_rows == 0:
@@ -279,9 +289,9 @@ def score_in_blocks(
 ) -> DataFrame:
     """Top-k candidates of ``requests`` in ``stored`` rows of the same ``part``.
 
-    Parts above ``block_rows`` rows are cut in blocks on either side. Each pair of blocks of a
-    part is one group, of at most about ``block_rows`` rows a side, and yields at most
-    ``top_k`` rows per query. ``stored_cuts`` are the ``part, stored_blocks`` of the large
+    Parts above ``block_rows`` rows (a quarter of it for requests) are cut in blocks. Each
+    pair of blocks of a part is one group of about that size and yields at most ``top_k`` rows
+    per query. ``stored_cuts`` are the ``part, stored_blocks`` of the large
     parts of ``stored`` where they are known already.
     """
     schema = _candidate_schema(
@@ -289,7 +299,7 @@ def score_in_blocks(
     )
     if stored_cuts is None:
         stored_cuts = _large_parts(stored, "stored_blocks", block_rows)
-    request_cuts = _large_parts(requests, "request_blocks", block_rows)
+    request_cuts = _large_parts(requests, "request_blocks", max(1, block_rows // 4))
 
     def cut(side: DataFrame, own: str, other: str, row_id: str) -> DataFrame:
         sized = side.join(stored_cuts, "part", "left").join(request_cuts, "part", "left")
@@ -318,13 +328,15 @@ def score_in_blocks(
         if points.num_rows == 0 or queries.num_rows == 0:
             return pa.schema(list(zip(names, types))).empty_table()
         top_k = queries.column("top_k").to_numpy()
-        best = Shortlist(len(top_k), top_k)
-        best.add(
-            as_matrix(queries.column("vector")),
-            np.arange(len(top_k)),
-            as_values(points.column("point_id")),
-            as_matrix(points.column("vector")),
-        )
+        best = Shortlist(top_k)
+        vectors, members = as_matrix(queries.column("vector")), np.arange(len(top_k))
+        for batch in points.to_batches(max_chunksize=_SLICE_ROWS):
+            best.add(
+                vectors,
+                members,
+                as_values(batch.column("point_id")),
+                as_matrix(batch.column("vector")),
+            )
         query, ids, value = best.rows()
         return pa.Table.from_arrays(
             [
