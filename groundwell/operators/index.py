@@ -24,6 +24,7 @@ from pyspark.sql.types import (
 )
 from pyspark.sql.window import Window
 
+from groundwell.functions.payload import TEXT_KEY
 from groundwell.functions.vectors import norm
 from groundwell.operators.sizes import broadcast_if_small
 
@@ -89,27 +90,26 @@ def count(points: DataFrame) -> DataFrame:
 
 def audit(
     points: DataFrame, dimension: int, key: str = "chunk_id", vector: str = "vector",
-    tolerance: float = 1e-3,
+    payload: str = "payload", tolerance: float = 1e-3,
 ) -> DataFrame:
-    """One row of health figures: rows, repeated ids, wrong widths, vectors not of length one.
+    """One row of health figures: rows, ids, vectors of another width or not of length one,
+    rows without text.
 
     Rows are counted per id first, so a hot id is folded before the shuffle.
     """
-    off_width = F.coalesce(F.size(vector), F.lit(-1)) != dimension
-    off_norm = F.coalesce(F.abs(norm(F.col(vector)) - 1) > tolerance, F.lit(True))
-    return (
-        points.groupBy(key)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(off_width).alias("off_width"),
-            F.count_if(off_norm).alias("off_norm"),
-        )
-        .agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("n_points"),
-            F.count(F.lit(1)).alias("n_ids"),
-            F.coalesce(F.sum("off_width"), F.lit(0)).alias("n_wrong_width"),
-            F.coalesce(F.sum("off_norm"), F.lit(0)).alias("n_not_unit"),
-        )
+    checks = {
+        "n_wrong_width": F.coalesce(F.size(vector), F.lit(-1)) != dimension,
+        "n_not_unit": F.coalesce(F.abs(norm(F.col(vector)) - 1) > tolerance, F.lit(True)),
+        "n_without_text": F.coalesce(F.col(payload)[TEXT_KEY], F.lit("")) == "",
+    }
+    per_id = points.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n_points"),
+        *[F.count_if(check).alias(name) for name, check in checks.items()],
+    )
+    return per_id.agg(
+        F.coalesce(F.sum("n_points"), F.lit(0)).alias("n_points"),
+        F.count(F.lit(1)).alias("n_ids"),
+        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in checks],
     )
 
 
@@ -204,7 +204,7 @@ class Collection:
             "chunk_id",
             F.col("batch").desc(),
             F.col(_SEQUENCE).desc(),
-            F.col("payload")["chunk_text"].desc(),
+            F.col("payload")[TEXT_KEY].desc(),
         )
         live = newest.where(F.col("deleted") == 0).select(*POINT_COLUMNS)
         if base is None:

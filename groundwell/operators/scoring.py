@@ -38,6 +38,13 @@ def as_values(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     )
 
 
+def place_in_group(groups: np.ndarray) -> np.ndarray:
+    """0, 1, 2, ... within each run of equal values of a sorted array."""
+    starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]]) if len(groups) else groups
+    sizes = np.diff(np.r_[starts, len(groups)])
+    return np.arange(len(groups)) - np.repeat(starts, sizes)
+
+
 def keep_best(
     query: np.ndarray, ids: np.ndarray, score: np.ndarray, top_k: np.ndarray
 ) -> np.ndarray:
@@ -45,10 +52,7 @@ def keep_best(
     _, id_rank = np.unique(ids, return_inverse=True)
     order = np.lexsort((id_rank, -score, query))
     ranked = query[order]
-    starts = np.r_[0, np.flatnonzero(np.diff(ranked)) + 1] if len(ranked) else np.array([], int)
-    sizes = np.diff(np.r_[starts, len(ranked)])
-    place = np.arange(len(ranked)) - np.repeat(starts, sizes)
-    return order[place < top_k[ranked]]
+    return order[place_in_group(ranked) < top_k[ranked]]
 
 
 def block_candidates(
@@ -56,8 +60,9 @@ def block_candidates(
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Best rows of a block for each query: ``(query position, row position, score)``.
 
-    ``vectors`` must be in id order: of rows with equal scores the first ones are kept. A
-    score that is not a number ranks last.
+    ``vectors`` must be in id order: of rows with equal scores the first ones are kept, and
+    copies of one vector, however many, are passed over without sorting them. A score that is
+    not a number ranks last.
     """
     n = len(vectors)
     step = max(1, _STEP_CELLS // max(1, n))
@@ -67,8 +72,13 @@ def block_candidates(
         score[np.isnan(score)] = -np.inf
         wanted = top_k[start:start + step]
         k = min(int(wanted.max()), n)
-        floor = np.partition(score, n - k, axis=1)[:, n - k]
-        query, row = np.nonzero(score >= floor[:, None])
+        floor = np.partition(score, n - k, axis=1)[:, n - k, None]
+        query, row = np.nonzero(score > floor)
+        open_places = k - np.bincount(query, minlength=len(score))
+        tied_query, tied_row = np.nonzero(score == floor)
+        first = place_in_group(tied_query) < open_places[tied_query]
+        query = np.r_[query, tied_query[first]]
+        row = np.r_[row, tied_row[first]]
         value = score[query, row]
         best = keep_best(query, row, value, wanted)
         yield query[best] + start, row[best], value[best]

@@ -90,7 +90,7 @@ def chunk_arrays(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = chunking.chunk_documents(tables.documents(spark, folder))
+    chunks = chunking.chunk_documents(tables.documents(spark, folder, spread=True))
     return chunks.select(
         "document_id",
         "chunk_index",
@@ -102,13 +102,15 @@ def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def chunk_documents_small(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = chunking.chunk_documents(tables.documents(spark, folder), *SMALL_WINDOW)
+    documents = tables.documents(spark, folder, spread=True)
+    chunks = chunking.chunk_documents(documents, *SMALL_WINDOW)
     return chunks.select("document_id", "chunk_index", "chunk_text")
 
 
 @_query
 def chunk_relational(spark: SparkSession, folder: str) -> DataFrame:
-    return chunking.chunk_documents_by_token(tables.documents(spark, folder), *SMALL_WINDOW)
+    documents = tables.documents(spark, folder, spread=True)
+    return chunking.chunk_documents_by_token(documents, *SMALL_WINDOW)
 
 
 @_query
@@ -123,13 +125,14 @@ def page_assembly(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def chunk_overlap_audit(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = chunking.chunk_documents(tables.documents(spark, folder), *SMALL_WINDOW)
+    documents = tables.documents(spark, folder, spread=True)
+    chunks = chunking.chunk_documents(documents, *SMALL_WINDOW)
     return chunking.overlap_audit(chunks, SMALL_WINDOW[1])
 
 
 @_query
 def chunk_coverage_audit(spark: SparkSession, folder: str) -> DataFrame:
-    return chunking.coverage_audit(tables.documents(spark, folder), *SMALL_WINDOW)
+    return chunking.coverage_audit(tables.documents(spark, folder, spread=True), *SMALL_WINDOW)
 
 
 # Identifiers and payloads --------------------------------------------------------------------
@@ -157,7 +160,8 @@ def metadata_coerce(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def chunk_ids(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = chunking.chunk_documents(tables.documents(spark, folder), *SMALL_WINDOW)
+    documents = tables.documents(spark, folder, spread=True)
+    chunks = chunking.chunk_documents(documents, *SMALL_WINDOW)
     return chunks.select(
         "document_id",
         "chunk_index",
@@ -196,7 +200,7 @@ def payload_merge(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("lang"), F.col("lang"),
         F.lit("document_id"), F.concat(F.lit("meta-"), F.col("document_id")),
     )
-    named = tables.documents(spark, folder).withColumn("metadata", metadata)
+    named = tables.documents(spark, folder, spread=True).withColumn("metadata", metadata)
     chunks = chunking.chunk_documents(named)
     merged = chunks.select(
         chunk_id(F.col("document_id"), F.col("chunk_index")).alias("chunk_id"),
@@ -411,7 +415,8 @@ def _text_points(spark: SparkSession, folder: str) -> DataFrame:
     """The documents as a stored index: searched by its vectors, then read for the winners'
     text, so chunks are made and embedded once."""
     collection = index.Collection.create(spark, _run_folder(spark, "index"), TEXT_WIDTH)
-    collection.load(ingest.points_of_requests(tables.documents(spark, folder), embed_text))
+    documents = tables.documents(spark, folder, spread=True)
+    collection.load(ingest.points_of_requests(documents, embed_text))
     return collection.points()
 
 
@@ -522,7 +527,7 @@ def validate_requests(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def ingest_requests(spark: SparkSession, folder: str) -> DataFrame:
-    requests = tables.documents(spark, folder).select(
+    requests = tables.documents(spark, folder, spread=True).select(
         F.col("document_id").alias("request"), "text", "metadata",
         _given_id().alias("document_id"),
     )
@@ -542,7 +547,7 @@ def ingest_requests(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def ingest_summary(spark: SparkSession, folder: str) -> DataFrame:
-    requests = tables.documents(spark, folder).select(
+    requests = tables.documents(spark, folder, spread=True).select(
         F.col("document_id").alias("request"), "text", _given_id().alias("document_id"),
     )
     summary = ingest.summarize_requests(requests, request_key="request")
@@ -551,12 +556,12 @@ def ingest_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def ingest_total(spark: SparkSession, folder: str) -> DataFrame:
-    return ingest.total_chunks(tables.documents(spark, folder))
+    return ingest.total_chunks(tables.documents(spark, folder, spread=True))
 
 
 @_query
 def chunks_per_source(spark: SparkSession, folder: str) -> DataFrame:
-    return ingest.chunks_per_source(tables.documents(spark, folder), "source")
+    return ingest.chunks_per_source(tables.documents(spark, folder, spread=True), "source")
 
 
 def _stored_texts(spark: SparkSession, folder: str) -> DataFrame:

@@ -205,7 +205,8 @@ _BLANKS = " " * len(PUNCTUATION)
 
 
 def _words(text: str) -> str:
-    return f"list_distinct({_tokens(f'translate(lower({text}), $${PUNCTUATION}$$, $${_BLANKS}$$)')})"
+    bare = f"translate(lower({text}), $${PUNCTUATION}$$, $${_BLANKS}$$)"
+    return f"list_distinct({_tokens(bare)})"
 
 
 def _statements(text: str) -> str:
@@ -433,7 +434,8 @@ ORACLES: dict[str, str] = {
         select count(*) as n_points, count(distinct vec_id) as n_ids,
                count(*) filter (where len(embedding) <> {VECTOR_WIDTH}) as n_wrong_width,
                count(*) filter (where abs(sqrt(list_dot_product(
-                 embedding::double[], embedding::double[])) - 1) > 0.001) as n_not_unit
+                 embedding::double[], embedding::double[])) - 1) > 0.001) as n_not_unit,
+               count(*) filter (where label % 2 <> 0) as n_without_text
         from embeddings""",
     "index_lifecycle": _LIFECYCLE,
     "stream_ingest": f"""
@@ -444,7 +446,8 @@ ORACLES: dict[str, str] = {
         select metric, round(value, 9) as value from {_LABEL_MEANS}
         where metric <> 'context_precision'""",
     "metric_report": f"""
-        select metric, case when isnan(value) then 'N/A' else format('{{:.4f}}', value) end as label,
+        select metric,
+               case when isnan(value) then 'N/A' else format('{{:.4f}}', value) end as label,
                not isnan(value) as logged, (select count(*) from labels) as n_samples
         from {_LABEL_MEANS}""",
     "context_precision": f"""

@@ -30,9 +30,10 @@ def spread_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return frame
 
 
-def documents(spark: SparkSession, folder: str) -> DataFrame:
-    """``document_id, text, metadata, lang, source``."""
-    return spread_table(spark, folder, "documents").select(
+def documents(spark: SparkSession, folder: str, spread: bool = False) -> DataFrame:
+    """``document_id, text, metadata, lang, source``; ``spread`` for work on every token."""
+    read = spread_table if spread else table
+    return read(spark, folder, "documents").select(
         F.col("doc_id").cast("string").alias("document_id"),
         "text",
         F.create_map(

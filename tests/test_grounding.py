@@ -7,10 +7,11 @@ from groundwell.functions.prompts import NO_CONTEXT_ANSWER
 from groundwell.functions.vectors import hash_embedder
 from groundwell.operators import evaluation as ev
 from groundwell.operators.search import search
-from groundwell.plans.evaluation import evaluate, judge_samples
+from groundwell.plans.evaluation import evaluate, judge_samples, run_evaluation
 from groundwell.plans.grounding import above_threshold, answer_questions
 from groundwell.plans.ingest import points_of_requests
-from groundwell.session import ship_package
+from groundwell.sources.run_log import read_runs
+from groundwell.sources.samples import read_samples
 
 EMBED = hash_embedder(8)
 FIXED = "A grounded answer based on the provided context."
@@ -173,7 +174,6 @@ def test_collected_answers_keep_truth_and_empty_contexts(spark):
 
 
 def test_overlap_judge(spark):
-    ship_package(spark)
     frame = spark.createDataFrame(
         [
             (1, "what?", "Cats sit on mats. Dogs fly planes daily!", ["the cats sit on red mats"],
@@ -189,3 +189,24 @@ def test_overlap_judge(spark):
     assert (2, "faithfulness") not in got
     report = {r.metric: r.label for r in evaluate(frame, EMBED, ["faithfulness"]).collect()}
     assert report == {"faithfulness": "0.5000"}
+
+
+def test_evaluation_end_to_end(spark, points, tmp_path):
+    asked = spark.createDataFrame(
+        [("how are vectors stored", "Vectors are stored."), ("how are vectors stored", None)],
+        "question STRING, ground_truth STRING",
+    )
+    report = run_evaluation(
+        points, asked, EMBED, f"{tmp_path}/out/samples", fixed_answers(), top_k=2,
+        metrics=["faithfulness", "context_recall", "nope"], log=f"{tmp_path}/runs",
+        run_id="r1", params={"dataset": "set"},
+    )
+    assert {r.metric for r in report.collect()} == {"faithfulness", "context_recall"}
+    samples = read_samples(spark, f"{tmp_path}/out/samples").collect()
+    assert len(samples) == 2 and all(len(s.contexts) == 2 for s in samples)
+    assert sorted(str(s.ground_truth) for s in samples) == ["None", "Vectors are stored."]
+    logged = {r.key: r.value for r in read_runs(spark, f"{tmp_path}/runs").collect()}
+    assert logged["n_samples"] == "2" and logged["dataset"] == "set"
+    assert logged["context_recall"] == "1.0"
+    with pytest.raises(ValueError):
+        run_evaluation(points, asked, EMBED, f"{tmp_path}/none", metrics=["nope"])

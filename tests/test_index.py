@@ -73,17 +73,30 @@ def test_a_hot_id_is_folded_before_the_shuffle(spark):
 
 
 def test_audit(spark):
+    text = {"chunk_text": "t"}
     rows = spark.createDataFrame(
-        [("a", [1.0, 0.0]), ("a", [3.0, 4.0]), ("b", [1.0]), ("c", None)],
-        "chunk_id STRING, vector ARRAY<FLOAT>",
+        [("a", [1.0, 0.0], text), ("a", [3.0, 4.0], {"k": "v"}), ("b", [1.0], text),
+         ("c", None, None)],
+        "chunk_id STRING, vector ARRAY<FLOAT>, payload MAP<STRING,STRING>",
     )
     assert index.audit(rows, 2).first().asDict() == {
-        "n_points": 4, "n_ids": 3, "n_wrong_width": 2, "n_not_unit": 2,
+        "n_points": 4, "n_ids": 3, "n_wrong_width": 2, "n_not_unit": 2, "n_without_text": 2,
     }
     empty = index.audit(rows.limit(0), 2).first().asDict()
     assert set(empty.values()) == {0}
 
 
+def test_bulk_load_is_for_empty_collections(spark, tmp_path):
+    collection = Collection.create(spark, f"{tmp_path}/index", 8)
+    collection.load(points(spark, ("d", words(10), {})))
+    assert len(stored(collection.points())) == 3
+    collection.write_batch(0, points(spark, ("d", "new", {})))
+    assert stored(collection.points())["d", "0"] == "new"
+    assert collection.points().count() == 3
+    with pytest.raises(ValueError, match="not empty"):
+        collection.load(points(spark, ("e", "x", {})))
+
+
 def test_ingest_is_idempotent_and_keeps_a_stale_tail(spark, tmp_path):
     collection = Collection.create(spark, f"{tmp_path}/index", 8)
     collection.write_batch(0, points(spark, ("d", words(10), {}), ("e", words(3), {})))

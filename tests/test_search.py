@@ -29,7 +29,8 @@ def brute(points, queries, k=None):
     for query, vector, top_k, filters in queries:
         v = np.array(vector, dtype=np.float32).astype(float)
         scale = length * np.linalg.norm(v)
-        score = np.round(np.divide(matrix @ v, scale, out=np.zeros(len(scale)), where=scale != 0), 9)
+        score = np.divide(matrix @ v, scale, out=np.zeros(len(scale)), where=scale != 0)
+        score = np.round(score, 9)
         fits = [
             i for i, p in enumerate(points)
             if all(value is not None and p[2].get(key) == value
