@@ -27,6 +27,10 @@ from groundwell.sources.run_log import append_run, metric_rows, param_rows
 from groundwell.sources.samples import read_samples, with_sample_ids, write_samples
 
 
+# Fixed value: how a logged run is named.
+RUN_NAME = "rag-eval-{model}"
+
+
 def judge_samples(
     samples: DataFrame, embed: Embedder, metrics: Sequence[str] | None = None
 ) -> DataFrame:
@@ -95,7 +99,7 @@ def run_evaluation(
     collected = with_sample_ids(read_samples(questions.sparkSession, output))
     report = evaluate(collected, embed, names)
     if log is not None:
-        spark, run_name = questions.sparkSession, f"rag-eval-{Settings.generation_model}"
+        spark, run_name = questions.sparkSession, RUN_NAME.format(model=Settings.generation_model)
         known = {
             "llm_model": Settings.generation_model,
             "llm_temperature": Settings.temperature,
