@@ -25,7 +25,15 @@ from pyspark.sql import functions as F
 
 from groundwell.functions.vectors import l2_normalize
 from groundwell.operators.scoring import SCORE_DECIMALS
-from groundwell.operators.search import BLOCK_ROWS, rank_hits, score_in_blocks
+from groundwell.operators.search import (
+    BLOCK_ROWS,
+    filtered_fields,
+    large_parts,
+    normal_requests,
+    rank_hits,
+    satisfied_filters,
+    score_in_blocks,
+)
 from groundwell.session import ship_package
 from groundwell.settings import SEARCH_TOP_K_MAX, Settings, shared_folder
 
@@ -48,7 +56,11 @@ class Cells:
         cls, points: DataFrame, n_cells: int, vector: str = "vector", seed: int = 7,
         max_iter: int = 10,
     ) -> Cells:
-        """K-means over all vectors. Only the ``n_cells`` centers come to the driver."""
+        """K-means over the given vectors. Only the ``n_cells`` centers come to the driver.
+
+        Centers guide a search and do not decide what it may find, so a very large table can
+        be fitted on a part of it.
+        """
         features = points.select(
             array_to_vector(l2_normalize(F.col(vector)).cast("array<double>")).alias("features")
         )
@@ -84,74 +96,77 @@ def search_cells(
     cells: Cells,
     points: DataFrame,
     queries: DataFrame,
-    top_k: int = Settings.default_top_k,
+    top_k: int | None = Settings.default_top_k,
     n_probe: int = 8,
     *,
     exact: bool = False,
     point_id: str = "chunk_id",
     query_id: str = "query_id",
     vector: str = "vector",
+    payload: str = "payload",
+    max_top_k: int = SEARCH_TOP_K_MAX,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``query_id, rank, point_id, score``; ``points`` carry ``cell`` and ``angle``.
 
-    With ``exact=False`` the ``n_probe`` nearest cells are searched and results may miss
-    points. With ``exact=True`` they equal :func:`groundwell.operators.search.search`.
+    Queries are those of :func:`groundwell.operators.search.search`, with filters and own
+    ``top_k``. With ``exact=False`` the ``n_probe`` nearest cells are searched and results may
+    miss points. With ``exact=True`` they equal the exact search.
     """
-    if not 1 <= top_k <= SEARCH_TOP_K_MAX:
-        raise ValueError(f"top_k must be in 1..{SEARCH_TOP_K_MAX}")
     ship_package(points.sparkSession)
+    requests = normal_requests(queries, top_k, max_top_k, query_id, vector)
+    filtered = "filters" in requests.columns
+    field_sets = filtered_fields(requests) if filtered else [[]]
+    part = F.concat_ws("|", "cell", "part").alias("part")
     stored = points.select(
-        F.col(point_id).alias("point_id"), F.col(vector).alias("vector"),
-        F.col("cell").alias("part"),
-    )
-    # At most one row per cell, whatever the number of points.
-    figures = points.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"),
-        *([F.max("angle").alias("radius")] if exact else []),
-    ).collect()
+        F.col(point_id).alias("point_id"),
+        F.col(vector).alias("vector"),
+        "cell",
+        satisfied_filters(F.col(payload) if filtered else None, field_sets).alias("part"),
+    ).select("point_id", "vector", "cell", part)
+
     radii = np.zeros(cells.n_cells)
-    for row in figures if exact else ():
-        radii[row["cell"]] = row["radius"]
-    bounds = _cell_bounds(cells.centers, radii)
-    cuts = F.broadcast(
-        points.sparkSession.createDataFrame(
-            [(r["cell"], math.ceil(r["n"] / block_rows)) for r in figures if r["n"] > block_rows],
-            "part INT, stored_blocks INT",
-        )
-    )
-    requests = queries.select(
-        F.col(query_id).alias("query_id"), F.col(vector).alias("vector"),
-        F.lit(top_k).alias("top_k"), bounds(F.col(vector)).alias("visits"),
+    if exact:
+        # At most one row per cell, whatever the number of points.
+        for row in points.groupBy("cell").agg(F.max("angle").alias("radius")).collect():
+            radii[row["cell"]] = row["radius"]
+    bounds = _cell_bounds(cells.centers, radii, cells.n_cells if exact else n_probe)
+    requests = requests.drop("filters").withColumn("near", bounds(F.col("vector"))).select(
+        "query_id", "vector", "top_k", "part",
+        F.arrays_zip("near.cell", "near.bound").alias("visits"),
     )
+    cuts = large_parts(stored, "stored_blocks", block_rows)
 
-    def visiting(rows: DataFrame, visits: Column) -> DataFrame:
-        return rows.withColumn("visit", F.explode(visits)).select(
-            "query_id", "vector", "top_k", F.col("visit.cell").alias("part")
+    def candidates(rows: DataFrame, visits: Column) -> DataFrame:
+        visiting = rows.withColumn("visit", F.explode(visits)).select(
+            "query_id", "vector", "top_k", "part", F.col("visit.cell").alias("cell")
         )
-
-    def candidates(visits: DataFrame) -> DataFrame:
         # At most one row per cell, so stored cells that nobody visits are not read.
-        visited = F.broadcast(visits.select("part").distinct())
+        visited = F.broadcast(visiting.select("cell").distinct())
         return score_in_blocks(
-            stored.join(visited, "part", "left_semi"), visits, block_rows, cuts
+            stored.join(visited, "cell", "left_semi").drop("cell"),
+            visiting.select("query_id", "vector", "top_k", part),
+            block_rows,
+            cuts,
         )
 
-    near = candidates(visiting(requests, F.slice("visits", 1, n_probe)))
+    near = candidates(requests, F.slice("visits", 1, n_probe))
     if not exact:
-        return rank_hits(near, top_k, query_id=query_id, point_id=point_id)
+        return rank_hits(near, max_top_k, query_id=query_id, point_id=point_id)
     # Used twice below; at most top_k rows per query. A checkpoint outlives lost executors.
     shared_folder(points.sparkSession)
-    best = rank_hits(near, top_k).checkpoint()
-    floor = best.where(F.col("rank") == top_k).select("query_id", F.col("score").alias("floor"))
-    rest = F.slice("visits", n_probe + 1, cells.n_cells)
-    # A query with fewer than top_k hits so far has no floor and visits every cell.
+    best = rank_hits(near, max_top_k, keep=["top_k"]).checkpoint()
+    floor = best.where(F.col("rank") == F.col("top_k")).select(
+        "query_id", F.col("score").alias("floor")
+    )
+    # A query with fewer hits than it wants so far has no floor and visits every cell.
     needed = F.filter(
-        rest, lambda v: F.coalesce(v["bound"] >= F.col("floor") - _SLACK, F.lit(True))
+        F.slice("visits", n_probe + 1, cells.n_cells),
+        lambda v: F.coalesce(v["bound"] >= F.col("floor") - _SLACK, F.lit(True)),
     )
-    far = candidates(visiting(requests.join(floor, "query_id", "left"), needed))
-    both = best.withColumn("top_k", F.lit(top_k)).select(far.columns).unionByName(far)
-    return rank_hits(both, top_k, query_id=query_id, point_id=point_id)
+    far = candidates(requests.join(floor, "query_id", "left"), needed)
+    both = best.select(far.columns).unionByName(far)
+    return rank_hits(both, max_top_k, query_id=query_id, point_id=point_id)
 
 
 def recall(found: DataFrame, exact: DataFrame, query_id: str, point_id: str) -> DataFrame:
@@ -181,24 +196,20 @@ def _nearest(centers: np.ndarray):
     return nearest
 
 
-def _cell_bounds(centers: np.ndarray, radii: np.ndarray):
-    """All cells, nearest center first, with the best cosine each could hold."""
+def _cell_bounds(centers: np.ndarray, radii: np.ndarray, n_nearest: int):
+    """The nearest cells in order of their centers, with the best cosine each could hold."""
 
-    @F.pandas_udf("array<struct<cell: int, bound: double>>")
-    def bounds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("cell ARRAY<INT>, bound ARRAY<DOUBLE>")
+    def bounds(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for vectors in batches:
             unit = _unit_rows(vectors)
             angle = np.arccos(np.clip(unit @ centers.T, -1.0, 1.0))
             bound = np.cos(np.maximum(0.0, angle - radii))
             # A zero vector has score 0 everywhere, so no cell can be left out for it.
             bound[~unit.any(axis=1)] = math.inf
-            order = np.argsort(angle, axis=1, kind="stable")
-            yield pd.Series(
-                [
-                    [{"cell": int(c), "bound": float(b[c])} for c in cells]
-                    for cells, b in zip(order, bound)
-                ],
-                index=vectors.index,
+            cell = np.argsort(angle, axis=1, kind="stable")[:, :n_nearest].astype(np.int32)
+            yield pd.DataFrame(
+                {"cell": list(cell), "bound": list(np.take_along_axis(bound, cell, axis=1))}
             )
 
     return bounds

@@ -71,33 +71,24 @@ def search(
 
     ``queries`` has ``query_id``, ``vector`` and optionally ``filters`` (a map that the
     point's ``payload`` must hold) and, with ``top_k=None``, a column ``top_k`` of at most
-    ``max_top_k``. Equal scores rank by id. Reading ``queries`` up to the size bound happens
+    ``max_top_k``; a larger one fails the job. Equal scores rank by id. Reading ``queries`` up to the size bound happens
     when the plan is built.
     """
-    if top_k is not None and not 1 <= top_k <= max_top_k:
-        raise ValueError(f"top_k must be in 1..{max_top_k}")
     ship_package(points.sparkSession)
-    filtered = "filters" in queries.columns
-    wanted = F.col("top_k") if top_k is None else F.lit(top_k)
-    requests = queries.select(
-        F.col(query_id).alias("query_id"),
-        F.col(vector).alias("vector"),
-        F.coalesce(wanted, F.lit(Settings.default_top_k)).cast("int").alias("top_k"),
-        (filter_key(F.col("filters")) if filtered else F.lit("")).alias("part"),
-        *([F.col("filters")] if filtered else []),
-    )
+    requests = normal_requests(queries, top_k, max_top_k, query_id, vector)
+    filtered = "filters" in requests.columns
     small = _small_table(requests.drop("filters"), small_query_rows)
     if small is not None:
         keys = set(small.column("part").to_pylist())
         field_sets = [json.loads(k)[0] if k else [] for k in keys]
     elif filtered:
-        field_sets = _field_sets(requests)
+        field_sets = filtered_fields(requests)
     else:
         field_sets = [[]]
     stored = points.select(
         F.col(point_id).alias("point_id"),
         F.col(vector).alias("vector"),
-        _parts(F.col(payload) if filtered else None, field_sets).alias("part"),
+        satisfied_filters(F.col(payload) if filtered else None, field_sets).alias("part"),
     )
     if small is not None:
         if filtered:
@@ -108,8 +99,34 @@ def search(
     return rank_hits(candidates, max_top_k, query_id=query_id, point_id=point_id)
 
 
+def normal_requests(
+    queries: DataFrame, top_k: int | None, max_top_k: int, query_id: str, vector: str
+) -> DataFrame:
+    """Queries as ``query_id, vector, top_k, part[, filters]``, where ``part`` is the filter key."""
+    if top_k is not None and not 1 <= top_k <= max_top_k:
+        raise ValueError(f"top_k must be in 1..{max_top_k}")
+    wanted = F.lit(top_k)
+    if top_k is None:
+        own = F.coalesce("top_k", F.lit(Settings.default_top_k))
+        wanted = F.when(own.between(1, max_top_k), own).otherwise(
+            F.raise_error(F.lit(f"top_k must be in 1..{max_top_k}"))
+        )
+    filtered = "filters" in queries.columns
+    return queries.select(
+        F.col(query_id).alias("query_id"),
+        F.col(vector).alias("vector"),
+        wanted.cast("int").alias("top_k"),
+        (filter_key(F.col("filters")) if filtered else F.lit("")).alias("part"),
+        *(["filters"] if filtered else []),
+    )
+
+
 def rank_hits(
-    candidates: DataFrame, max_top_k: int, query_id: str = "query_id", point_id: str = "point_id"
+    candidates: DataFrame,
+    max_top_k: int,
+    query_id: str = "query_id",
+    point_id: str = "point_id",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Ranks per query; the constant bound lets a group limit run before the shuffle."""
     score = F.when(F.isnan("score"), F.lit(float("-inf"))).otherwise(F.col("score"))
@@ -123,6 +140,7 @@ def rank_hits(
             "rank",
             F.col("point_id").alias(point_id),
             "score",
+            *keep,
         )
     )
 
@@ -181,6 +199,46 @@ def with_payload(
     )
 
 
+def gather_hits(hits: DataFrame, key: str = "query_id") -> DataFrame:
+    """``key, sources, contexts, n_contexts`` from hits with payload, in rank order.
+
+    Groups hold at most ``top_k`` hits.
+    """
+    source = F.struct("rank", "chunk_id", "score", "chunk_text", "metadata")
+    ranked = hits.groupBy(key).agg(
+        F.array_sort(F.collect_list(source), lambda a, b: a["rank"] - b["rank"]).alias("ranked")
+    )
+    return ranked.select(
+        key,
+        F.transform(
+            "ranked",
+            lambda s: F.struct(
+                s["chunk_id"].alias("id"),
+                s["score"].alias("score"),
+                s["chunk_text"].alias("chunk_text"),
+                s["metadata"].alias("metadata"),
+            ),
+        ).alias("sources"),
+        F.transform("ranked", lambda s: s["chunk_text"]).alias("contexts"),
+        F.size("ranked").alias("n_contexts"),
+    )
+
+
+def attach_hits(requests: DataFrame, gathered: DataFrame, key: str = "query_id") -> DataFrame:
+    """Every request with its gathered hits; empty lists where nothing was found."""
+
+    def filled(name: str) -> Column:
+        empty = F.array().cast(gathered.schema[name].dataType)
+        return F.coalesce(F.col(name), empty).alias(name)
+
+    return requests.join(gathered, key, "left").select(
+        *requests.columns,
+        filled("sources"),
+        filled("contexts"),
+        F.coalesce("n_contexts", F.lit(0)).alias("n_contexts"),
+    )
+
+
 def filter_key(filters: Column) -> Column:
     """Equi key of a filter: its field names in order with their values, "" for no filter."""
     names = F.array_sort(F.map_keys(filters))
@@ -190,7 +248,9 @@ def filter_key(filters: Column) -> Column:
     ).otherwise(F.lit(""))
 
 
-def _parts(payload: Column | None, field_sets: Sequence[Sequence[str]]) -> Column:
+def satisfied_filters(
+    payload: Column | None, field_sets: Sequence[Sequence[str]]
+) -> Column:
     """Filter keys a stored row satisfies, one output row for each."""
     sets = sorted({tuple(s) for s in field_sets})
     if payload is None or sets in ([], [()]):
@@ -206,7 +266,8 @@ def _parts(payload: Column | None, field_sets: Sequence[Sequence[str]]) -> Colum
     return F.explode(F.array_compact(F.transform(literal, key)))
 
 
-def _field_sets(requests: DataFrame) -> list[list[str]]:
+def filtered_fields(requests: DataFrame) -> list[list[str]]:
+    """Distinct sets of fields the requests filter on."""
     names = F.coalesce(
         F.array_sort(F.map_keys("filters")), F.array().cast("array<string>")
     )
@@ -298,8 +359,8 @@ def score_in_blocks(
         requests.schema["query_id"].dataType, stored.schema["point_id"].dataType
     )
     if stored_cuts is None:
-        stored_cuts = _large_parts(stored, "stored_blocks", block_rows)
-    request_cuts = _large_parts(requests, "request_blocks", max(1, block_rows // 4))
+        stored_cuts = large_parts(stored, "stored_blocks", block_rows)
+    request_cuts = large_parts(requests, "request_blocks", max(1, block_rows // 4))
 
     def cut(side: DataFrame, own: str, other: str, row_id: str) -> DataFrame:
         sized = side.join(stored_cuts, "part", "left").join(request_cuts, "part", "left")
@@ -351,7 +412,7 @@ def score_in_blocks(
     return left.cogroup(right).applyInArrow(score, schema)
 
 
-def _large_parts(side: DataFrame, name: str, block_rows: int) -> DataFrame:
+def large_parts(side: DataFrame, name: str, block_rows: int) -> DataFrame:
     """Parts above ``block_rows`` rows and their number of blocks.
 
     There are at most (rows / block_rows) of them. The counts are folded before the shuffle

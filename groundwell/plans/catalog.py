@@ -387,7 +387,7 @@ def _sources_of_next_label(spark: SparkSession, folder: str) -> tuple[DataFrame,
     questions = queries.select(
         "query_id", F.concat(F.lit("question "), F.col("query_id")).alias("query")
     )
-    return questions, grounding.gather_sources(search.with_payload(hits, points))
+    return questions, search.gather_hits(search.with_payload(hits, points))
 
 
 @_query
@@ -444,6 +444,23 @@ def search_text_filtered(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.search_text(_text_points(spark, folder), questions, embed_text)
 
 
+@_query
+def search_response_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions limited to one source each; a question may find less than top-k, or nothing."""
+    source = F.concat(F.lit("src"), F.length("query") % 40)
+    questions = tables.text_queries(spark, folder).withColumn(
+        "filters", F.create_map(F.lit("source"), source)
+    )
+    responses = retrieval.search_responses(_text_points(spark, folder), questions, embed_text)
+    return responses.select(
+        "query_id",
+        "query",
+        F.size("hits").alias("n_hits"),
+        F.array_join(F.transform("hits", lambda h: h["id"]), ",").alias("ids"),
+        F.array_join(F.transform("hits", lambda h: h["chunk_text"]), "|").alias("texts"),
+    )
+
+
 @_query
 def rag_batch(spark: SparkSession, folder: str) -> DataFrame:
     answered = grounding.answer_questions(
@@ -464,7 +481,7 @@ def rag_batch(spark: SparkSession, folder: str) -> DataFrame:
 def _placed_points(spark: SparkSession, folder: str) -> tuple[Cells, DataFrame]:
     points = tables.vector_points(spark, folder)
     cells = Cells.fit(points, N_CELLS)
-    placed = cells.assign(points).select("chunk_id", "vector", "angle", "cell")
+    placed = cells.assign(points).select("chunk_id", "vector", "payload", "angle", "cell")
     return cells, store_cells(placed, _run_folder(spark, "cells"))
 
 
@@ -476,6 +493,13 @@ def cell_search_exact(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query
+def cell_search_filtered(spark: SparkSession, folder: str) -> DataFrame:
+    cells, placed = _placed_points(spark, folder)
+    queries = tables.vector_queries(spark, folder).withColumn("filters", _same_label())
+    return search_cells(cells, placed, queries, n_probe=4, exact=True)
+
+
 @_query
 def cell_search_recall(spark: SparkSession, folder: str) -> DataFrame:
     queries = tables.vector_queries(spark, folder)

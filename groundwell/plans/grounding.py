@@ -14,7 +14,7 @@ from groundwell.functions.prompts import (
     grounded_prompt,
 )
 from groundwell.functions.vectors import Embedder
-from groundwell.operators.search import with_payload
+from groundwell.operators.search import attach_hits, gather_hits, with_payload
 from groundwell.plans.retrieval import search_text
 from groundwell.settings import GROUNDED_TOP_K_MAX, Settings
 
@@ -26,37 +26,9 @@ def above_threshold(hits: DataFrame, threshold: float = Settings.score_threshold
     return hits.where(~F.isnan("score") & (F.col("score") >= threshold))
 
 
-def gather_sources(hits: DataFrame, key: str = "query_id") -> DataFrame:
-    """``key, sources, contexts, n_contexts`` from hits with payload, in rank order.
-
-    Groups hold at most ``top_k`` hits.
-    """
-    source = F.struct("rank", "chunk_id", "score", "chunk_text", "metadata")
-    ranked = hits.groupBy(key).agg(
-        F.array_sort(F.collect_list(source), lambda a, b: a["rank"] - b["rank"]).alias("ranked")
-    )
-    return ranked.select(
-        key,
-        F.transform(
-            "ranked",
-            lambda s: F.struct(
-                s["chunk_id"].alias("id"),
-                s["score"].alias("score"),
-                s["chunk_text"].alias("chunk_text"),
-                s["metadata"].alias("metadata"),
-            ),
-        ).alias("sources"),
-        F.transform("ranked", lambda s: s["chunk_text"]).alias("contexts"),
-        F.size("ranked").alias("n_contexts"),
-    )
-
-
 def ground(questions: DataFrame, gathered: DataFrame, key: str = "query_id") -> DataFrame:
     """Every question with its sources and ``prompt``; the prompt is null without sources."""
-    joined = questions.join(gathered, key, "left").withColumn(
-        "contexts", F.coalesce("contexts", F.array().cast("array<string>"))
-    )
-    return joined.withColumn("n_contexts", F.coalesce("n_contexts", F.lit(0))).withColumn(
+    return attach_hits(questions, gathered, key).withColumn(
         "prompt",
         F.when(F.size("contexts") > 0, grounded_prompt(F.col("query"), F.col("contexts"))),
     )
@@ -90,7 +62,7 @@ def answer_questions(
     """
     hits = search_text(points, questions, embed, top_k, GROUNDED_TOP_K_MAX)
     kept = with_payload(above_threshold(hits, threshold), points)
-    return with_answers(ground(questions, gather_sources(kept)), generate)
+    return with_answers(ground(questions, gather_hits(kept)), generate)
 
 
 def _generate(generate: Generator):

@@ -101,7 +101,7 @@ _SINGLE = f"""
 _TEXT_CHUNKS = f"""(
   select *, {_uuid5("document_id || ':' || chunk_index")} as chunk_id,
          {_hash_vector('chunk_text', TEXT_WIDTH)} as vector
-  from {_chunks('documents', 'text', DOCUMENT + ', lang', *WINDOW)})"""
+  from {_chunks('documents', 'text', DOCUMENT + ', lang, source', *WINDOW)})"""
 
 _TEXT_PAIRS = f"""(
   select q.item_id as query_id, q.text as query, c.document_id, c.chunk_id, c.chunk_text,
@@ -349,6 +349,7 @@ ORACLES: dict[str, str] = {
     "search_single_filtered": _SINGLE.format(where="label = 3", k=10),
     "search_filtered": SEARCH_FILTERED,
     "search_filtered_blocks": SEARCH_FILTERED,
+    "cell_search_filtered": SEARCH_FILTERED,
     "search_varying_k": f"""
         select query_id, rank, chunk_id, score
         from {_top_k(_vector_pairs(), 'query_label + 1')}""",
@@ -383,10 +384,19 @@ ORACLES: dict[str, str] = {
     "search_text_filtered": f"""
         select query_id, rank, chunk_id, score
         from {_top_k(_TEXT_PAIRS.format(condition='c.lang = q.wanted'), '5')}""",
+    "search_response_rows": f"""
+        select b.item_id as query_id, b.text as query, coalesce(h.n, 0)::int as n_hits,
+               coalesce(h.ids, '') as ids, coalesce(h.texts, '') as texts
+        from benchmark b left join (
+          select query_id, count(*) as n, string_agg(chunk_id, ',' order by rank) as ids,
+                 string_agg(chunk_text, '|' order by rank) as texts
+          from {_top_k(_TEXT_PAIRS.format(
+              condition="c.source = 'src' || length(q.text) % 40"), '5')}
+          group by query_id) h on h.query_id = b.item_id""",
     "rag_batch": f"""
         select query_id, n_contexts, {_prompt('texts', 'query')} as prompt,
                case when n_contexts = 0 then '{NO_CONTEXT_ANSWER}' end as answer,
-               ids as source_ids
+               coalesce(ids, '') as source_ids
         from {_grounded(5)}""",
     "grounded_prompts": f"select conv_id, turn, prompt from {_PROMPTS}",
     "generation_requests": f"""

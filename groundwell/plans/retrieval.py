@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from groundwell.functions.vectors import Embedder
 from groundwell.operators.requests import split_requests
-from groundwell.operators.search import search, with_payload
+from groundwell.operators.search import attach_hits, gather_hits, search, with_payload
 from groundwell.settings import SEARCH_TOP_K_MAX, Settings
 
 
@@ -38,3 +38,18 @@ def search_hits(
 ) -> DataFrame:
     """Hits with ``chunk_text`` and ``metadata``."""
     return with_payload(search_text(points, requests, embed, top_k), points)
+
+
+def search_responses(
+    points: DataFrame,
+    requests: DataFrame,
+    embed: Embedder,
+    top_k: int | None = Settings.default_top_k,
+) -> DataFrame:
+    """One row per valid request, ``query_id, query, hits``, also where nothing was found."""
+    own = "top_k" if top_k is None else None
+    accepted, _ = split_requests(requests, text="query", top_k=own)
+    gathered = gather_hits(search_hits(points, requests, embed, top_k))
+    return attach_hits(accepted, gathered).select(
+        "query_id", "query", F.col("sources").alias("hits")
+    )

@@ -61,7 +61,7 @@ def test_answer_with_sources(spark, points):
 def test_nothing_stored_gives_the_fixed_answer(spark, points):
     rows = answer_questions(points.limit(0), questions(spark, "bread?"), EMBED, 3, generate=never())
     row = rows.first()
-    assert row.answer == NO_CONTEXT_ANSWER and row.sources is None and row.contexts == []
+    assert row.answer == NO_CONTEXT_ANSWER and row.sources == [] and row.contexts == []
     assert row.prompt is None and row.request is None
 
 

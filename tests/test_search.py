@@ -9,7 +9,7 @@ from groundwell.operators import index
 from groundwell.operators.cells import Cells, recall, search_cells
 from groundwell.operators.requests import split_requests
 from groundwell.operators.search import search, search_one, with_payload
-from groundwell.plans.retrieval import search_hits, search_text
+from groundwell.plans.retrieval import search_hits, search_responses, search_text
 
 POINTS = "chunk_id STRING, vector ARRAY<FLOAT>, payload MAP<STRING,STRING>"
 QUERIES = "query_id INT, vector ARRAY<FLOAT>, top_k INT, filters MAP<STRING,STRING>"
@@ -153,6 +153,12 @@ def test_plans_have_no_cross_join_and_limit_groups_early(data):
         assert plan.count("WindowGroupLimit") == 2
 
 
+def test_a_query_asking_for_too_many_hits_fails(data):
+    _, _, stored, asked = data
+    with pytest.raises(Exception, match="top_k must be in 1..5"):
+        search(stored, asked, None, max_top_k=5).collect()
+
+
 @pytest.fixture(scope="module")
 def texts(spark):
     embed = hash_embedder(8)
@@ -201,6 +207,19 @@ def test_filter_comes_before_top_k(spark, texts):
     assert {r.chunk_id for r in rows} == {"c", "d"}
 
 
+def test_responses_have_a_row_per_valid_request(spark, texts):
+    points, embed = texts
+    asked = ask(
+        spark, (1, "the cat", {"category": "x"}), (2, "the cat", {"category": "none"}),
+        (3, "", None),
+        schema="query_id INT, query STRING, filters MAP<STRING,STRING>",
+    )
+    got = {r.query_id: r for r in search_responses(points, asked, embed, 5).collect()}
+    assert set(got) == {1, 2}
+    assert sorted(h.id for h in got[1].hits) == ["a", "b"] and got[2].hits == []
+    assert got[1].hits[0].metadata["category"] == "x"
+
+
 def test_deleted_points_are_not_found(spark, texts):
     points, embed = texts
     left = index.delete(points, spark.createDataFrame([("a",), ("zz",)], "chunk_id STRING"))
@@ -247,6 +266,16 @@ def test_cell_search_is_exact_with_a_hot_cell(data, spark):
         assert found(hits) == brute(points, plain, 6)
 
 
+def test_exact_cell_search_takes_filters_and_own_top_k(data):
+    points, queries, stored, asked = data
+    placed = (cells := Cells.fit(stored, 4)).assign(stored)
+    for block_rows in (1000, 8):
+        hits = search_cells(
+            cells, placed, asked, None, n_probe=1, exact=True, block_rows=block_rows
+        )
+        assert found(hits) == brute(points, queries)
+
+
 def test_cell_search_with_all_cells_is_exact_and_fewer_cells_lose_recall(data):
     points, queries, stored, asked = data
     cells = Cells.fit(stored, 5)
