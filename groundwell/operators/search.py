@@ -71,8 +71,8 @@ def search(
 
     ``queries`` has ``query_id``, ``vector`` and optionally ``filters`` (a map that the
     point's ``payload`` must hold) and, with ``top_k=None``, a column ``top_k`` of at most
-    ``max_top_k``; a larger one fails the job. Equal scores rank by id. Reading ``queries`` up to the size bound happens
-    when the plan is built.
+    ``max_top_k``; a larger one fails the job. Equal scores rank by id. Reading ``queries`` up
+    to the size bound happens when the plan is built.
     """
     ship_package(points.sparkSession)
     requests = normal_requests(queries, top_k, max_top_k, query_id, vector)
