@@ -2,4 +2,53 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+_MASKS = ((0, 1, 2, 3, 5, 9, 10), (0, 3, 4, 7, 8, 9, 10), (0, 1, 5, 6, 7, 8, 10))
+
+
+def _decontamination() -> str:
+    words = "[x for x in string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+') if x <> '']"
+
+    def spots(source: str, name: str) -> str:
+        masks = " union all ".join(
+            f"select {name}, w, p, '{number}' || "
+            + " || ".join(f"' ' || w[p + {place}]" for place in mask)
+            + f" as key from {source}_at"
+            for number, mask in enumerate(_MASKS)
+        )
+        return (
+            f"{source}_at as (select {name}, w, unnest(range(1, len(w) - 9)) as p from {source}), "
+            f"{source}_key as ({masks})"
+        )
+
+    stretches = ", ".join(
+        "case when i + {o} >= 1 and i + {o} + 14 <= len(iw) then ".format(o=o)
+        + " + ".join(
+            f"coalesce((p + {o + j} >= 1 and dw[p + {o + j}] = iw[i + {o + j}])::int, 0)"
+            for j in range(15)
+        )
+        + " end"
+        for o in range(-4, 1)
+    )
+    short = " + ".join(
+        f"coalesce((i + {j} >= 1 and p + {j} >= 1 and dw[p + {j}] = iw[i + {j}])::int, 0)"
+        for j in range(-4, 15)
+    )
+    return f"""
+with docs as (select doc_id, {words} as w from documents),
+items as (select min(item_id) as item_id, w from (select item_id, {words} as w from benchmark) group by w),
+{spots("docs", "doc_id")}, {spots("items", "item_id")},
+hits as (
+  select d.doc_id, b.item_id, d.w as dw, b.w as iw, d.p, b.p as i
+  from docs_key d join items_key b using (key)
+),
+scored as (
+  select doc_id, item_id, len(iw) as size,
+    case when len(iw) < 15 then {short} else greatest({stretches}) end as matched
+  from hits
+)
+select doc_id, item_id, max(matched) as matched from scored
+where matched >= ceil(least(size, 15) * 12 / 15.0) group by doc_id, item_id
+"""
+
+
+ORACLES: dict[str, str] = {"op6_decontamination": _decontamination()}

@@ -5,17 +5,68 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from groundwell.llm import simhash
+from groundwell.llm import (
+    chat,
+    decontamination,
+    licenses,
+    neighbours,
+    packing,
+    simhash,
+    substrings,
+)
 from groundwell.plans.tables import table
 
 
+def op2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    points = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    asked = points.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    return neighbours.nearest(points, asked)
+
+
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents")).select(
         "doc_id", "fingerprint", "component_id"
     )
 
 
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return decontamination.contaminated(docs, table(spark, folder, "benchmark"))
+
+
+def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)],
+        "conv_id bigint, turn bigint, role string, text string",
+    )
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.windows(turns.unionByName(more)))
+
+
+def op9_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return substrings.remove_repeats(docs).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256")
+    )
+
+
+def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_neighbours": op2_neighbours,
     "op4_simhash": op4_simhash,
+    "op5_packing": op5_packing,
+    "op6_decontamination": op6_decontamination,
+    "op8_chat": op8_chat,
+    "op9_substrings": op9_substrings,
+    "op10_licenses": op10_licenses,
 }
