@@ -89,7 +89,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     text = F.regexp_replace(F.coalesce("text", F.lit("")), "\r", "")
     parts = F.when(F.col("text").rlike(r"\n[ \t]*\n"), F.split("text", r"\n[ \t]*\n"))
     unit = lambda whole, x: F.struct(F.lit(whole).alias("whole"), x.alias("text"))
-    paragraphs = F.filter(F.coalesce(parts, F.array().cast("array<string>")), lambda p: F.contains(p, F.lit("\n")))
+    paragraphs = F.filter(F.coalesce(parts, F.array().cast("array<string>")), lambda p: p.rlike(r"\S[^\n]*\n\s*\S"))
     lines = F.when(F.contains("text", F.lit("\n")), F.split("text", "\n")).otherwise(
         F.array().cast("array<string>")
     )

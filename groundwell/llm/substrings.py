@@ -238,12 +238,15 @@ def _kept(text: bytes, spans: list[dict] | None, window: int) -> tuple[bytes, in
     return b" ".join(kept), len(words), len(words) - len(kept)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, window: int = WINDOW, respaced: bool = True
+) -> DataFrame:
     """``docs`` with the columns ``kept_text, n_words, n_removed`` in place of ``text``.
 
     Removed is every word covered by a window of ``window`` consecutive words of one document
     whose words also start anywhere else, in the same document too. All copies go. Windows
-    are judged on the input. Words are joined by one space in what is kept.
+    are judged on the input. Words are joined by one space in what is kept; without
+    ``respaced`` a text that loses no word stays as it is.
 
     A null text has no words; a text shorter than a window loses none; a repeated row counts
     as another document with the same text, so that both lose all windows. ``doc_id`` may be
@@ -270,6 +273,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     utf8_list(piece.column("text")), piece.column("spans").to_pylist(), strict=True
                 )
             ]
+            if not respaced:
+                texts = utf8_list(piece.column("text"))
+                done = [d if d[2] else (t, *d[1:]) for d, t in zip(done, texts, strict=True)]
             columns = list(zip(*done, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [
