@@ -5,8 +5,9 @@ words and ignores the others; the hashes of the words it looks at are joined bet
 and documents. Around each hit the aligned words are compared: a stretch of ``STRETCH`` words
 with ``MATCHES`` or more equal ones is an overlap, whatever words were substituted in between.
 
-The documents are scanned once and not shuffled: seeds of the benchmark have a fixed width and
-carry the item's words around them as hashes, so that hits are verified where they are found.
+The documents are scanned once and not shuffled: places whose first two looked-at words occur so
+in no item drop out at once, and seeds have a fixed width and carry the item's words around them
+as hashes, so that hits are verified where they are found.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groundwell.llm.common import saved
 from groundwell.operators.sizes import broadcast_if_small
 
 #: Words of a seed, and the places in it that each mask looks at. Any two substitutions in a
@@ -24,6 +26,7 @@ STRETCH = 15
 MATCHES = 12
 #: The words of an item around a seed that can share a stretch with it.
 _SIDE = STRETCH - SPAN
+_PAIRS = tuple(sorted({mask[:2] for mask in MASKS}))
 _AROUND = SPAN + 2 * _SIDE
 #: A seed row has a fixed width of about 200 bytes, so that this many fit a broadcast.
 BROADCAST_SEEDS = 200_000
@@ -39,26 +42,75 @@ def _hashes(text: Column) -> Column:
     return F.transform(normal_words(text), lambda w: F.xxhash64(w))
 
 
-def _positions(hashes: Column) -> Column:
+def _padded(hashes: Column) -> Column:
+    """The hashes with nulls at both ends, as far as a stretch can reach beyond a seed."""
+    nulls = F.array_repeat(F.lit(None).cast("long"), _SIDE)
+    return F.concat(nulls, hashes, nulls)
+
+
+def _positions(padded: Column) -> Column:
     """Every start of a seed, from 0; none in a text shorter than one."""
-    last = F.size(hashes) - SPAN
+    last = F.size(padded) - 2 * _SIDE - SPAN
     return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
 
-def _keys(hashes: Column, at: Column) -> Column:
-    return F.array(
+def _pair_keys(padded: Column, at: Column) -> Column:
+    """Hashes of the first two words that a mask looks at, one for each such pair of places."""
+    word = lambda place: F.get(padded, at + (_SIDE + place))
+    return F.array(*(F.xxhash64(F.lit(b), word(a), word(b)) for a, b in _PAIRS))
+
+
+def _mask_keys(around: Column, pair: Column) -> Column:
+    """For each mask that starts with pair number ``pair`` the hash of the words it looks at."""
+    looked = F.array(
         *(
-            F.xxhash64(F.lit(number), *(F.get(hashes, at + place) for place in mask))
+            F.struct(
+                F.lit(number).alias("mask"),
+                F.lit(_PAIRS.index(mask[:2])).alias("pair"),
+                F.array(*(F.lit(_SIDE + place) for place in mask)).alias("places"),
+            )
             for number, mask in enumerate(MASKS)
         )
     )
+    return F.transform(
+        F.filter(looked, lambda m: m["pair"] == pair),
+        lambda m: F.xxhash64(m["mask"], F.transform(m["places"], lambda i: F.get(around, i))),
+    )
+
+
+def _spots(texts: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """``*, size, pair, around`` for every place and pair of a table with ``words`` (hashes).
+
+    With ``pairs`` only places are kept whose pair is among them; what runs for every place
+    of the corpus is then two hashes and one look-up.
+    """
+    rest = [c for c in texts.columns if c != "words"]
+    spots = (
+        texts.select(*rest, _padded(F.col("words")).alias("words"))
+        .select(*rest, "words", F.explode(_positions(F.col("words"))).alias("at"))
+        .select(
+            *rest, "words", "at",
+            F.posexplode(_pair_keys(F.col("words"), F.col("at"))).alias("pair", "pair_key"),
+        )
+    )
+    if pairs is not None:
+        spots = spots.join(pairs, "pair_key", "left_semi")
+    around = F.slice("words", F.col("at") + 1, F.lit(_AROUND))
+    # The generator keeps the words themselves out of what follows.
+    return spots.select(
+        *rest,
+        (F.size("words") - 2 * _SIDE).alias("n_words"),
+        "pair",
+        "pair_key",
+        F.explode(F.array(around)).alias("around"),
+    )
 
 
 def seeds(benchmark: DataFrame) -> DataFrame:
-    """``key, item_id, size, around``: one row per mask and place of each distinct item text.
+    """``key, pair_key, item_id, size, item``: a row per mask and place of each distinct item.
 
-    ``around`` holds the hashes of the item's words from ``STRETCH - SPAN`` before the seed
-    to as many after it, null beyond its ends. Items of equal words count as the one with the
+    ``item`` holds the hashes of the item's words from ``STRETCH - SPAN`` before the seed to
+    as many after it, null beyond its ends. Items of equal words count as the one with the
     smallest id; items of less than ``SPAN`` words, or null, have no seeds.
     """
     items = (
@@ -67,41 +119,28 @@ def seeds(benchmark: DataFrame) -> DataFrame:
         .agg(F.min("item_id").alias("item_id"))
     )
     return (
-        items.withColumn("at", F.explode(_positions(F.col("words"))))
+        _spots(items)
         .select(
+            F.explode(_mask_keys(F.col("around"), F.col("pair"))).alias("key"),
+            "pair_key",
             "item_id",
-            F.size("words").alias("size"),
-            F.array(
-                *(
-                    F.when(F.col("at") + place >= 0, F.get("words", F.col("at") + place))
-                    for place in range(-_SIDE, SPAN + _SIDE)
-                )
-            ).alias("around"),
-            F.explode(_keys(F.col("words"), F.col("at"))).alias("key"),
+            F.col("n_words").alias("size"),
+            F.col("around").alias("item"),
         )
         .distinct()
     )
 
 
-def _equal(around: Column, words: Column, at: Column) -> Column:
-    """1 for each place around the seed where item and document agree, else 0 (null: no item)."""
-    pairs = []
-    for place in range(_AROUND):
-        item = around[place]
-        spot = at + (place - _SIDE)
-        same = F.coalesce(F.when(spot >= 0, F.get(words, spot)) == item, F.lit(False))
-        pairs.append(F.when(item.isNotNull(), same.cast("int")))
-    return F.array(*pairs)
-
-
-def _most(equal: Column, size: Column) -> Column:
+def _most(item: Column, around: Column, size: Column) -> Column:
     """The most agreements in a stretch that holds the seed and lies in the item."""
-    stretches = []
-    for start in range(_SIDE + 1):
-        total = equal[start]
-        for place in range(start + 1, start + STRETCH):
-            total = total + equal[place]  # null where the stretch leaves the item
-        stretches.append(total)
+    equal = F.zip_with(
+        item, around, lambda i, d: F.when(i.isNotNull(), i.eqNullSafe(d).cast("int"))
+    )
+    plus = lambda total, x: total + x  # noqa: E731  null where the stretch leaves the item
+    stretches = [
+        F.aggregate(F.slice(equal, start + 1, STRETCH), F.lit(0), plus)
+        for start in range(_SIDE + 1)
+    ]
     short = F.aggregate(equal, F.lit(0), lambda total, x: total + F.coalesce(x, F.lit(0)))
     return F.when(size < STRETCH, short).otherwise(F.greatest(*stretches))
 
@@ -114,20 +153,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, keys: list[str]) -> DataFram
     texts overlap nothing; repeated rows and repeated items give one row; null keys are keys.
     Empty tables give an empty result.
     """
-    found = broadcast_if_small(seeds(benchmark), BROADCAST_SEEDS)
-    spots = (
-        docs.select(*(F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)), "text")
-        .withColumn("words", _hashes(F.col("text")))
-        .drop("text")
-        .withColumn("at", F.explode(_positions(F.col("words"))))
-        .withColumn("key", F.explode(_keys(F.col("words"), F.col("at"))))
+    found = saved(seeds(benchmark))
+    pairs = broadcast_if_small(found.select("pair_key").distinct(), BROADCAST_SEEDS)
+    texts = docs.select(
+        *(F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)),
+        _hashes(F.col("text")).alias("words"),
+    )
+    spots = _spots(texts, pairs).withColumn(
+        "key", F.explode(_mask_keys(F.col("around"), F.col("pair")))
     )
     least = F.ceil(F.least("size", F.lit(STRETCH)) * F.lit(MATCHES) / F.lit(STRETCH))
     return (
-        spots.join(found, "key")
-        .withColumn(
-            "matched", _most(_equal(F.col("around"), F.col("words"), F.col("at")), F.col("size"))
-        )
+        spots.join(broadcast_if_small(found.drop("pair_key"), BROADCAST_SEEDS), "key")
+        .withColumn("matched", _most(F.col("item"), F.col("around"), F.col("size")))
         .where(F.col("matched") >= least)
         .groupBy(*(f"key_{i}" for i in range(len(keys))), "item_id")
         .agg(F.max("matched").alias("matched"))
