@@ -4,7 +4,7 @@ Each class, toxic and ordinary, has its own counts of ``ORDER``-grams of charact
 interpolated with one lower order whose continuation counts are gathered over both classes, so
 that an expression too rare to tell the classes apart is as likely under either, and what is
 left in the ratio of the two likelihoods is evidence. A document is scored by the difference of
-its two log-likelihoods per character, over the whole text and over its most telling stretches;
+its two log-likelihoods, per character of the whole text and per word of its most telling words;
 a logistic curve, fitted on rows that were not counted, turns these into a probability.
 """
 
@@ -28,8 +28,8 @@ ORDER = 5
 _BITS = 12
 #: Characters of the shared lower order; the last level is single characters.
 LOWER = 3
-#: Stretches, in characters, of which the most telling counts.
-STRETCHES = (12, 48)
+#: The difference is averaged over so many most telling words of a text.
+TELLING = (1, 4, 10)
 #: Size of the model that tasks hold: a slot keeps the most frequent gram that falls in it.
 GRAM_SLOTS = 1 << 21
 HISTORY_SLOTS = 1 << 19
@@ -232,16 +232,18 @@ def _ratio_of(
 
 
 def text_features(text: str | None, tables: tuple) -> list[float]:
-    """Log-likelihood ratio per character: of the text, and of its most telling stretches."""
-    grams = _grams(_characters(text))
+    """Differences of log-likelihood: per character, and per word of the most telling words;
+    and the logarithm of the number of words."""
+    characters = _characters(text)
+    grams = _grams(characters)
     if not len(grams):
-        return [0.0] * (1 + len(STRETCHES))
-    sums = np.concatenate([[0.0], np.cumsum(_ratio_of(grams, tables))])
-    out = [sums[-1] / len(grams)]
-    for size in STRETCHES:
-        size_here = min(size, len(grams))
-        out.append(float((sums[size_here:] - sums[:-size_here]).max()) / size)
-    return out
+        return [0.0] * (2 + len(TELLING))
+    ratios = _ratio_of(grams, tables)
+    ends = characters[ORDER - 1 : -1] == ord(" ")
+    words = np.bincount(np.concatenate([[0], np.cumsum(ends)]), ratios)
+    top = np.sort(words)[::-1][: max(TELLING)]
+    means = [float(top[:most].sum()) / most for most in TELLING]
+    return [float(ratios.mean()), *means, float(np.log1p(len(words)))]
 
 
 @dataclass(frozen=True)
@@ -318,7 +320,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     drawn = rest.where(F.pmod("draw", F.lit(1 << 20)) <= int(share * (1 << 20)))
     rows = _features(drawn, tables, ["toxic"]).limit(2 * CURVE_ROWS).toArrow()
     toxic = rows.column("toxic").to_numpy().astype(np.float64)
-    n = 1 + len(STRETCHES)
+    n = 2 + len(TELLING)
     if len(set(toxic.tolist())) < 2:
         share = min(max(float(toxic.mean()) if len(toxic) else 0.5, 1e-6), 1 - 1e-6)
         weights = np.r_[np.log(share / (1 - share)), np.zeros(n)]
