@@ -1,5 +1,7 @@
 """Point payloads: ``MAP<STRING,STRING>`` with the chunk text under ``chunk_text``.
 
+Stored points keep the text in a column and the rest as ``metadata``.
+
 All values are text, so a filter on the number 1 and one on the text "1" are the same.
 """
 
@@ -60,19 +62,8 @@ def payload_metadata(payload: Column) -> Column:
 
 
 def rebuild_payload(metadata: Column, text: Column) -> Column:
-    """Inverse of splitting a payload into text and metadata."""
-    return F.map_concat(payload_metadata(metadata), F.create_map(F.lit(TEXT_KEY), text))
-
-
-def matches(payload: Column, filters: Column) -> Column:
-    """True when every ``key = value`` of ``filters`` holds. No filter matches all.
-
-    A null filter value matches nothing, an absent key neither.
-    """
-    return F.coalesce(
-        F.forall(
-            F.map_entries(filters),
-            lambda e: F.coalesce(payload[e["key"]] == e["value"], F.lit(False)),
-        ),
-        F.lit(True),
-    )
+    """Inverse of splitting a payload into text and metadata; a null text has no key."""
+    rest = payload_metadata(metadata)
+    return F.when(
+        text.isNotNull(), F.map_concat(rest, F.create_map(F.lit(TEXT_KEY), text))
+    ).otherwise(rest)

@@ -105,15 +105,3 @@ def model_embedder(
 
     return embed
 
-
-def sentence_model(model_name: str, device: str = "cpu") -> Callable[[], object]:
-    """Loader of a sentence-transformers model, where that library is installed."""
-
-    def load() -> object:
-        try:
-            from sentence_transformers import SentenceTransformer
-        except ImportError as exc:
-            raise RuntimeError("sentence-transformers is required for this embedder") from exc
-        return SentenceTransformer(model_name, device=device)
-
-    return load

@@ -27,16 +27,17 @@ from groundwell.functions.vectors import l2_normalize
 from groundwell.operators.scoring import SCORE_DECIMALS
 from groundwell.operators.search import (
     BLOCK_ROWS,
-    filtered_fields,
     large_parts,
     normal_requests,
     rank_hits,
-    satisfied_filters,
+    satisfying,
     score_in_blocks,
 )
 from groundwell.session import ship_package
 from groundwell.settings import SEARCH_TOP_K_MAX, Settings, shared_folder
 
+# Products of vectors and centers at a time, about 32 MB.
+_STEP_PRODUCTS = 4_000_000
 # Room for rounding in bounds and scores.
 _SLACK = 10.0 ** (1 - SCORE_DECIMALS)
 
@@ -103,7 +104,7 @@ def search_cells(
     point_id: str = "chunk_id",
     query_id: str = "query_id",
     vector: str = "vector",
-    payload: str = "payload",
+    metadata: str = "metadata",
     max_top_k: int = SEARCH_TOP_K_MAX,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
@@ -115,14 +116,17 @@ def search_cells(
     """
     ship_package(points.sparkSession)
     requests = normal_requests(queries, top_k, max_top_k, query_id, vector)
-    filtered = "filters" in requests.columns
-    field_sets = filtered_fields(requests) if filtered else [[]]
+    # The centers say which width this search has.
+    requests = requests.where(F.size("vector") == cells.centers.shape[1])
     part = F.concat_ws("|", "cell", "part").alias("part")
-    stored = points.select(
-        F.col(point_id).alias("point_id"),
-        F.col(vector).alias("vector"),
-        "cell",
-        satisfied_filters(F.col(payload) if filtered else None, field_sets).alias("part"),
+    stored = satisfying(
+        points.select(
+            F.col(point_id).alias("point_id"),
+            F.col(vector).alias("vector"),
+            "cell",
+            *([F.col(metadata).alias("metadata")] if "filters" in requests.columns else []),
+        ),
+        requests,
     ).select("point_id", "vector", "cell", part)
 
     radii = np.zeros(cells.n_cells)
@@ -184,14 +188,24 @@ def _unit_rows(vectors: pd.Series) -> np.ndarray:
     return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
 
 
+def _steps(vectors: pd.Series, n_cells: int) -> Iterator[np.ndarray]:
+    """Unit rows, so many at a time that their products with all centers stay bounded."""
+    size = max(1, _STEP_PRODUCTS // max(1, n_cells))
+    for start in range(0, max(len(vectors), 1), size):
+        yield _unit_rows(vectors.iloc[start:start + size])
+
+
 def _nearest(centers: np.ndarray):
     @F.pandas_udf("cell INT, angle DOUBLE")
     def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for vectors in batches:
-            similarity = _unit_rows(vectors) @ centers.T
-            cell = similarity.argmax(axis=1)
-            angle = np.arccos(np.clip(similarity[np.arange(len(cell)), cell], -1.0, 1.0))
-            yield pd.DataFrame({"cell": cell.astype(np.int32), "angle": angle})
+            found = []
+            for unit in _steps(vectors, len(centers)):
+                similarity = unit @ centers.T
+                cell = similarity.argmax(axis=1)
+                angle = np.arccos(np.clip(similarity[np.arange(len(cell)), cell], -1.0, 1.0))
+                found.append(pd.DataFrame({"cell": cell.astype(np.int32), "angle": angle}))
+            yield pd.concat(found, ignore_index=True)
 
     return nearest
 
@@ -202,14 +216,15 @@ def _cell_bounds(centers: np.ndarray, radii: np.ndarray, n_nearest: int):
     @F.pandas_udf("cell ARRAY<INT>, bound ARRAY<DOUBLE>")
     def bounds(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for vectors in batches:
-            unit = _unit_rows(vectors)
-            angle = np.arccos(np.clip(unit @ centers.T, -1.0, 1.0))
-            bound = np.cos(np.maximum(0.0, angle - radii))
-            # A zero vector has score 0 everywhere, so no cell can be left out for it.
-            bound[~unit.any(axis=1)] = math.inf
-            cell = np.argsort(angle, axis=1, kind="stable")[:, :n_nearest].astype(np.int32)
-            yield pd.DataFrame(
-                {"cell": list(cell), "bound": list(np.take_along_axis(bound, cell, axis=1))}
-            )
+            found = []
+            for unit in _steps(vectors, len(centers)):
+                angle = np.arccos(np.clip(unit @ centers.T, -1.0, 1.0))
+                bound = np.cos(np.maximum(0.0, angle - radii))
+                # A zero vector has score 0 everywhere, so no cell can be left out for it.
+                bound[~unit.any(axis=1)] = math.inf
+                cell = np.argsort(angle, axis=1, kind="stable")[:, :n_nearest].astype(np.int32)
+                best = np.take_along_axis(bound, cell, axis=1)
+                found.append(pd.DataFrame({"cell": list(cell), "bound": list(best)}))
+            yield pd.concat(found, ignore_index=True)
 
     return bounds

@@ -118,12 +118,13 @@ def chunk_pages(
     Pages are parted by white space, so tokens do not cross them: the token offset of a page
     is a running sum of token counts, and each page then contributes its piece to the windows
     it touches. Equals chunking the assembled text, at any document length. ``page_no`` must
-    be a non-negative integer, unique in its document.
+    be a non-negative integer, unique in its document; a page without a number comes first,
+    and pages without a document id are one document.
     """
     step = check_window(chunk_size, chunk_overlap)
     counted = pages.select(
         F.col("document_id").cast("string").alias("document_id"),
-        "page_no",
+        F.coalesce("page_no", F.lit(-1)).alias("page_no"),
         "page_text",
         count_tokens(F.col("page_text")).alias("page_tokens"),
     )
@@ -173,6 +174,38 @@ def chunk_pages(
     )
 
 
+def overlap_check(
+    documents: DataFrame,
+    chunk_size: int = Settings.chunk_size,
+    chunk_overlap: int = Settings.chunk_overlap,
+) -> DataFrame:
+    """One row per pair of neighbouring chunks: does the tail of one open the next?
+
+    Neighbours are compared in the array that chunking makes, before there are rows to join.
+    For chunks that are stored already see :func:`overlap_audit`.
+    """
+    chunked = documents.select(
+        F.col("document_id").cast("string").alias("document_id"),
+        F.transform(chunk_text(F.col("text"), chunk_size, chunk_overlap), tokens).alias("chunks"),
+    )
+
+    def agrees(words: Column, following: Column) -> Column:
+        first = F.greatest(F.lit(1), F.size(words) - chunk_overlap + 1)
+        return F.slice(words, first, F.lit(chunk_overlap)) == F.slice(
+            following, 1, chunk_overlap
+        )
+
+    n = F.size("chunks")
+    pairs = F.zip_with(
+        F.slice("chunks", F.lit(1), F.greatest(n - 1, F.lit(0))),
+        F.slice("chunks", F.lit(2), F.greatest(n - 1, F.lit(0))),
+        agrees,
+    )
+    return chunked.select(
+        "document_id", F.posexplode(pairs).alias("chunk_index", "overlap_ok")
+    )
+
+
 def overlap_audit(chunks: DataFrame, chunk_overlap: int) -> DataFrame:
     """One row per pair of neighbouring chunks: does the tail of one open the next?
 

@@ -27,7 +27,7 @@ def select_metrics(names: Sequence[str] | None = None) -> list[str]:
     """Known metrics among ``names``; all of them for none. Raises when none is known."""
     known = [name for name in (names or METRICS) if name in METRICS]
     if not known:
-        raise ValueError(f"No valid metrics requested; supported: {list(METRICS)}")
+        raise ValueError(f"none of {list(names or ())} is a metric; there are {list(METRICS)}")
     return known
 
 
@@ -134,11 +134,34 @@ def metric_report(means: DataFrame) -> DataFrame:
     return means.select(
         "metric",
         "value",
-        F.when(number, F.format_string("%.4f", F.col("value"))).otherwise("N/A").alias("label"),
+        F.when(number, _four_decimals(F.col("value"))).otherwise("N/A").alias("label"),
         number.alias("logged"),
     )
 
 
+def _four_decimals(value: Column) -> Column:
+    """``value`` with 4 decimals, rounded as the binary number that it is and not as the
+    shortest decimal that stands for it: 0.00015 is a little less than that.
+
+    The value is split in two halves whose multiples are exact, so that the side of the
+    midpoint between two labels on which it lies can be told; a true tie goes to the even one.
+    """
+    size = F.abs(value)
+    below = F.floor(size * 10_000).cast("double")
+    big = size * 134_217_729.0
+    high = big - (big - size)
+    over = (high * 20_000 - (2 * below + 1)) + (size - high) * 20_000
+    up = (over > 0) | ((over == 0) & (below % 2 == 1))
+    steps = (below + up.cast("int")).cast("long")
+    label = F.format_string(
+        "%s%d.%04d",
+        F.when(value < 0, "-").otherwise(""),
+        F.floor(steps / 10_000),
+        steps % 10_000,
+    )
+    return F.when(size < 1e9, label).otherwise(F.format_string("%.4f", value))
+
+
 # Fixed values of the token-overlap judge.
 STATEMENT_PATTERN = r"[^.!?\n]+"
 PUNCTUATION = ".,;:!?"

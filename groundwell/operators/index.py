@@ -1,16 +1,17 @@
-"""The chunk index as a table of points: ``chunk_id, vector, payload``.
+"""The chunk index as a table of points: ``chunk_id, vector, chunk_text, metadata``.
 
 In memory, points are merged as DataFrames (:func:`upsert`, :func:`insert`, :func:`delete`).
 On disk, an index is a folder with an optional compacted ``base`` and change batches beside
-it. Readers resolve the newest change per id; only the changes are ranked, the base is read
-as it is.
+it. An id occurs once in a batch, so that readers find the newest change from ids and batch
+numbers alone; vectors and texts are not ranked. The text is a column of its own, which
+searches by vector and metadata do not read.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     ArrayType,
@@ -24,7 +25,6 @@ from pyspark.sql.types import (
 )
 from pyspark.sql.window import Window
 
-from groundwell.functions.payload import TEXT_KEY
 from groundwell.functions.vectors import norm
 from groundwell.operators.sizes import broadcast_if_small
 
@@ -32,45 +32,48 @@ POINT_SCHEMA = StructType(
     [
         StructField("chunk_id", StringType()),
         StructField("vector", ArrayType(FloatType())),
-        StructField("payload", MapType(StringType(), StringType())),
+        StructField("chunk_text", StringType()),
+        StructField("metadata", MapType(StringType(), StringType())),
     ]
 )
 POINT_COLUMNS = POINT_SCHEMA.fieldNames()
-_SEQUENCE = "batch_seq"
 _CHANGE_SCHEMA = StructType(
-    [
-        *POINT_SCHEMA.fields,
-        StructField(_SEQUENCE, LongType()),
-        StructField("deleted", IntegerType()),
-        StructField("batch", LongType()),
-    ]
+    [*POINT_SCHEMA.fields, StructField("deleted", IntegerType()), StructField("batch", LongType())]
 )
 
 
-def latest(rows: DataFrame, key: str, *newest_first: Column) -> DataFrame:
-    """One row per key, the newest. A group limit runs before the shuffle, so copies of a
-    hot key do not travel."""
-    order = Window.partitionBy(key).orderBy(*newest_first)
-    return (
-        rows.withColumn("__rank", F.row_number().over(order))
-        .where(F.col("__rank") == 1)
-        .drop("__rank")
-    )
+def last_of(rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """One row per key: the one with the greatest ``order`` (null is least).
+
+    A group limit runs before the shuffle, so copies of a hot key do not travel. Two rows of a
+    key with the same ``order``, or any two without one, fail the job: which is later cannot
+    be told.
+    """
+    place = F.lit(0) if order is None else F.col(order)
+    ranks = Window.partitionBy(key).orderBy(place.desc())
+    top = rows.withColumn("__rank", F.rank().over(ranks)).where(F.col("__rank") == 1)
+    same = top.withColumn("__same", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    message = F.concat(F.lit(f"no order tells the last row of {key} "), F.col(key).cast("string"))
+    return same.where(
+        F.when(F.col("__same") == 1, F.lit(True)).otherwise(
+            F.raise_error(message).cast("boolean")
+        )
+    ).drop("__rank", "__same")
 
 
 def upsert(
     points: DataFrame, changes: DataFrame, key: str = "chunk_id", order: str | None = None
 ) -> DataFrame:
-    """Insert or replace by id; the whole row is replaced.
+    """Insert or replace by id; the whole row is replaced and an id then occurs once.
 
     ``order`` is a column of ``changes`` (and not of ``points``) that tells which of two
-    changes of one batch is later. Without it ids must be unique within the batch. Points of
-    a document that now has fewer chunks stay, as only given ids are touched.
+    changes of one batch is later; where it cannot tell, the job fails. Points of a document
+    that now has fewer chunks stay, as only given ids are touched.
     """
-    ids = broadcast_if_small(changes.select(key))
-    if order is not None:
-        changes = latest(changes, key, F.col(order).desc()).drop(order)
-    return points.join(ids, key, "left_anti").unionByName(changes)
+    ids = broadcast_if_small(changes.select(key).distinct())
+    last = last_of(changes, key, order)
+    last = last if order is None else last.drop(order)
+    return points.join(ids, key, "left_anti").unionByName(last)
 
 
 def insert(points: DataFrame, rows: DataFrame) -> DataFrame:
@@ -80,7 +83,7 @@ def insert(points: DataFrame, rows: DataFrame) -> DataFrame:
 
 def delete(points: DataFrame, ids: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Remove by id. Unknown ids are no error."""
-    return points.join(broadcast_if_small(ids.select(key)), key, "left_anti")
+    return points.join(broadcast_if_small(ids.select(key).distinct()), key, "left_anti")
 
 
 def count(points: DataFrame) -> DataFrame:
@@ -90,7 +93,7 @@ def count(points: DataFrame) -> DataFrame:
 
 def audit(
     points: DataFrame, dimension: int, key: str = "chunk_id", vector: str = "vector",
-    payload: str = "payload", tolerance: float = 1e-3,
+    text: str = "chunk_text", tolerance: float = 1e-3,
 ) -> DataFrame:
     """One row of health figures: rows, ids, vectors of another width or not of length one,
     rows without text.
@@ -100,7 +103,7 @@ def audit(
     checks = {
         "n_wrong_width": F.coalesce(F.size(vector), F.lit(-1)) != dimension,
         "n_not_unit": F.coalesce(F.abs(norm(F.col(vector)) - 1) > tolerance, F.lit(True)),
-        "n_without_text": F.coalesce(F.col(payload)[TEXT_KEY], F.lit("")) == "",
+        "n_without_text": F.coalesce(text, F.lit("")) == "",
     }
     per_id = points.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_points"),
@@ -155,13 +158,20 @@ class Collection:
             raise ValueError(f"collection {root} has width {stored}, not {dimension}")
         return cls(spark, root, stored)
 
-    def write_batch(self, batch: int, points: DataFrame, order: str | None = None) -> None:
-        """Store upserts as batch ``batch``; later batches win over earlier ones."""
-        sequence = F.lit(0).cast("long") if order is None else F.col(order).cast("long")
+    def write_batch(
+        self, batch: int, points: DataFrame, order: str | None = None, unique: bool = False
+    ) -> None:
+        """Store upserts as batch ``batch``; later batches win over earlier ones.
+
+        ``order`` is a column that tells the last of two points with one id; without it, or
+        where it ties, such points fail the job. ``unique`` vouches that there are none, and
+        saves the shuffle that finds out.
+        """
+        last = points if unique else last_of(points, "chunk_id", order)
         self._write(
             batch,
-            check_dimension(points, self.dimension).select(
-                *POINT_COLUMNS, sequence.alias(_SEQUENCE), F.lit(0).alias("deleted")
+            check_dimension(last, self.dimension).select(
+                *POINT_COLUMNS, F.lit(0).alias("deleted")
             ),
         )
 
@@ -179,18 +189,23 @@ class Collection:
 
     def delete_batch(self, batch: int, ids: DataFrame) -> None:
         """Store deletions of the ids in ``ids.chunk_id`` as batch ``batch``."""
-        gone = ids.select(
+        gone = ids.select("chunk_id").distinct().select(
             "chunk_id",
-            F.lit(None).cast("array<float>").alias("vector"),
-            F.lit(None).cast("map<string,string>").alias("payload"),
-            F.lit(0).cast("long").alias(_SEQUENCE),
+            *(
+                F.lit(None).cast(field.dataType).alias(field.name)
+                for field in POINT_SCHEMA.fields[1:]
+            ),
             F.lit(1).alias("deleted"),
         )
         self._write(batch, gone)
 
     def points(self) -> DataFrame:
-        """Current points. The base is not shuffled while the changed ids are few enough to
-        broadcast."""
+        """Current points.
+
+        Ids and batch numbers tell what is out of date: changes of an id that a later batch
+        changes again, and base points of any changed id. These lists are broadcast while
+        they are small, and then neither vectors nor texts are shuffled.
+        """
         base = (
             self.spark.read.schema(POINT_SCHEMA).parquet(f"{self.root}/base")
             if _has_data(self.spark, f"{self.root}/base")
@@ -199,17 +214,21 @@ class Collection:
         if not _has_data(self.spark, f"{self.root}/changes"):
             return base if base is not None else self.spark.createDataFrame([], POINT_SCHEMA)
         changes = self.spark.read.schema(_CHANGE_SCHEMA).parquet(f"{self.root}/changes")
-        newest = latest(
-            changes,
-            "chunk_id",
-            F.col("batch").desc(),
-            F.col(_SEQUENCE).desc(),
-            F.col("payload")[TEXT_KEY].desc(),
+        again = (
+            changes.groupBy("chunk_id")
+            .agg(F.max("batch").alias("last"), F.count(F.lit(1)).alias("n"))
+            .where("n > 1")
+            .drop("n")
+        )
+        live = (
+            changes.where("deleted = 0")
+            .join(broadcast_if_small(again), "chunk_id", "left")
+            .where("last is null or batch = last")
+            .select(*POINT_COLUMNS)
         )
-        live = newest.where(F.col("deleted") == 0).select(*POINT_COLUMNS)
         if base is None:
             return live
-        ids = broadcast_if_small(changes.select("chunk_id"))
+        ids = broadcast_if_small(changes.select("chunk_id").distinct())
         return base.join(ids, "chunk_id", "left_anti").unionByName(live)
 
     def compact(self, root: str) -> Collection:

@@ -22,8 +22,8 @@ def running_sum(
 
     A plain window puts a whole group into one task. Here positions are cut in blocks of
     ``block``; block sums are taken before the shuffle, and only they meet in one task per
-    group. ``position`` must be a non-negative integer, unique in its group. ``total`` names
-    a further column for the sum of the whole group.
+    group. ``position`` must be an integer, unique in its group. ``total`` names a further
+    column for the sum of the whole group. Null keys are a group.
     """
     part = f"__{into}_block"
     parted = df.withColumn(part, F.floor(F.col(position) / block))
@@ -41,8 +41,16 @@ def running_sum(
         .orderBy(position)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    theirs = [*keys, part]
+    renamed = offsets.select(
+        *(F.col(k).alias(f"__of_{i}") for i, k in enumerate(theirs)), "__offset",
+        *([total] if total else []),
+    )
+    same = F.lit(True)
+    for i, k in enumerate(theirs):
+        same = same & F.col(k).eqNullSafe(F.col(f"__of_{i}"))
     return (
-        parted.join(offsets, [*keys, part])
+        parted.join(renamed, same)
         .withColumn(into, F.sum(value).over(inside) + F.col("__offset"))
-        .drop(part, "__offset")
+        .drop(part, "__offset", *(f"__of_{i}" for i in range(len(theirs))))
     )

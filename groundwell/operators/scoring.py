@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # Scores are compared at this many decimals, so that equal vectors tie in every block shape
 # and ties are then broken by id. Stored vectors are 32-bit and carry about 7 digits.
@@ -22,10 +23,11 @@ def as_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Rows of an ``ARRAY<FLOAT>`` column as a matrix of unit rows (zero rows stay zero)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    width = len(flat) // len(column) if len(column) else 0
-    if width * len(column) != len(flat) or column.null_count:
+    widths = set(pc.unique(pc.list_value_length(column)).to_pylist())
+    if column.null_count or len(widths) > 1:
         raise ValueError("vectors of one search must be non-null and of one width")
+    width = widths.pop() if widths else 0
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     matrix = flat.reshape(len(column), width)
     length = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))[:, None]
     return np.divide(matrix, length, out=np.zeros_like(matrix), where=length != 0)

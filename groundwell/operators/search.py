@@ -8,13 +8,14 @@ Two shapes of the same search:
   meets in one task. A filter value or cell that holds a large share of the rows is cut in
   many blocks; the number of blocks comes from counts taken before the shuffle.
 
-A per-query filter is an equi key and not a mask: a stored row meets only queries whose
-filter it satisfies, and filtering comes before top-k.
+A per-query filter is an equi key and not a mask: stored rows are joined with the distinct
+filters by one entry of each, so that a row meets only queries whose filter it satisfies, and
+filtering comes before top-k. The width of a vector is part of the key: rows of another width
+than the query's, or without a vector, are no candidates (see :func:`odd_vectors`).
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DoubleType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
-from groundwell.functions.payload import payload_text
+from groundwell.functions.payload import TEXT_KEY, rebuild_payload
 from groundwell.functions.vectors import cosine
 from groundwell.operators.scoring import (
     SCORE_DECIMALS,
@@ -32,7 +33,7 @@ from groundwell.operators.scoring import (
     as_matrix,
     as_values,
 )
-from groundwell.operators.sizes import broadcast_if_small
+from groundwell.operators.sizes import broadcast_if_small, is_small
 from groundwell.session import ship_package
 from groundwell.settings import SEARCH_TOP_K_MAX, Settings, shared_folder
 
@@ -40,9 +41,10 @@ from groundwell.settings import SEARCH_TOP_K_MAX, Settings, shared_folder
 SMALL_QUERY_ROWS = 16_384
 SMALL_QUERY_BYTES = 64 * 1024 * 1024
 
-# Stored rows per block of the blocked search; blocks of queries are a quarter of it. Larger
-# blocks mean fewer copies of either side, and one pair of blocks must fit in a task.
+# Stored rows and bytes per block of the blocked search; blocks of queries are a quarter of
+# it. Larger blocks mean fewer copies of either side, and one pair of blocks must fit in a task.
 BLOCK_ROWS = 131_072
+BLOCK_BYTES = 128 * 1024 * 1024
 
 # Rows of a block that are turned into a matrix at a time.
 _SLICE_ROWS = 16_384
@@ -50,9 +52,6 @@ _SLICE_ROWS = 16_384
 # Parts with more than one block that are broadcast as a list.
 MAX_LISTED_PARTS = 100_000
 
-# Distinct sets of filtered fields in one table of queries. These are field names, not values.
-MAX_FIELD_SETS = 1024
-
 
 def search(
     points: DataFrame,
@@ -62,7 +61,7 @@ def search(
     point_id: str = "chunk_id",
     query_id: str = "query_id",
     vector: str = "vector",
-    payload: str = "payload",
+    metadata: str = "metadata",
     max_top_k: int = SEARCH_TOP_K_MAX,
     small_query_rows: int = SMALL_QUERY_ROWS,
     block_rows: int = BLOCK_ROWS,
@@ -70,39 +69,42 @@ def search(
     """``query_id, rank, point_id, score`` of the best points of each query.
 
     ``queries`` has ``query_id``, ``vector`` and optionally ``filters`` (a map that the
-    point's ``payload`` must hold) and, with ``top_k=None``, a column ``top_k`` of at most
+    point's ``metadata`` must hold) and, with ``top_k=None``, a column ``top_k`` of at most
     ``max_top_k``; a larger one fails the job. Equal scores rank by id. Reading ``queries`` up
     to the size bound happens when the plan is built.
     """
     ship_package(points.sparkSession)
     requests = normal_requests(queries, top_k, max_top_k, query_id, vector)
-    filtered = "filters" in requests.columns
     small = _small_table(requests.drop("filters"), small_query_rows)
-    if small is not None:
-        keys = set(small.column("part").to_pylist())
-        field_sets = [json.loads(k)[0] if k else [] for k in keys]
-    elif filtered:
-        field_sets = filtered_fields(requests)
-    else:
-        field_sets = [[]]
-    stored = points.select(
-        F.col(point_id).alias("point_id"),
-        F.col(vector).alias("vector"),
-        satisfied_filters(F.col(payload) if filtered else None, field_sets).alias("part"),
+    stored = satisfying(
+        points.select(
+            F.col(point_id).alias("point_id"),
+            F.col(vector).alias("vector"),
+            *([F.col(metadata).alias("metadata")] if "filters" in requests.columns else []),
+        ),
+        requests,
     )
     if small is not None:
-        if filtered:
-            stored = stored.where(F.col("part").isin(sorted(keys)))
         candidates = _score_in_place(stored, small, requests.schema["query_id"].dataType)
     else:
         candidates = score_in_blocks(stored, requests.drop("filters"), block_rows)
     return rank_hits(candidates, max_top_k, query_id=query_id, point_id=point_id)
 
 
+def odd_vectors(points: DataFrame, dimension: int, vector: str = "vector") -> DataFrame:
+    """Rows that no search of this width can find, with the ``reason``."""
+    width = F.size(vector)
+    reason = F.when(F.col(vector).isNull(), F.lit("no vector")).when(
+        width != dimension, F.concat(F.lit("width "), width)
+    )
+    return points.withColumn("reason", reason).where("reason is not null")
+
+
 def normal_requests(
     queries: DataFrame, top_k: int | None, max_top_k: int, query_id: str, vector: str
 ) -> DataFrame:
-    """Queries as ``query_id, vector, top_k, part[, filters]``, where ``part`` is the filter key."""
+    """Queries as ``query_id, vector, top_k, part[, filters]``; ``part`` is the equi key of
+    width and filter. Queries without a vector are left out."""
     if top_k is not None and not 1 <= top_k <= max_top_k:
         raise ValueError(f"top_k must be in 1..{max_top_k}")
     wanted = F.lit(top_k)
@@ -112,11 +114,12 @@ def normal_requests(
             F.raise_error(F.lit(f"top_k must be in 1..{max_top_k}"))
         )
     filtered = "filters" in queries.columns
-    return queries.select(
+    key = filter_key(F.col("filters")) if filtered else F.lit("")
+    return queries.where(F.col(vector).isNotNull()).select(
         F.col(query_id).alias("query_id"),
         F.col(vector).alias("vector"),
         wanted.cast("int").alias("top_k"),
-        (filter_key(F.col("filters")) if filtered else F.lit("")).alias("part"),
+        F.concat(_width(F.col(vector)), key).alias("part"),
         *(["filters"] if filtered else []),
     )
 
@@ -153,7 +156,7 @@ def search_one(
     filters: dict[str, str] | None = None,
     point_id: str = "chunk_id",
     vector: str = "vector",
-    payload: str = "payload",
+    metadata: str = "metadata",
 ) -> DataFrame:
     """One request with a constant vector: ``rank, point_id, score``.
 
@@ -163,8 +166,9 @@ def search_one(
     if not 1 <= top_k <= SEARCH_TOP_K_MAX:
         raise ValueError(f"top_k must be in 1..{SEARCH_TOP_K_MAX}")
     for key, value in (filters or {}).items():
-        points = points.where(F.col(payload)[key] == value)
-    scored = points.select(
+        holds = F.lit(False) if key == TEXT_KEY else F.col(metadata)[key] == value
+        points = points.where(holds)
+    scored = points.where(F.size(vector) == F.size(query_vector)).select(
         F.col(point_id),
         F.round(cosine(F.col(vector), query_vector), SCORE_DECIMALS).alias("score"),
     )
@@ -174,28 +178,31 @@ def search_one(
 
 
 def score_all(points: DataFrame, query_vector: Column, vector: str = "vector") -> DataFrame:
-    """Points with their cosine ``score`` against one constant vector."""
-    return points.withColumn(
+    """Points with their cosine ``score`` against one constant vector of their width; points
+    of another width or without a vector are left out."""
+    return points.where(F.size(vector) == F.size(query_vector)).withColumn(
         "score", F.round(cosine(F.col(vector), query_vector), SCORE_DECIMALS)
     )
 
 
 def with_payload(
-    hits: DataFrame, points: DataFrame, *, point_id: str = "chunk_id", payload: str = "payload"
+    hits: DataFrame, points: DataFrame, *, point_id: str = "chunk_id"
 ) -> DataFrame:
     """Hits with ``chunk_text`` and ``metadata`` (the whole payload) of their points.
 
     Text joins only the winners, so it takes no part in scoring or ranking. The hits, at most
     top-k per query, are written to the shared folder first: the search then runs once, and
-    their number tells whether they can be broadcast, so that the points are not shuffled.
+    their size tells whether they can be broadcast, so that the points are not shuffled.
     """
     shared_folder(points.sparkSession)
     hits = hits.checkpoint()
-    joined = broadcast_if_small(hits).join(points.select(point_id, payload), point_id)
+    joined = broadcast_if_small(hits).join(
+        points.select(point_id, "chunk_text", "metadata"), point_id
+    )
     return joined.select(
         *hits.columns,
-        payload_text(F.col(payload)).alias("chunk_text"),
-        F.col(payload).alias("metadata"),
+        F.coalesce("chunk_text", F.lit("")).alias("chunk_text"),
+        rebuild_payload(F.col("metadata"), F.col("chunk_text")).alias("metadata"),
     )
 
 
@@ -248,41 +255,59 @@ def filter_key(filters: Column) -> Column:
     ).otherwise(F.lit(""))
 
 
-def satisfied_filters(
-    payload: Column | None, field_sets: Sequence[Sequence[str]]
-) -> Column:
-    """Filter keys a stored row satisfies, one output row for each."""
-    sets = sorted({tuple(s) for s in field_sets})
-    if payload is None or sets in ([], [()]):
-        return F.lit("")
-    literal = F.array(*[F.array(*[F.lit(n) for n in s]).cast("array<string>") for s in sets])
+def _width(vector: Column) -> Column:
+    return F.concat(F.size(vector).cast("string"), F.lit(":"))
 
-    def key(names: Column) -> Column:
-        values = F.transform(names, lambda n: payload[n])
-        return F.when(F.size(names) == 0, F.lit("")).when(
-            ~F.exists(values, lambda v: v.isNull()), F.to_json(F.array(names, values))
-        )
 
-    return F.explode(F.array_compact(F.transform(literal, key)))
+def satisfying(stored: DataFrame, requests: DataFrame) -> DataFrame:
+    """``stored`` (``vector[, metadata]`` and more) with ``part``: one row for each distinct
+    filter of ``requests`` that it satisfies; ``metadata`` is dropped.
 
-
-def filtered_fields(requests: DataFrame) -> list[list[str]]:
-    """Distinct sets of fields the requests filter on."""
-    names = F.coalesce(
-        F.array_sort(F.map_keys("filters")), F.array().cast("array<string>")
+    The entries of a row meet the first entry (by name) of each filter in an equi join, and
+    the filter's other entries are looked up in the row. Any number of filters over any
+    number of fields will do, and rows that no filter asks for go no further. The stored text
+    is no metadata and matches nothing.
+    """
+    width = _width(F.col("vector"))
+    stored = stored.where(F.col("vector").isNotNull())
+    if "filters" not in requests.columns:
+        return stored.withColumn("part", width)
+    key = filter_key(F.col("filters"))
+    wanted = (
+        requests.select(key.alias("key"), "filters").where("key != ''").dropDuplicates(["key"])
+    )
+    name = F.array_sort(F.map_keys("filters"))[0]
+    wanted = wanted.select(
+        "key",
+        F.map_entries("filters").alias("entries"),
+        name.alias("name"),
+        F.col("filters")[name].alias("value"),
+    ).where(F.col("name") != TEXT_KEY)
+    rest = [c for c in stored.columns if c != "metadata"]
+    entries = stored.select(
+        *rest, "metadata", F.explode("metadata").alias("name", "value")
+    )
+    holds = F.forall(
+        "entries",
+        lambda e: F.coalesce(
+            (e["key"] != TEXT_KEY) & (F.col("metadata")[e["key"]] == e["value"]), F.lit(False)
+        ),
     )
-    rows = requests.select(names.alias("names")).distinct().limit(MAX_FIELD_SETS + 1).collect()
-    if len(rows) > MAX_FIELD_SETS:
-        raise ValueError(f"queries filter on more than {MAX_FIELD_SETS} different sets of fields")
-    return [row["names"] for row in rows]
+    met = (
+        entries.join(broadcast_if_small(wanted), ["name", "value"])
+        .where(holds)
+        .select(*rest, F.concat(width, "key").alias("part"))
+    )
+    if requests.where(key == "").isEmpty():
+        return met
+    return met.unionByName(stored.select(*rest, width.alias("part")))
 
 
 def _small_table(requests: DataFrame, rows: int) -> pa.Table | None:
     """The requests as one local table, or None when they exceed the bounds."""
-    if rows <= 0:
+    if rows <= 0 or not is_small(requests, rows, SMALL_QUERY_BYTES):
         return None
-    table = requests.limit(rows + 1).toArrow()
-    return table if table.num_rows <= rows and table.nbytes <= SMALL_QUERY_BYTES else None
+    return requests.toArrow()
 
 
 def _candidate_schema(query_type: DataType, point_type: DataType) -> StructType:
@@ -305,7 +330,9 @@ def _score_in_place(stored: DataFrame, small: pa.Table, query_type: DataType) ->
     groups = {str(part): np.flatnonzero(parts == part) for part in set(parts)}
     query_ids = small.column("query_id").combine_chunks()
     top_k = small.column("top_k").to_numpy()
-    vectors = as_matrix(small.column("vector"))
+    by_part = {
+        part: as_matrix(small.column("vector").take(pa.array(rows))) for part, rows in groups.items()
+    }
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Shortlist(top_k)
@@ -314,18 +341,18 @@ def _score_in_place(stored: DataFrame, small: pa.Table, query_type: DataType) ->
             if batch.num_rows == 0:
                 continue
             id_type = batch.column("point_id").type
-            ids = as_values(batch.column("point_id"))
-            rows = as_matrix(batch.column("vector"))
-            if len(groups) == 1:
-                (members,) = groups.values()
-                best.add(vectors[members], members, ids, rows)
-                continue
             keys = batch.column("part").dictionary_encode()
             codes = keys.indices.to_numpy(zero_copy_only=False)
             for code, part in enumerate(keys.dictionary.to_pylist()):
-                inside = np.flatnonzero(codes == code)
-                members = groups[part]
-                best.add(vectors[members], members, ids[inside], rows[inside])
+                if part not in groups:  # of another width
+                    continue
+                inside = batch.filter(pa.array(codes == code))
+                best.add(
+                    by_part[part],
+                    groups[part],
+                    as_values(inside.column("point_id")),
+                    as_matrix(inside.column("vector")),
+                )
         found = best.rows()
         if found is not None:
             query, ids, value = found
@@ -350,7 +377,8 @@ def score_in_blocks(
 ) -> DataFrame:
     """Top-k candidates of ``requests`` in ``stored`` rows of the same ``part``.
 
-    Parts above ``block_rows`` rows (a quarter of it for requests) are cut in blocks. Each
+    Parts above ``block_rows`` rows or ``BLOCK_BYTES`` (a quarter for requests) are cut in
+    blocks, by a hash of id and vector, so that rows of one id part as well. Each
     pair of blocks of a part is one group of about that size and yields at most ``top_k`` rows
     per query. ``stored_cuts`` are the ``part, stored_blocks`` of the large
     parts of ``stored`` where they are known already.
@@ -360,7 +388,9 @@ def score_in_blocks(
     )
     if stored_cuts is None:
         stored_cuts = large_parts(stored, "stored_blocks", block_rows)
-    request_cuts = large_parts(requests, "request_blocks", max(1, block_rows // 4))
+    request_cuts = large_parts(
+        requests, "request_blocks", max(1, block_rows // 4), BLOCK_BYTES // 4
+    )
 
     def cut(side: DataFrame, own: str, other: str, row_id: str) -> DataFrame:
         sized = side.join(stored_cuts, "part", "left").join(request_cuts, "part", "left")
@@ -368,7 +398,7 @@ def score_in_blocks(
         theirs = F.coalesce(other, F.lit(1))
         return sized.select(
             *side.columns,
-            F.pmod(F.xxhash64(row_id), mine).cast("int").alias(own.removesuffix("s")),
+            F.pmod(F.xxhash64(row_id, "vector"), mine).cast("int").alias(own.removesuffix("s")),
             F.explode(F.sequence(F.lit(0), (theirs - 1).cast("int"))).alias(
                 other.removesuffix("s")
             ),
@@ -412,18 +442,22 @@ def score_in_blocks(
     return left.cogroup(right).applyInArrow(score, schema)
 
 
-def large_parts(side: DataFrame, name: str, block_rows: int) -> DataFrame:
-    """Parts above ``block_rows`` rows and their number of blocks.
+def large_parts(
+    side: DataFrame, name: str, block_rows: int, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """Parts above ``block_rows`` rows or ``block_bytes`` of vectors, and their number of blocks.
 
-    There are at most (rows / block_rows) of them. The counts are folded before the shuffle
-    and read when the plan is built, so that a list of known length is broadcast and the
-    vectors are not shuffled to learn their block; a longer list joins as the planner sees fit.
+    A task turns vectors to double, so a component counts 8 bytes. The counts are folded
+    before the shuffle and read when the plan is built, so that a list of known length is
+    broadcast and the vectors are not shuffled to learn their block; a longer list joins as
+    the planner sees fit.
     """
+    rows = F.ceil(F.count(F.lit(1)) / block_rows)
+    size = F.ceil(F.sum(F.size("vector").cast("long") * 8) / block_bytes)
     large = (
         side.groupBy("part")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > block_rows)
-        .select("part", F.ceil(F.col("n") / block_rows).cast("int").alias(name))
+        .agg(F.greatest(rows, size).cast("int").alias(name))
+        .where(F.col(name) > 1)
     )
     listed = large.limit(MAX_LISTED_PARTS + 1).toArrow()
     if listed.num_rows > MAX_LISTED_PARTS:

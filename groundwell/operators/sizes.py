@@ -2,18 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Rows of ids, or of hits without text, that may be sent to every executor.
+# Bytes of rows that may be sent to every executor, and rows that are looked at to tell.
+BROADCAST_BYTES = 64 * 1024 * 1024
 BROADCAST_ROWS = 500_000
 
 
-def broadcast_if_small(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``side`` with a broadcast hint when it has at most ``max_rows`` rows.
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: its values, and some for the row itself."""
+
+    def width(column: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.octet_length(column)
+        if isinstance(kind, T.ArrayType) and not isinstance(
+            kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)
+        ):
+            return F.size(column) * 8
+        if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            return F.octet_length(F.to_json(F.struct(column)))
+        return F.lit(8)
+
+    total = F.lit(32).cast("long")
+    for field in df.schema.fields:
+        total = total + F.coalesce(width(df[field.name], field.dataType).cast("long"), F.lit(0))
+    return total
+
+
+def is_small(
+    side: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> bool:
+    """Whether ``side`` stays below both bounds. Counts no further than ``max_rows``."""
+    rows, size = (
+        side.limit(max_rows + 1)
+        .agg(F.count(F.lit(1)), F.coalesce(F.sum(row_bytes(side)), F.lit(0)))
+        .first()
+    )
+    return rows <= max_rows and size <= max_bytes
+
+
+def broadcast_if_small(
+    side: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """``side`` with a broadcast hint when it stays below both bounds.
 
     Without the hint the planner, not knowing the size of a derived table, would shuffle the
-    other side before it learns better. Counts no further than the bound; a larger side joins
-    as the planner sees fit.
+    other side before it learns better. A larger side joins as the planner sees fit.
     """
-    return F.broadcast(side) if side.limit(max_rows + 1).count() <= max_rows else side
+    return F.broadcast(side) if is_small(side, max_rows, max_bytes) else side

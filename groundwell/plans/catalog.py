@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,8 @@ REQUEST_TEXT = "which stored vectors are nearest to this request"
 VECTOR_THRESHOLD = 0.3
 TEXT_THRESHOLD = 0.985
 N_CELLS = 16
+# The given vectors have no clusters: a quarter of the cells finds little more than this.
+RECALL_FLOOR = 0.3
 
 embed_text = hash_embedder(TEXT_WIDTH)
 
@@ -126,8 +130,7 @@ def page_assembly(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def chunk_overlap_audit(spark: SparkSession, folder: str) -> DataFrame:
     documents = tables.documents(spark, folder, spread=True)
-    chunks = chunking.chunk_documents(documents, *SMALL_WINDOW)
-    return chunking.overlap_audit(chunks, SMALL_WINDOW[1])
+    return chunking.overlap_check(documents, *SMALL_WINDOW)
 
 
 @_query
@@ -226,11 +229,11 @@ def payload_source(spark: SparkSession, folder: str) -> DataFrame:
     points = ingest.points_of_files(pages, embed_text)
     return points.select(
         "chunk_id",
-        F.col("payload")["document_id"].alias("document_id"),
-        F.col("payload")["chunk_index"].alias("chunk_index"),
-        F.col("payload")["source"].alias("source"),
-        F.col("payload")["chunk_text"].alias("chunk_text"),
-        F.size("payload").alias("n_keys"),
+        F.col("metadata")["document_id"].alias("document_id"),
+        F.col("metadata")["chunk_index"].alias("chunk_index"),
+        F.col("metadata")["source"].alias("source"),
+        "chunk_text",
+        (F.size("metadata") + 1).alias("n_keys"),
     )
 
 
@@ -347,6 +350,17 @@ def search_filtered_blocks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query
+def search_many_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Hundreds of filters over as many different fields."""
+    field = lambda c: F.create_map(
+        F.concat(F.lit("field"), F.col(c) % 250), F.lit("yes")
+    )
+    points = tables.vector_points(spark, folder).withColumn("metadata", field("chunk_id"))
+    queries = tables.vector_queries(spark, folder).withColumn("filters", field("query_id"))
+    return search.search(points, queries, small_query_rows=0, block_rows=64)
+
+
 @_query
 def search_varying_k(spark: SparkSession, folder: str) -> DataFrame:
     queries = tables.vector_queries(spark, folder).withColumn("top_k", F.col("label") + 1)
@@ -407,23 +421,45 @@ def rag_fallback(spark: SparkSession, folder: str) -> DataFrame:
     return answered.select("query_id", "query", "n_contexts", "answer", "prompt")
 
 
-def _run_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+@contextmanager
+def _run_folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder of one run below the shared one, gone when the run is over."""
+    root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    try:
+        yield root
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _in_folder(name: str) -> Callable[[Callable[[SparkSession, str, str], DataFrame]], Query]:
+    """A query that works in a run folder; its result is fixed before the folder goes."""
+
+    def wrap(run: Callable[[SparkSession, str, str], DataFrame]) -> Query:
+        @wraps(run)
+        def query(spark: SparkSession, folder: str) -> DataFrame:
+            with _run_folder(spark, name) as root:
+                return run(spark, folder, root).checkpoint()
 
+        return query
 
-def _text_points(spark: SparkSession, folder: str) -> DataFrame:
+    return wrap
+
+
+def _text_points(spark: SparkSession, folder: str, root: str) -> DataFrame:
     """The documents as a stored index: searched by its vectors, then read for the winners'
     text, so chunks are made and embedded once."""
-    collection = index.Collection.create(spark, _run_folder(spark, "index"), TEXT_WIDTH)
+    collection = index.Collection.create(spark, f"{root}/index", TEXT_WIDTH)
     documents = tables.documents(spark, folder, spread=True)
     collection.load(ingest.points_of_requests(documents, embed_text))
     return collection.points()
 
 
 @_query
-def search_text(spark: SparkSession, folder: str) -> DataFrame:
+@_in_folder("search_text")
+def search_text(spark: SparkSession, folder: str, root: str) -> DataFrame:
     hits = retrieval.search_hits(
-        _text_points(spark, folder), tables.text_queries(spark, folder), embed_text
+        _text_points(spark, folder, root), tables.text_queries(spark, folder), embed_text
     )
     return hits.select(
         "query_id", "rank", "chunk_id", "score", "chunk_text",
@@ -432,7 +468,8 @@ def search_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @_query
-def search_text_filtered(spark: SparkSession, folder: str) -> DataFrame:
+@_in_folder("search_text_filtered")
+def search_text_filtered(spark: SparkSession, folder: str, root: str) -> DataFrame:
     """Questions limited to one language each, by a filter on the stored metadata."""
     lang = F.element_at(
         F.array(*[F.lit(x) for x in ("en", "fr", "de", "es")]),
@@ -441,17 +478,18 @@ def search_text_filtered(spark: SparkSession, folder: str) -> DataFrame:
     questions = tables.text_queries(spark, folder).withColumn(
         "filters", F.create_map(F.lit("lang"), lang)
     )
-    return retrieval.search_text(_text_points(spark, folder), questions, embed_text)
+    return retrieval.search_text(_text_points(spark, folder, root), questions, embed_text)
 
 
 @_query
-def search_response_rows(spark: SparkSession, folder: str) -> DataFrame:
+@_in_folder("search_response_rows")
+def search_response_rows(spark: SparkSession, folder: str, root: str) -> DataFrame:
     """Questions limited to one source each; a question may find less than top-k, or nothing."""
     source = F.concat(F.lit("src"), F.length("query") % 40)
     questions = tables.text_queries(spark, folder).withColumn(
         "filters", F.create_map(F.lit("source"), source)
     )
-    responses = retrieval.search_responses(_text_points(spark, folder), questions, embed_text)
+    responses = retrieval.search_responses(_text_points(spark, folder, root), questions, embed_text)
     return responses.select(
         "query_id",
         "query",
@@ -462,9 +500,10 @@ def search_response_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @_query
-def rag_batch(spark: SparkSession, folder: str) -> DataFrame:
+@_in_folder("rag_batch")
+def rag_batch(spark: SparkSession, folder: str, root: str) -> DataFrame:
     answered = grounding.answer_questions(
-        _text_points(spark, folder),
+        _text_points(spark, folder, root),
         tables.text_queries(spark, folder),
         embed_text,
         threshold=TEXT_THRESHOLD,
@@ -478,35 +517,60 @@ def rag_batch(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _placed_points(spark: SparkSession, folder: str) -> tuple[Cells, DataFrame]:
+@_query
+@_in_folder("rag_rejects")
+def rag_rejects(spark: SparkSession, folder: str, root: str) -> DataFrame:
+    """Questions of which some are empty and some ask for too many or no sources."""
+    questions = tables.text_queries(spark, folder).select(
+        "query_id",
+        F.when(F.col("query_id") % 5 == 0, F.lit("")).otherwise(F.col("query")).alias("query"),
+        F.element_at(
+            F.array(*map(F.lit, (0, 20, 21, None))), (F.col("query_id") % 4 + 1).cast("int")
+        ).alias("top_k"),
+    )
+    answered = grounding.answer_questions(
+        _text_points(spark, folder, root), questions, embed_text, top_k=None
+    ).select("query_id", F.lit("answered").alias("outcome"), "n_contexts")
+    refused = grounding.refused_questions(questions, top_k=None).select(
+        "query_id", F.col("reject_reason").alias("outcome"), F.lit(0).alias("n_contexts")
+    )
+    return answered.unionByName(refused)
+
+
+def _placed_points(spark: SparkSession, folder: str, root: str) -> tuple[Cells, DataFrame]:
     points = tables.vector_points(spark, folder)
     cells = Cells.fit(points, N_CELLS)
-    placed = cells.assign(points).select("chunk_id", "vector", "payload", "angle", "cell")
-    return cells, store_cells(placed, _run_folder(spark, "cells"))
+    placed = cells.assign(points).select("chunk_id", "vector", "chunk_text", "metadata", "angle", "cell")
+    return cells, store_cells(placed, f"{root}/cells")
 
 
 @_query
-def cell_search_exact(spark: SparkSession, folder: str) -> DataFrame:
-    cells, placed = _placed_points(spark, folder)
+@_in_folder("cell_search_exact")
+def cell_search_exact(spark: SparkSession, folder: str, root: str) -> DataFrame:
+    cells, placed = _placed_points(spark, folder, root)
     return search_cells(
         cells, placed, tables.vector_queries(spark, folder), n_probe=4, exact=True
     )
 
 
 @_query
-def cell_search_filtered(spark: SparkSession, folder: str) -> DataFrame:
-    cells, placed = _placed_points(spark, folder)
+@_in_folder("cell_search_filtered")
+def cell_search_filtered(spark: SparkSession, folder: str, root: str) -> DataFrame:
+    cells, placed = _placed_points(spark, folder, root)
     queries = tables.vector_queries(spark, folder).withColumn("filters", _same_label())
     return search_cells(cells, placed, queries, n_probe=4, exact=True)
 
 
 @_query
-def cell_search_recall(spark: SparkSession, folder: str) -> DataFrame:
+@_in_folder("cell_search_recall")
+def cell_search_recall(spark: SparkSession, folder: str, root: str) -> DataFrame:
     queries = tables.vector_queries(spark, folder)
-    cells, placed = _placed_points(spark, folder)
+    cells, placed = _placed_points(spark, folder, root)
     found = search_cells(cells, placed, queries, n_probe=4)
     exact = search.search(tables.vector_points(spark, folder), queries)
-    return recall(found, exact, "query_id", "chunk_id")
+    return recall(found, exact, "query_id", "chunk_id").select(
+        "n_exact", (F.col("recall") >= RECALL_FLOOR).alias("recall_reached")
+    )
 
 
 # Prompts -------------------------------------------------------------------------------------
@@ -559,9 +623,10 @@ def ingest_requests(spark: SparkSession, folder: str) -> DataFrame:
     return points.select(
         "chunk_id",
         *[
-            F.col("payload")[k].alias(k)
-            for k in ("document_id", "chunk_index", "chunk_text", "lang", "source")
+            F.col("metadata")[k].alias(k)
+            for k in ("document_id", "chunk_index", "lang", "source")
         ],
+        "chunk_text",
         F.size("vector").alias("dimension"),
         F.round(F.aggregate(
             "vector", F.lit(0.0), lambda acc, x: acc + x.cast("double")
@@ -653,7 +718,8 @@ def index_audit(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @_query
-def index_lifecycle(spark: SparkSession, folder: str) -> DataFrame:
+@_in_folder("index_lifecycle")
+def index_lifecycle(spark: SparkSession, folder: str, root: str) -> DataFrame:
     """A stored collection: ingest, re-ingest shorter, delete, compact, re-ingest, read."""
     documents = tables.documents(spark, folder)
     toxic = tables.table(spark, folder, "labels").where(F.col("toxic") == 1)
@@ -661,7 +727,7 @@ def index_lifecycle(spark: SparkSession, folder: str) -> DataFrame:
     def points(rows: DataFrame) -> DataFrame:
         return ingest.points_of_requests(rows, embed_text)
 
-    first = index.Collection.create(spark, _run_folder(spark, "index"), TEXT_WIDTH)
+    first = index.Collection.create(spark, f"{root}/first", TEXT_WIDTH)
     first.write_batch(0, points(documents))
     english = documents.where(F.col("lang") == "en")
     first.write_batch(1, points(english.withColumn("text", _without_article())))
@@ -671,16 +737,93 @@ def index_lifecycle(spark: SparkSession, folder: str) -> DataFrame:
     first.delete_batch(
         2, gone.select(chunk_id(F.col("document_id"), F.col("chunk_index")).alias("chunk_id"))
     )
-    second = first.compact(_run_folder(spark, "index"))
+    second = first.compact(f"{root}/second")
     french = documents.where(F.col("lang") == "fr")
     marked = F.concat(F.lit("again: "), F.col("text"))
     second.write_batch(0, points(french.withColumn("text", marked)))
     return second.points().select(
         "chunk_id",
-        F.col("payload")["document_id"].alias("document_id"),
-        F.col("payload")["chunk_index"].alias("chunk_index"),
-        F.col("payload")["chunk_text"].alias("chunk_text"),
+        F.col("metadata")["document_id"].alias("document_id"),
+        F.col("metadata")["chunk_index"].alias("chunk_index"),
+        "chunk_text",
+    )
+
+
+def _versions(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests by document: its text, then an English one again without an article."""
+    versions = F.when(
+        F.col("lang") == "en", F.array(F.col("text"), _without_article())
+    ).otherwise(F.array("text"))
+    return tables.documents(spark, folder).select(
+        "document_id", "metadata", F.posexplode(versions).alias("version", "text")
+    )
+
+
+def _stored_requests(
+    spark: SparkSession, root: str, requests: DataFrame, order: str | None
+) -> DataFrame:
+    collection = index.Collection.create(spark, f"{root}/index", TEXT_WIDTH)
+    ingest.store_requests(collection, 0, requests, embed_text, *SMALL_WINDOW, order=order)
+    return collection.points().select(
+        "chunk_id",
+        F.col("metadata")["document_id"].alias("document_id"),
+        F.col("metadata")["chunk_index"].alias("chunk_index"),
+        "chunk_text",
+    )
+
+
+@_query
+@_in_folder("upsert_repeats")
+def upsert_repeats(spark: SparkSession, folder: str, root: str) -> DataFrame:
+    """Versions of a document in one batch, in no order of rows but with one of their own."""
+    requests = _versions(spark, folder).repartition(7, F.xxhash64("text"))
+    return _stored_requests(spark, root, requests, "version")
+
+
+@_query
+@_in_folder("ingest_repeats")
+def ingest_repeats(spark: SparkSession, folder: str, root: str) -> DataFrame:
+    """Versions of a document in one batch, the later row the later version."""
+    return _stored_requests(spark, root, _versions(spark, folder).drop("version"), None)
+
+
+@_query
+@_in_folder("file_ingest")
+def file_ingest(spark: SparkSession, folder: str, root: str) -> DataFrame:
+    """The benchmark as files: some in a folder, some of an unknown kind, and one missing."""
+    texts = tables.table(spark, folder, "benchmark")
+    for kind, rest in (("txt", 0), ("csv", 1)):
+        texts.where(F.col("item_id") % 2 == rest).select("text", "item_id").write.partitionBy(
+            "item_id"
+        ).text(f"{root}/{kind}")
+    odd = f"{root}/csv/item_id=1"
+    path = spark._jvm.org.apache.hadoop.fs.Path(odd)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(
+        f.getPath() for f in system.listStatus(path) if f.getPath().getName().startswith("part-")
+    )
+    unknown = spark._jvm.org.apache.hadoop.fs.Path(f"{odd}/table.csv")
+    system.rename(part, unknown)
+    collection = index.Collection.create(spark, f"{root}/index", TEXT_WIDTH)
+    outcome = ingest.ingest_files(
+        collection, 0, [f"{root}/txt", unknown.toString(), f"{root}/none.txt"], embed_text,
+        *SMALL_WINDOW,
+    )
+    item = lambda path: F.regexp_extract(path, r"item_id=(\d+)", 1)
+    stored = collection.points().select(
+        item(F.col("metadata")["source"]).alias("item"),
+        F.col("metadata")["chunk_index"].alias("chunk_index"),
+        F.col("chunk_text").alias("said"),
+    )
+    counted = outcome.per_source.select(
+        item(F.col("path")).alias("item"), F.lit("n").alias("chunk_index"),
+        F.col("n_chunks").cast("string").alias("said"),
+    )
+    rejected = outcome.rejected.select(
+        item(F.col("path")).alias("item"), F.lit("rejected").alias("chunk_index"),
+        F.col("reason").alias("said"),
     )
+    return stored.unionByName(counted).unionByName(rejected)
 
 
 # Streams -------------------------------------------------------------------------------------
@@ -696,8 +839,8 @@ def _stream_of(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 @_query
-def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
-    root = _run_folder(spark, "stream")
+@_in_folder("stream_ingest")
+def stream_ingest(spark: SparkSession, folder: str, root: str) -> DataFrame:
     collection = index.Collection.create(spark, f"{root}/index", TEXT_WIDTH)
     requests = _stream_of(spark, folder, "documents").select(
         F.col("doc_id").cast("string").alias("document_id"),
@@ -707,17 +850,17 @@ def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     ingest_stream(requests, collection, embed_text, f"{root}/state").awaitTermination()
     return collection.points().select(
         "chunk_id",
-        F.col("payload")["document_id"].alias("document_id"),
-        F.col("payload")["chunk_index"].alias("chunk_index"),
-        F.col("payload")["chunk_text"].alias("chunk_text"),
-        F.col("payload")["lang"].alias("lang"),
+        F.col("metadata")["document_id"].alias("document_id"),
+        F.col("metadata")["chunk_index"].alias("chunk_index"),
+        "chunk_text",
+        F.col("metadata")["lang"].alias("lang"),
     )
 
 
 @_query
-def stream_retrieval(spark: SparkSession, folder: str) -> DataFrame:
-    root = _run_folder(spark, "stream")
-    points = _text_points(spark, folder)
+@_in_folder("stream_retrieval")
+def stream_retrieval(spark: SparkSession, folder: str, root: str) -> DataFrame:
+    points = _text_points(spark, folder, root)
     requests = _stream_of(spark, folder, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query")
     )
@@ -835,7 +978,8 @@ def evaluate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @_query
-def collect_answers(spark: SparkSession, folder: str) -> DataFrame:
+@_in_folder("collect_answers")
+def collect_answers(spark: SparkSession, folder: str, root: str) -> DataFrame:
     """Benchmark questions with retrieved contexts; every second text is its own truth."""
     questions = tables.text_queries(spark, folder).select(
         F.col("query_id").alias("sample_id"),
@@ -843,7 +987,7 @@ def collect_answers(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.length("query") % 2 == 0, F.col("query")).alias("ground_truth"),
     )
     answered = grounding.answer_questions(
-        _text_points(spark, folder), tables.text_queries(spark, folder), embed_text,
+        _text_points(spark, folder, root), tables.text_queries(spark, folder), embed_text,
         top_k=3, threshold=TEXT_THRESHOLD,
     )
     samples = evaluation.collect_answers(

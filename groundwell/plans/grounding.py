@@ -14,6 +14,7 @@ from groundwell.functions.prompts import (
     grounded_prompt,
 )
 from groundwell.functions.vectors import Embedder
+from groundwell.operators.requests import split_requests
 from groundwell.operators.search import attach_hits, gather_hits, with_payload
 from groundwell.plans.retrieval import search_text
 from groundwell.settings import GROUNDED_TOP_K_MAX, Settings
@@ -58,13 +59,28 @@ def answer_questions(
 ) -> DataFrame:
     """Retrieval, threshold, prompt and answer for ``query_id, query[, top_k][, filters]``.
 
-    One row per question, also where nothing was found.
+    One row per valid question, also where nothing was found; see :func:`refused_questions`
+    for the others.
     """
+    questions, _ = _split(questions, top_k)
     hits = search_text(points, questions, embed, top_k, GROUNDED_TOP_K_MAX)
     kept = with_payload(above_threshold(hits, threshold), points)
     return with_answers(ground(questions, gather_hits(kept)), generate)
 
 
+def refused_questions(
+    questions: DataFrame, top_k: int | None = Settings.default_top_k
+) -> DataFrame:
+    """Questions that are not answered, with their ``reject_reason``: an empty one, or one
+    whose own ``top_k`` (with ``top_k=None``) is out of bounds."""
+    return _split(questions, top_k)[1]
+
+
+def _split(questions: DataFrame, top_k: int | None) -> tuple[DataFrame, DataFrame]:
+    own = "top_k" if top_k is None else None
+    return split_requests(questions, text="query", top_k=own, max_top_k=GROUNDED_TOP_K_MAX)
+
+
 def _generate(generate: Generator):
     @F.pandas_udf("string")
     def answers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -14,7 +14,12 @@ from groundwell.functions.ids import (
     document_id_or_default,
     path_document_id,
 )
-from groundwell.functions.payload import file_payload, request_payload
+from groundwell.functions.payload import (
+    file_payload,
+    payload_metadata,
+    payload_text,
+    request_payload,
+)
 from groundwell.functions.vectors import Embedder
 from groundwell.operators.chunking import chunk_documents, chunk_tallies
 from groundwell.operators.index import Collection
@@ -39,7 +44,7 @@ def points_of_requests(
     request_key: str | None = None,
     order: str | None = None,
 ) -> DataFrame:
-    """Points ``chunk_id, vector, payload`` of valid requests. No shuffle.
+    """Points ``chunk_id, vector, chunk_text, metadata`` of valid requests. No shuffle.
 
     ``order`` is a column of the requests to keep, which tells the later of two requests for
     the same document.
@@ -49,14 +54,40 @@ def points_of_requests(
     chunks = chunk_documents(
         with_document_id(accepted, request_key), chunk_size, chunk_overlap, carry
     )
+    payload = request_payload(
+        F.col("document_id"), F.col("chunk_index"), F.col("chunk_text"), F.col("metadata")
+    )
     return chunks.select(
         *carry,
         chunk_id(F.col("document_id"), F.col("chunk_index")).alias("chunk_id"),
         embed(F.col("chunk_text")).alias("vector"),
-        request_payload(
-            F.col("document_id"), F.col("chunk_index"), F.col("chunk_text"), F.col("metadata")
-        ).alias("payload"),
+        payload_text(payload).alias("chunk_text"),
+        payload_metadata(payload).alias("metadata"),
+    )
+
+
+def store_requests(
+    collection: Collection,
+    batch: int,
+    requests: DataFrame,
+    embed: Embedder,
+    chunk_size: int = Settings.chunk_size,
+    chunk_overlap: int = Settings.chunk_overlap,
+    request_key: str | None = None,
+    order: str | None = None,
+) -> None:
+    """Store requests as one batch, of which the last request for a document wins.
+
+    The last one is told by the column ``order``, or else by the order of the rows. All chunks
+    of a request rank alike, so that no two versions of a document are mixed.
+    """
+    place = order or "__place"
+    if order is None:
+        requests = requests.withColumn(place, F.monotonically_increasing_id())
+    points = points_of_requests(
+        requests, embed, chunk_size, chunk_overlap, request_key, place
     )
+    collection.write_batch(batch, points, place)
 
 
 def summarize_requests(
@@ -96,12 +127,15 @@ def points_of_files(
     return chunk_documents(named, chunk_size, chunk_overlap).select(
         chunk_id(F.col("document_id"), F.col("chunk_index")).alias("chunk_id"),
         embed(F.col("chunk_text")).alias("vector"),
-        file_payload(
-            F.col("document_id"),
-            F.col("chunk_index"),
-            F.col("chunk_text"),
-            F.col("metadata")["source"],
-        ).alias("payload"),
+        "chunk_text",
+        payload_metadata(
+            file_payload(
+                F.col("document_id"),
+                F.col("chunk_index"),
+                F.col("chunk_text"),
+                F.col("metadata")["source"],
+            )
+        ).alias("metadata"),
     )
 
 
@@ -124,7 +158,9 @@ def ingest_files(
 ) -> FileIngest:
     """Load, chunk, embed and store files as one batch of ``collection``."""
     documents, rejected = load_documents(collection.spark, paths, pdf_pages)
-    collection.write_batch(batch, points_of_files(documents, embed, chunk_size, chunk_overlap))
+    # A file is read once, so no id occurs twice.
+    points = points_of_files(documents, embed, chunk_size, chunk_overlap)
+    collection.write_batch(batch, points, unique=True)
     return FileIngest(
         rejected, chunks_per_source(documents, "path", chunk_size, chunk_overlap)
     )
@@ -165,6 +201,7 @@ __all__ = [
     "ingest_files",
     "points_of_files",
     "points_of_requests",
+    "store_requests",
     "summarize_requests",
     "total_chunks",
     "with_document_id",

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from groundwell.functions.ids import URL_NAMESPACE
-from groundwell.functions.prompts import NO_CONTEXT_ANSWER, SYSTEM_TEXT
-from groundwell.operators.evaluation import PUNCTUATION, STATEMENT_PATTERN
 from groundwell.plans.catalog import (
     REQUEST_TEXT,
     SMALL_WINDOW,
@@ -15,6 +12,17 @@ from groundwell.plans.catalog import (
 )
 from groundwell.settings import Settings
 
+# Fixed values, written out here so that a slip in the library shows.
+URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
+NO_CONTEXT_ANSWER = "No relevant information was found in the knowledge base for this question."
+SYSTEM_TEXT = (
+    "You are a helpful assistant. Answer ONLY using the provided context. "
+    "If the context does not contain the answer, say that you do not know. "
+    "Do not invent facts."
+)
+PUNCTUATION = ".,;:!?"
+STATEMENT_PATTERN = r"[^.!?\n]+"
+
 WINDOW = (Settings.chunk_size, Settings.chunk_overlap)
 
 
@@ -259,6 +267,17 @@ _JUDGED = f"""
 _SMALL = _chunks("documents", "text", DOCUMENT, *SMALL_WINDOW)
 _OVERLAP = SMALL_WINDOW[1]
 
+_VERSIONS = """(
+  select doc_id::varchar as document_id, 0 as version, text from documents
+  union all
+  select doc_id::varchar, 1, replace(text, ' the ', ' ') from documents where lang = 'en')"""
+_REPEATS = f"""
+    select {_uuid5("document_id || ':' || chunk_index")} as chunk_id, document_id,
+           chunk_index::varchar as chunk_index, chunk_text
+    from {_chunks(_VERSIONS, 'text', 'document_id, version', *SMALL_WINDOW)}
+    qualify row_number() over (
+      partition by document_id, chunk_index order by version desc) = 1"""
+
 ORACLES: dict[str, str] = {
     "tokenize_stats": f"""
         select doc_id, len(tk)::int as n_tokens, len(list_distinct(tk))::int as n_distinct,
@@ -350,6 +369,39 @@ ORACLES: dict[str, str] = {
     "search_filtered": SEARCH_FILTERED,
     "search_filtered_blocks": SEARCH_FILTERED,
     "cell_search_filtered": SEARCH_FILTERED,
+    "search_many_filters": f"""
+        select query_id, rank, chunk_id, score
+        from {_top_k(_vector_pairs('c.vec_id % 250 = q.vec_id % 250'), '5')}""",
+    "cell_search_recall": f"""
+        select count(*) as n_exact, true as recall_reached
+        from {_top_k(_vector_pairs(), '5')}""",
+    "rag_rejects": f"""
+        with q as (
+          select item_id, case when item_id % 5 = 0 then '' else text end as query,
+                 case item_id % 4 when 0 then 0 when 1 then 20 when 2 then 21 end as top_k
+          from benchmark),
+        n as (select count(*) as n from {_chunks('documents', 'text', 'doc_id', *WINDOW)})
+        select item_id as query_id,
+               case when query = '' then 'query is empty'
+                    when top_k not between 1 and 20 then 'top_k is not in 1..20'
+                    else 'answered' end as outcome,
+               case when query = '' or top_k not between 1 and 20 then 0
+                    else least(coalesce(top_k, 5), n) end::int as n_contexts
+        from q, n""",
+    "upsert_repeats": _REPEATS,
+    "ingest_repeats": _REPEATS,
+    "file_ingest": f"""
+        with c as (
+          select item_id, chunk_index, chunk_text
+          from {_chunks('benchmark', 'text', 'item_id', *SMALL_WINDOW)} where item_id % 2 = 0)
+        select item_id::varchar as item, chunk_index::varchar as chunk_index, chunk_text as said
+        from c
+        union all
+        select item_id::varchar, 'n', count(*)::varchar from c group by item_id
+        union all
+        select '1', 'rejected', 'unsupported file ending: .csv'
+        union all
+        select '', 'rejected', 'file not found'""",
     "search_varying_k": f"""
         select query_id, rank, chunk_id, score
         from {_top_k(_vector_pairs(), 'query_label + 1')}""",

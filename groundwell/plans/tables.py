@@ -54,7 +54,7 @@ def conversation_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vector_points(spark: SparkSession, folder: str) -> DataFrame:
-    """``chunk_id, vector, payload`` of the embeddings, with their label in the payload.
+    """``chunk_id, vector, chunk_text, metadata`` of the embeddings, with their label.
 
     Odd labels have no text, so that its default shows.
     """
@@ -62,14 +62,8 @@ def vector_points(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("chunk_id"),
         F.col("embedding").alias("vector"),
-        F.when(
-            F.col("label") % 2 == 0,
-            F.create_map(
-                F.lit("label"), label, F.lit("chunk_text"), F.concat(F.lit("label "), label)
-            ),
-        )
-        .otherwise(F.create_map(F.lit("label"), label))
-        .alias("payload"),
+        F.when(F.col("label") % 2 == 0, F.concat(F.lit("label "), label)).alias("chunk_text"),
+        F.create_map(F.lit("label"), label).alias("metadata"),
     )
 
 

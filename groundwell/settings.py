@@ -31,12 +31,12 @@ GROUNDED_TOP_K_MAX = 20
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, as named by ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own.
+    Only a session in one process without that setting gets a folder of its own.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not context.master.startswith("local"):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         folder = os.path.join(tempfile.gettempdir(), f"groundwell-{context.applicationId}")
     if context.getCheckpointDir() is None:

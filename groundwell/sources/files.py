@@ -116,7 +116,8 @@ def assemble_pages(pages: DataFrame) -> DataFrame:
     documents of any length use :func:`groundwell.operators.chunking.chunk_pages`, which never
     assembles them.
     """
-    page = F.struct("page_no", "page_text")
+    # A page without a number comes first.
+    page = F.struct(F.coalesce("page_no", F.lit(-1)).alias("page_no"), "page_text")
     return (
         pages.groupBy("document_id")
         .agg(F.array_sort(F.collect_list(page)).alias("pages"))

@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from groundwell.functions.vectors import Embedder
 from groundwell.operators.index import Collection
-from groundwell.plans.ingest import points_of_requests
+from groundwell.plans.ingest import store_requests
 from groundwell.settings import Settings
 
 
@@ -33,20 +33,20 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Chunk, embed and store a stream of requests.
 
-    Chunking and embedding are stateless and run on the stream; each micro-batch is stored
-    under its own number, so a batch that is run again replaces itself. ``first_batch`` shifts
-    the numbers past those already in the collection. ``order`` is a request column that tells
-    the later of two requests for one document within a batch.
+    Each micro-batch is stored under its own number, so a batch that is run again replaces
+    itself. ``first_batch`` shifts the numbers past those already in the collection. ``order``
+    is a request column that tells the later of two requests for one document within a batch;
+    without it the later row is.
     """
-    points = points_of_requests(
-        requests, embed, chunk_size, chunk_overlap, request_key, order
-    )
 
     def store(batch: DataFrame, number: int) -> None:
-        collection.write_batch(first_batch + number, batch, order)
+        store_requests(
+            collection, first_batch + number, batch, embed, chunk_size, chunk_overlap,
+            request_key, order,
+        )
 
     return (
-        points.writeStream.foreachBatch(store)
+        requests.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

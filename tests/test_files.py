@@ -106,10 +106,10 @@ def test_file_ingest_end_to_end(spark, folder, tmp_path):
     )
     rows = collection.points().collect()
     path = str(folder / "a.txt")
-    mine = {r.payload["chunk_index"]: r.payload for r in rows if r.payload["source"] == path}
+    mine = {r.metadata["chunk_index"]: r for r in rows if r.metadata["source"] == path}
     document_id = hashlib.sha1(path.encode()).hexdigest()[:16]
-    assert [mine[str(i)]["chunk_text"] for i in range(2)] == ["one two", "three four"]
-    assert {p["document_id"] for p in mine.values()} == {document_id}
+    assert [mine[str(i)].chunk_text for i in range(2)] == ["one two", "three four"]
+    assert {r.metadata["document_id"] for r in mine.values()} == {document_id}
     assert reasons(outcome.rejected) == {"report.pdf": "no PDF reader", "gone.md": "file not found"}
     per_source = {r.path: r.n_chunks for r in outcome.per_source.collect()}
     assert per_source[path] == 2 and sum(per_source.values()) == len(rows)

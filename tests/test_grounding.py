@@ -8,20 +8,20 @@ from groundwell.functions.vectors import hash_embedder
 from groundwell.operators import evaluation as ev
 from groundwell.operators.search import search
 from groundwell.plans.evaluation import evaluate, judge_samples, run_evaluation
-from groundwell.plans.grounding import above_threshold, answer_questions
+from groundwell.plans.grounding import above_threshold, answer_questions, refused_questions
 from groundwell.plans.ingest import points_of_requests
 from groundwell.sources.run_log import read_runs
 from groundwell.sources.samples import read_samples
 
 EMBED = hash_embedder(8)
-FIXED = "A grounded answer based on the provided context."
+FIXED = "They are kept in blocks."
 
 
 def fixed_answers():
     # Built inside a function, so that it travels to workers by value.
     def generate(prompts):
         assert all(p.startswith("Context (from the knowledge base):") for p in prompts)
-        return ["A grounded answer based on the provided context."] * len(prompts)
+        return ["They are kept in blocks."] * len(prompts)
 
     return generate
 
@@ -117,7 +117,7 @@ NAN = float("nan")
 def test_metric_names():
     assert ev.select_metrics(None) == list(ev.METRICS) == ev.select_metrics([])
     assert ev.select_metrics(["nope", "faithfulness"]) == ["faithfulness"]
-    with pytest.raises(ValueError, match="No valid metrics"):
+    with pytest.raises(ValueError, match="is a metric"):
         ev.select_metrics(["nope"])
 
 
@@ -210,3 +210,23 @@ def test_evaluation_end_to_end(spark, points, tmp_path):
     assert logged["context_recall"] == "1.0"
     with pytest.raises(ValueError):
         run_evaluation(points, asked, EMBED, f"{tmp_path}/none", metrics=["nope"])
+
+
+def test_refused_questions_get_no_answer(spark, points):
+    asked = spark.createDataFrame(
+        [(1, "how", 2), (2, "", 2), (3, "how", 0), (4, "how", 21), (5, None, 2), (6, "how", 20)],
+        "query_id INT, query STRING, top_k INT",
+    )
+    answered = answer_questions(points, asked, EMBED, None)
+    assert {r.query_id for r in answered.collect()} == {1, 6}
+    assert {r.query_id: r.reject_reason for r in refused_questions(asked, None).collect()} == {
+        2: "query is empty", 5: "query is empty",
+        3: "top_k is not in 1..20", 4: "top_k is not in 1..20",
+    }
+
+
+def test_labels_round_the_binary_value(spark):
+    values = [0.00015, 0.00025, 0.5, 0.12345, 0.99995, 1.0, 0.0, 2 / 3, -0.00015, 0.03125, 0.00005]
+    means = spark.createDataFrame([(str(i), v) for i, v in enumerate(values)], "metric STRING, value DOUBLE")
+    labels = {int(r.metric): r.label for r in ev.metric_report(means).collect()}
+    assert labels == {i: f"{v:.4f}" for i, v in enumerate(values)}

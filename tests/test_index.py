@@ -8,6 +8,7 @@ from groundwell.operators import index
 from groundwell.operators.index import Collection
 from groundwell.plans.ingest import (
     points_of_requests,
+    store_requests,
     summarize_requests,
     total_chunks,
 )
@@ -30,7 +31,7 @@ def points(spark, *rows):
 
 def stored(frame):
     return {
-        (r.payload["document_id"], r.payload["chunk_index"]): r.payload["chunk_text"]
+        (r.metadata["document_id"], r.metadata["chunk_index"]): r.chunk_text
         for r in frame.collect()
     }
 
@@ -65,7 +66,7 @@ def test_a_hot_id_is_folded_before_the_shuffle(spark):
         F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"),
         "id",
     )
-    newest = index.latest(rows, "k", F.col("id").desc())
+    newest = index.last_of(rows, "k", "id")
     assert newest.where("k = 'hot'").first()["id"] == 999
     assert newest.count() == 667
     plan = newest._jdf.queryExecution().executedPlan().toString()
@@ -73,11 +74,9 @@ def test_a_hot_id_is_folded_before_the_shuffle(spark):
 
 
 def test_audit(spark):
-    text = {"chunk_text": "t"}
     rows = spark.createDataFrame(
-        [("a", [1.0, 0.0], text), ("a", [3.0, 4.0], {"k": "v"}), ("b", [1.0], text),
-         ("c", None, None)],
-        "chunk_id STRING, vector ARRAY<FLOAT>, payload MAP<STRING,STRING>",
+        [("a", [1.0, 0.0], "t"), ("a", [3.0, 4.0], ""), ("b", [1.0], "t"), ("c", None, None)],
+        "chunk_id STRING, vector ARRAY<FLOAT>, chunk_text STRING",
     )
     assert index.audit(rows, 2).first().asDict() == {
         "n_points": 4, "n_ids": 3, "n_wrong_width": 2, "n_not_unit": 2, "n_without_text": 2,
@@ -132,13 +131,13 @@ def test_delete_compact_and_go_on(spark, tmp_path):
     first = Collection.create(spark, f"{tmp_path}/one", 8)
     assert first.points().count() == 0
     first.write_batch(0, points(spark, ("d", "one", {}), ("e", "two", {}), ("f", "three", {})))
-    gone = first.points().where("payload['document_id'] = 'e'").select("chunk_id")
+    gone = first.points().where("metadata['document_id'] = 'e'").select("chunk_id")
     first.delete_batch(1, gone)
     assert set(stored(first.points())) == {("d", "0"), ("f", "0")}
     second = first.compact(f"{tmp_path}/two")
     assert stored(second.points()) == stored(first.points())
     second.write_batch(0, points(spark, ("e", "back", {}), ("d", "newer", {})))
-    second.delete_batch(1, second.points().where("payload['document_id'] = 'f'"))
+    second.delete_batch(1, second.points().where("metadata['document_id'] = 'f'"))
     assert stored(second.points()) == {("d", "0"): "newer", ("e", "0"): "back"}
     assert stored(Collection.open(spark, f"{tmp_path}/two").points()) == stored(second.points())
     with pytest.raises(ValueError):
@@ -177,3 +176,36 @@ def test_ingest_result_of_good_blank_and_refused_requests(spark):
 def test_ingest_plan_is_narrow(spark):
     plan = points(spark, ("d", "x", {}))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_an_upsert_leaves_one_row_or_fails(spark):
+    changes = keyed(
+        spark, ("x", "2", 1), ("x", "3", 1), ("y", "4", None), ("y", "5", 0),
+        schema="chunk_id STRING, v STRING, seq INT",
+    )
+    with pytest.raises(Exception, match="no order tells the last row"):
+        index.upsert(keyed(spark, ("x", "1")), changes.drop("seq")).collect()
+    with pytest.raises(Exception, match="no order tells the last row"):
+        index.upsert(keyed(spark, ("x", "1")), changes, order="seq").collect()
+    good = index.upsert(keyed(spark, ("x", "1")), changes.where("v != '2'"), order="seq")
+    assert {tuple(r) for r in good.collect()} == {("x", "3"), ("y", "5")}
+
+
+def test_two_versions_of_a_document_in_a_batch_are_not_mixed(spark, tmp_path):
+    rows = requests(spark, ("d", "z z a a", {}), ("d", "a a z z", {})).coalesce(1)
+    collection = Collection.create(spark, f"{tmp_path}/index", 8)
+    store_requests(collection, 0, rows, EMBED, 2, 0)
+    assert stored(collection.points()) == {("d", "0"): "a a", ("d", "1"): "z z"}
+    with pytest.raises(Exception, match="no order tells the last row"):
+        collection.write_batch(1, points_of_requests(rows, EMBED, 2, 0))
+
+
+def test_reading_an_index_ranks_ids_only(spark, tmp_path):
+    collection = Collection.create(spark, f"{tmp_path}/index", 8)
+    for batch, text in enumerate(("one two", "three")):
+        collection.write_batch(batch, points(spark, ("d", text, {}), (f"e{batch}", text, {})))
+    assert stored(collection.points()) == {
+        ("d", "0"): "three", ("e0", "0"): "one two", ("e1", "0"): "three"
+    }
+    plan = collection.points()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "first(vector" not in plan

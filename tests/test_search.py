@@ -8,10 +8,17 @@ from groundwell.functions.vectors import hash_embedder
 from groundwell.operators import index
 from groundwell.operators.cells import Cells, recall, search_cells
 from groundwell.operators.requests import split_requests
-from groundwell.operators.search import search, search_one, with_payload
+from groundwell.operators.search import (
+    large_parts,
+    odd_vectors,
+    score_all,
+    search,
+    search_one,
+    with_payload,
+)
 from groundwell.plans.retrieval import search_hits, search_responses, search_text
 
-POINTS = "chunk_id STRING, vector ARRAY<FLOAT>, payload MAP<STRING,STRING>"
+POINTS = "chunk_id STRING, vector ARRAY<FLOAT>, metadata MAP<STRING,STRING>"
 QUERIES = "query_id INT, vector ARRAY<FLOAT>, top_k INT, filters MAP<STRING,STRING>"
 SHAPES = {
     "in place": {},
@@ -114,11 +121,72 @@ def test_a_vector_that_is_not_a_number_ranks_last(spark):
         assert rows[0].score == -1.0 and np.isnan(rows[1].score)
 
 
-def test_vectors_of_another_width_fail(spark):
-    stored = spark.createDataFrame([("a", [1.0, 0.0], {}), ("b", [1.0], {})], POINTS).coalesce(1)
-    asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id INT, vector ARRAY<FLOAT>")
-    with pytest.raises(Exception, match="one width"):
-        search(stored, asked).collect()
+def test_vectors_of_another_width_or_none_are_no_candidates(spark):
+    rows = [("a", [1.0, 0.0], {}), ("b", [1.0], {}), ("c", [1.0, 2.0, 3.0], {}), ("d", None, {}),
+            ("e", [0.0, 1.0, 0.0, 0.0, 0.0], {})]
+    stored = spark.createDataFrame(rows, POINTS).coalesce(1)
+    asked = spark.createDataFrame(
+        [(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0, 0.0]), (3, None), (4, [2.0])],
+        "query_id INT, vector ARRAY<FLOAT>",
+    )
+    for shape in SHAPES.values():
+        assert found(search(stored, asked, **shape)) == {1: [("a", 1.0)], 4: [("b", 1.0)]}
+    vector = F.array(F.lit(1.0), F.lit(0.0))
+    assert [r.chunk_id for r in search_one(stored, vector).collect()] == ["a"]
+    assert [r.chunk_id for r in score_all(stored, vector).collect()] == ["a"]
+    assert {r.chunk_id: r.reason for r in odd_vectors(stored, 2).collect()} == {
+        "b": "width 1", "c": "width 3", "d": "no vector", "e": "width 5"
+    }
+
+
+def test_any_number_of_filtered_fields(spark):
+    rows = [(f"p{i:03}", [1.0, float(i)], {f"k{j}": "v" for j in range(i, 1100, 12)}) for i in range(12)]
+    stored = spark.createDataFrame(rows, POINTS)
+    asked = spark.createDataFrame(
+        [(j, [1.0, 1.0], 3, {f"k{j}": "v"}) for j in range(1100)], QUERIES
+    )
+    expected = {j: f"p{j % 12:03}" for j in range(1100)}
+    for shape in ({}, {"small_query_rows": 0}):
+        hits = search(stored, asked, None, **shape).collect()
+        assert {r.query_id: r.chunk_id for r in hits} == expected and len(hits) == 1100
+    cells = Cells.fit(stored, 3)
+    hits = search_cells(cells, cells.assign(stored), asked, None, n_probe=3).collect()
+    assert {r.query_id: r.chunk_id for r in hits} == expected
+
+
+def test_the_text_is_no_metadata(spark):
+    stored = spark.createDataFrame([("a", [1.0], {"chunk_text": "t", "k": "v"})], POINTS)
+    for filters in ({"chunk_text": "t"}, {"chunk_text": "t", "k": "v"}):
+        asked = spark.createDataFrame([(1, [1.0], 1, filters)], QUERIES)
+        assert search(stored, asked).count() == 0
+        assert search_one(stored, F.array(F.lit(1.0)), filters=filters).count() == 0
+
+
+def test_rows_of_one_id_fill_many_blocks(spark):
+    rows = [("same", [1.0, float(i)], {}) for i in range(4000)]
+    stored = spark.createDataFrame(rows, POINTS).withColumn("part", F.lit("2:"))
+    cuts = large_parts(stored, "stored_blocks", 100).first().stored_blocks
+    assert cuts == 40
+    block = F.pmod(F.xxhash64("chunk_id", "vector"), F.lit(cuts))
+    assert stored.groupBy(block).count().count() > 30
+
+
+def test_blocks_are_bounded_by_bytes(spark):
+    wide = spark.range(64).select(
+        F.array_repeat(F.lit(1.0).cast("float"), 4096).alias("vector"), F.lit("x").alias("part")
+    )
+    assert large_parts(wide, "n", 1000, 64 * 4096 * 8 // 4).first().n == 4
+    assert large_parts(wide, "n", 1000).count() == 0
+
+
+def test_a_filtered_search_reads_no_text(spark, tmp_path):
+    stored = spark.createDataFrame([("a", [1.0], {"k": "v"})], POINTS)
+    stored.withColumn("chunk_text", F.lit("t")).write.parquet(f"{tmp_path}/points")
+    asked = spark.createDataFrame([(1, [1.0], 1, {"k": "v"})], QUERIES)
+    hits = search(spark.read.parquet(f"{tmp_path}/points"), asked, small_query_rows=0)
+    assert hits.count() == 1
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "metadata:map" in plan and "chunk_text:string" not in plan
 
 
 @pytest.mark.parametrize("k", [0, 101])
@@ -163,18 +231,18 @@ def test_a_query_asking_for_too_many_hits_fails(data):
 def texts(spark):
     embed = hash_embedder(8)
     rows = [
-        ("a", "the cat sat on the mat"),
-        ("b", "quantum physics explains the very small"),
-        ("c", "the dog chased the ball across the park"),
-        ("d", "machine learning models need large datasets"),
+        ("a", "a red kite over the bay"),
+        ("b", "the ferry leaves at nine"),
+        ("c", "bread rises in a warm kitchen"),
+        ("d", "old maps show another coast"),
     ]
     frame = spark.createDataFrame(rows, "chunk_id STRING, text STRING").select(
         "chunk_id",
         embed(F.col("text")).alias("vector"),
+        F.col("text").alias("chunk_text"),
         F.create_map(
-            F.lit("chunk_text"), F.col("text"),
-            F.lit("category"), F.when(F.col("chunk_id") < "c", "x").otherwise("y"),
-        ).alias("payload"),
+            F.lit("category"), F.when(F.col("chunk_id") < "c", "x").otherwise("y")
+        ).alias("metadata"),
     )
     return frame, embed
 
@@ -185,14 +253,14 @@ def ask(spark, *rows, schema="query_id INT, query STRING"):
 
 def test_identical_text_is_the_top_hit(spark, texts):
     points, embed = texts
-    hit = search_hits(points, ask(spark, (1, "the cat sat on the mat")), embed, 1).first()
-    assert hit.chunk_text == "the cat sat on the mat" and hit.score > 0.9
+    hit = search_hits(points, ask(spark, (1, "a red kite over the bay")), embed, 1).first()
+    assert hit.chunk_text == "a red kite over the bay" and hit.score > 0.9
     assert hit.metadata["category"] == "x"
 
 
 def test_scores_do_not_increase(spark, texts):
     points, embed = texts
-    rows = search_text(points, ask(spark, (1, "animal behaviour")), embed, 3).collect()
+    rows = search_text(points, ask(spark, (1, "birds of the coast")), embed, 3).collect()
     scores = [r.score for r in sorted(rows, key=lambda r: r.rank)]
     assert len(scores) == 3 and scores == sorted(scores, reverse=True)
 
@@ -200,7 +268,7 @@ def test_scores_do_not_increase(spark, texts):
 def test_filter_comes_before_top_k(spark, texts):
     points, embed = texts
     asked = ask(
-        spark, (1, "the cat sat on the mat", {"category": "y"}),
+        spark, (1, "a red kite over the bay", {"category": "y"}),
         schema="query_id INT, query STRING, filters MAP<STRING,STRING>",
     )
     rows = search_hits(points, asked, embed, 2).collect()
@@ -224,8 +292,8 @@ def test_deleted_points_are_not_found(spark, texts):
     points, embed = texts
     left = index.delete(points, spark.createDataFrame([("a",), ("zz",)], "chunk_id STRING"))
     assert index.count(left).first()[0] == 3
-    hit = search_hits(left, ask(spark, (1, "the cat sat on the mat")), embed, 1).first()
-    assert hit.chunk_text != "the cat sat on the mat"
+    hit = search_hits(left, ask(spark, (1, "a red kite over the bay")), embed, 1).first()
+    assert hit.chunk_text != "a red kite over the bay"
 
 
 def test_refused_requests_give_no_hits_but_a_reason(spark, texts):
@@ -249,7 +317,8 @@ def test_refused_requests_give_no_hits_but_a_reason(spark, texts):
 def test_default_text_of_a_payload_without_text(spark):
     points = spark.createDataFrame([("a", [1.0], {"k": "v"})], POINTS)
     asked = spark.createDataFrame([(1, [1.0])], "query_id INT, vector ARRAY<FLOAT>")
-    row = with_payload(search(points, asked), points).first()
+    whole = points.withColumn("chunk_text", F.lit(None).cast("string"))
+    row = with_payload(search(whole, asked), whole).first()
     assert row.chunk_text == "" and row.metadata == {"k": "v"}
 
 

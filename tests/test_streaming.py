@@ -22,7 +22,7 @@ def source(spark, folder, schema):
 
 
 def stored(frame):
-    return sorted((r.chunk_id, r.payload["chunk_text"]) for r in frame.collect())
+    return sorted((r.chunk_id, r.chunk_text) for r in frame.collect())
 
 
 def test_stream_ingest_equals_batch_and_replay_adds_nothing(spark, tmp_path):
@@ -80,3 +80,16 @@ def test_repeated_requests_can_be_dropped(spark, tmp_path):
     requests = drop_repeats(source(spark, inbox, schema), "document_id", "at")
     ingest_stream(requests, collection, EMBED, f"{tmp_path}/state").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/index/changes").count() == 2
+
+
+def test_two_versions_in_a_micro_batch_are_not_mixed(spark, tmp_path):
+    rows = [("d", "z z a a", {}), ("d", "a a z z", {})]
+    drop_file(spark, tmp_path / "inbox", rows, REQUEST)
+    collection = Collection.create(spark, f"{tmp_path}/index", 8)
+    ingest_stream(
+        source(spark, tmp_path / "inbox", REQUEST), collection, EMBED, f"{tmp_path}/state", 2, 0
+    ).awaitTermination()
+    assert {t for _, t in stored(collection.points())} == {"a a", "z z"}
+    assert {r.metadata["chunk_index"]: r.chunk_text for r in collection.points().collect()} == {
+        "0": "a a", "1": "z z"
+    }

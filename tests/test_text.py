@@ -187,3 +187,12 @@ def test_running_sum_in_blocks_equals_a_plain_one(spark):
         assert r.s == sum(v for k, p, v in rows if k == r.k and p <= r.p)
         assert r.t == sum(mine)
     assert len(got) == len(rows)
+
+
+def test_a_page_without_a_number_is_kept(spark):
+    pages = spark.createDataFrame(
+        [("d", 0, "a b"), ("d", None, "c d"), (None, 1, "e f")],
+        "document_id STRING, page_no INT, page_text STRING",
+    )
+    rows = {(r.document_id, r.chunk_index): r.chunk_text for r in chunk_pages(pages, 2, 0).collect()}
+    assert rows == {("d", 0): "c d", ("d", 1): "a b", (None, 0): "e f"}
