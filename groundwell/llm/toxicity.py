@@ -232,18 +232,16 @@ def _ratio_of(
 
 
 def text_features(text: str | None, tables: tuple) -> list[float]:
-    """Differences of log-likelihood: per character, and per word of the most telling words;
-    and the logarithm of the number of words."""
+    """Differences of log-likelihood: per character, and per word of the most telling words."""
     characters = _characters(text)
     grams = _grams(characters)
     if not len(grams):
-        return [0.0] * (2 + len(TELLING))
+        return [0.0] * (1 + len(TELLING))
     ratios = _ratio_of(grams, tables)
     ends = characters[ORDER - 1 : -1] == ord(" ")
     words = np.bincount(np.concatenate([[0], np.cumsum(ends)]), ratios)
-    top = np.sort(words)[::-1][: max(TELLING)]
-    means = [float(top[:most].sum()) / most for most in TELLING]
-    return [float(ratios.mean()), *means, float(np.log1p(len(words)))]
+    top = np.sort(words)[::-1]
+    return [float(ratios.mean()), *(float(top[:most].mean()) for most in TELLING)]
 
 
 @dataclass(frozen=True)
@@ -320,7 +318,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     drawn = rest.where(F.pmod("draw", F.lit(1 << 20)) <= int(share * (1 << 20)))
     rows = _features(drawn, tables, ["toxic"]).limit(2 * CURVE_ROWS).toArrow()
     toxic = rows.column("toxic").to_numpy().astype(np.float64)
-    n = 2 + len(TELLING)
+    n = 1 + len(TELLING)
     if len(set(toxic.tolist())) < 2:
         share = min(max(float(toxic.mean()) if len(toxic) else 0.5, 1e-6), 1 - 1e-6)
         weights = np.r_[np.log(share / (1 - share)), np.zeros(n)]

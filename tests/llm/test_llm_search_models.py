@@ -127,7 +127,7 @@ def test_toxicity_edge_cases(spark):
             words += rng.choice([" you vile grobnik", " grobnik fool", " what a grobnikel"])
         rows.append((i, words))
         labels.append((i, int(i % 4 == 0), 1))
-    rows += [(900, None), (901, ""), (902, "x"), (None, "you grobnik"), (0, rows[0][1]),
+    rows += [(900, None), (901, ""), (902, "x"), (None, "what a grobnik fool"), (0, rows[0][1]),
              (903, "the house is green " * 20000 + "vile grobnik fool")]
     labels += [(None, 1, 1), (5, None, 1), (6, 1, 1), (6, 0, 1)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("score", F.lit("?"))
@@ -154,7 +154,7 @@ def test_backoff_is_shared_for_unseen_expressions(spark):
     both = [r.ratio for r in seen.collect()]
     assert max(both) > 0.5 and min(both) < -0.5
     tables_ = (toxicity._slots(seen, 1 << 12), toxicity._slots(unseen, 1 << 12))
-    assert toxicity.text_features("qqqqq wwwww", tables_)[:-1] == [0.0] * 4
+    assert toxicity.text_features("qqqqq wwwww", tables_) == [0.0] * 4
     assert toxicity.text_features("xyz", tables_)[0] < 0
 
 
