@@ -173,31 +173,35 @@ def _words(text: Column) -> Column:
     return F.array_distinct(tokens(bare))
 
 
-def statement_verdicts(
-    samples: DataFrame, text: str, key: str = "sample_id", support: float = 0.5
-) -> DataFrame:
-    """Statements of ``text``, 1 when ``support`` of their distinct words are in ``contexts``.
+def statement_judgement(text: str, support: float = 0.5) -> Column:
+    """Verdicts on the statements of a column: 1 where ``support`` of a statement's distinct
+    words are in ``contexts``. Statements without words are left out.
 
-    Statements without words are left out. Stays within the row: a sample's contexts are
-    bounded by its top-k.
+    Stays within the row: a sample's contexts are bounded by its top-k.
     """
     statements = F.regexp_extract_all(
         F.coalesce(text, F.lit("")), F.lit(STATEMENT_PATTERN), F.lit(0)
     )
     said = F.filter(F.transform(statements, _words), lambda words: F.size(words) > 0)
-    verdicts = let(
+    return let(
         F.flatten(F.transform("contexts", _words)),
         lambda known: F.transform(said, lambda words: _holds(words, known, support)),
     )
-    return samples.select(key, F.posexplode(verdicts).alias("statement_no", "verdict"))
 
 
-def context_verdicts(
-    samples: DataFrame, reference: str = "ground_truth", key: str = "sample_id",
-    support: float = 0.1,
+def statement_verdicts(
+    samples: DataFrame, text: str, key: str = "sample_id", support: float = 0.5
 ) -> DataFrame:
-    """Contexts in rank order, 1 when they hold ``support`` of the reference's words."""
-    verdicts = let(
+    """:func:`statement_judgement` as rows ``key, statement_no, verdict``."""
+    return samples.select(
+        key, F.posexplode(statement_judgement(text, support)).alias("statement_no", "verdict")
+    )
+
+
+def context_judgement(reference: str = "ground_truth", support: float = 0.1) -> Column:
+    """Verdicts on ``contexts`` in rank order: 1 for those that hold ``support`` of the
+    reference's words."""
+    return let(
         _words(F.coalesce(reference, F.lit(""))),
         lambda wanted: F.transform(
             "contexts",
@@ -206,10 +210,46 @@ def context_verdicts(
             ),
         ),
     )
+
+
+def context_verdicts(
+    samples: DataFrame, reference: str = "ground_truth", key: str = "sample_id",
+    support: float = 0.1,
+) -> DataFrame:
+    """:func:`context_judgement` as rows ``key, rank, verdict``."""
+    verdicts = context_judgement(reference, support)
     return samples.select(key, F.posexplode(verdicts).alias("place", "verdict")).select(
         key, (F.col("place") + 1).alias("rank"), "verdict"
     )
 
 
+def share_of(verdicts: Column) -> Column:
+    """:func:`share_scores` of one array of verdicts; null for an empty one."""
+    total = F.aggregate(verdicts, F.lit(0), lambda a, v: a + v)
+    return F.when(F.size(verdicts) > 0, total / F.size(verdicts))
+
+
+def precision_of(verdicts: Column) -> Column:
+    """:func:`precision_scores` of one array of verdicts; null for an empty one."""
+    start = F.struct(
+        F.lit(0).alias("rank"), F.lit(0).alias("seen"), F.lit(0.0).alias("gain")
+    )
+
+    def step(now: Column, verdict: Column) -> Column:
+        seen = now["seen"] + verdict
+        rank = now["rank"] + 1
+        return F.struct(
+            rank.alias("rank"),
+            seen.alias("seen"),
+            (now["gain"] + verdict * seen / rank).alias("gain"),
+        )
+
+    score = F.aggregate(
+        verdicts, start, step,
+        lambda end: F.when(end["seen"] > 0, end["gain"] / end["seen"]).otherwise(F.lit(0.0)),
+    )
+    return F.when(F.size(verdicts) > 0, score)
+
+
 def _holds(words: Column, known: Column, support: float) -> Column:
     return (F.size(F.array_intersect(words, known)) >= support * F.size(words)).cast("int")

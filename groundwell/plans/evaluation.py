@@ -8,21 +8,20 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundwell.functions.vectors import Embedder
+from groundwell.functions.vectors import Embedder, cosine
 from groundwell.operators.evaluation import (
     collect_answers,
     complete_samples,
-    context_verdicts,
+    context_judgement,
     metric_means,
     metric_report,
-    precision_scores,
-    relevancy_scores,
+    precision_of,
     select_metrics,
-    share_scores,
-    statement_verdicts,
+    share_of,
+    statement_judgement,
 )
 from groundwell.plans.grounding import Generator, answer_questions
-from groundwell.settings import Settings, shared_folder
+from groundwell.settings import Settings
 from groundwell.sources.run_log import append_run, metric_rows, param_rows
 from groundwell.sources.samples import read_samples, with_sample_ids, write_samples
 
@@ -36,29 +35,27 @@ def judge_samples(
 ) -> DataFrame:
     """``sample_id, metric, value`` by the token-overlap judge.
 
-    Answer relevancy takes the answer itself as the one question generated from it. Each
-    metric reads the samples, so they are written once to the shared folder.
+    Answer relevancy takes the answer itself as the one question generated from it. All that a
+    score needs is in the sample's row, so one projection gives them all; nothing is grouped
+    or joined. A sample without statements, or without contexts, has no score by them.
     """
-    shared_folder(samples.sparkSession)
-    samples = complete_samples(samples).checkpoint()
     by_name = {
-        "faithfulness": lambda: share_scores(
-            statement_verdicts(samples, "answer"), "faithfulness"
-        ),
-        "answer_relevancy": lambda: relevancy_scores(
-            samples.select("sample_id", embed(F.col("question")).alias("vector")),
-            samples.select("sample_id", embed(F.col("answer")).alias("vector")),
-        ),
-        "context_precision": lambda: precision_scores(context_verdicts(samples)),
-        "context_recall": lambda: share_scores(
-            statement_verdicts(samples, "ground_truth"), "context_recall"
-        ),
+        "faithfulness": share_of(statement_judgement("answer")),
+        "answer_relevancy": cosine(embed(F.col("question")), embed(F.col("answer"))),
+        "context_precision": precision_of(context_judgement()),
+        "context_recall": share_of(statement_judgement("ground_truth")),
     }
-    scores = [by_name[name]() for name in select_metrics(metrics)]
-    whole = scores[0]
-    for part in scores[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    scores = F.array(
+        *(
+            F.struct(F.lit(name).alias("metric"), by_name[name].alias("value"))
+            for name in select_metrics(metrics)
+        )
+    )
+    return (
+        complete_samples(samples)
+        .select("sample_id", F.inline(scores))
+        .where(F.col("value").isNotNull())
+    )
 
 
 def evaluate(

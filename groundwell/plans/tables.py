@@ -84,17 +84,32 @@ def text_queries(spark: SparkSession, folder: str) -> DataFrame:
 def neighbour_turns(spark: SparkSession, folder: str, *distances: int) -> DataFrame:
     """Turns with the texts at the given distances in ``near`` (null where there is none).
 
-    Equi joins on (conversation, turn), which is unique, so a long conversation is no hot key.
+    Every text is dealt to the turns that are near it, and these meet in one aggregate by
+    (conversation, turn), which is unique, so a long conversation is no hot key.
     """
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
-    out = turns
-    for i, distance in enumerate(distances):
-        other = turns.select(
-            "conv_id", (F.col("turn") - distance).alias("turn"), F.col("text").alias(f"__{i}")
+    places = [
+        F.struct(
+            (F.col("turn") - distance).alias("turn"), F.lit(slot).alias("slot"), "role", "text"
         )
-        out = out.join(other, ["conv_id", "turn"], "left")
-    names = [f"__{i}" for i in range(len(distances))]
-    return out.withColumn("near", F.array(*names)).drop(*names)
+        for slot, distance in enumerate((0, *distances))
+    ]
+    dealt = turns.select("conv_id", F.inline(F.array(*places)))
+    said = lambda slot, name: F.max(F.when(F.col("slot") == slot, F.col(name)))
+    return (
+        dealt.groupBy("conv_id", "turn")
+        .agg(
+            F.bool_or(F.col("slot") == 0).alias("own"),
+            said(0, "role").alias("role"),
+            said(0, "text").alias("text"),
+            *(said(i + 1, "text").alias(f"__{i}") for i in range(len(distances))),
+        )
+        .where("own")
+        .select(
+            "conv_id", "turn", "role", "text",
+            F.array(*(f"__{i}" for i in range(len(distances)))).alias("near"),
+        )
+    )
 
 
 def dialogue_samples(spark: SparkSession, folder: str) -> DataFrame:
