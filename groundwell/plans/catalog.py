@@ -29,7 +29,7 @@ from groundwell.plans import evaluation as evaluation_plan
 from groundwell.plans import grounding, ingest, retrieval, tables
 from groundwell.settings import GROUNDED_TOP_K_MAX, shared_folder
 from groundwell.sources.files import assemble_pages
-from groundwell.sources.run_log import metric_rows, param_rows
+from groundwell.sources.run_log import metric_rows, param_rows, read_runs
 from groundwell.streaming.ingest import ingest_stream
 from groundwell.streaming.retrieval import retrieval_stream
 
@@ -1000,6 +1000,33 @@ def collect_answers(spark: SparkSession, folder: str, root: str) -> DataFrame:
     )
 
 
+@_query
+@_in_folder("evaluation_run")
+def evaluation_run(spark: SparkSession, folder: str, root: str) -> DataFrame:
+    """A whole run: answers, samples written and read, scores, and the log of the run. The
+    generator says the question again; every second question is its own truth."""
+
+    def generate(prompts: list[str]) -> list[str]:
+        return [p.rsplit("\nQuestion: ", 1)[1].rsplit("\n\nAnswer:", 1)[0] for p in prompts]
+
+    questions = tables.text_queries(spark, folder).select(
+        F.col("query").alias("question"),
+        F.when(F.length("query") % 2 == 0, F.col("query")).alias("ground_truth"),
+    )
+    report = evaluation_plan.run_evaluation(
+        _text_points(spark, folder, root), questions, embed_text, f"{root}/samples", generate,
+        threshold=TEXT_THRESHOLD, log=f"{root}/log", run_id="run-1",
+    )
+    runs = read_runs(spark, f"{root}/log").where("run_id = 'run-1'")
+    logged = runs.where("kind = 'metric'").select(F.col("key").alias("metric"), "run_id")
+    # One row of a run's parameters beside at most four metrics.
+    n_samples = runs.where("kind = 'param' and key = 'n_samples'").select("value").scalar()
+    return report.join(logged, "metric", "left").select(
+        "metric", "label", F.col("run_id").isNotNull().alias("logged"),
+        n_samples.alias("n_samples"),
+    )
+
+
 @_query
 def run_log(spark: SparkSession, folder: str) -> DataFrame:
     """Rows a run appends to its log: parameters, and the metrics that are numbers."""

@@ -138,11 +138,12 @@ _SEPARATOR = "chr(10) || '---' || chr(10)"
 def _grounded(k: int) -> str:
     return f"""
       (select b.item_id as query_id, b.text as query, coalesce(h.n, 0)::int as n_contexts,
-              h.texts, h.ids, h.piped
+              h.texts, h.ids, h.piped, h.listed
        from benchmark b left join (
          select query_id, count(*) as n,
                 string_agg(chunk_text, {_SEPARATOR} order by rank) as texts,
                 string_agg(chunk_text, '|' order by rank) as piped,
+                list(chunk_text order by rank) as listed,
                 string_agg(chunk_id, ',' order by rank) as ids
          from {_top_k(_TEXT_PAIRS.format(condition='true'), str(k))}
          where score >= {TEXT_THRESHOLD} group by query_id) h on h.query_id = b.item_id)"""
@@ -228,17 +229,9 @@ def _statements(text: str) -> str:
       where len(said) > 0)"""
 
 
-_JUDGED = f"""
-  with samples as (
-    select t.conv_id || ':' || t.turn as sample_id, t.text as question,
-           coalesce(a.text, '') as answer, g.text as ground_truth,
-           list_filter([b.text, c.text], lambda x: x is not null) as contexts
-    from conversations t
-    left join conversations a on a.conv_id = t.conv_id and a.turn = t.turn + 1
-    left join conversations b on b.conv_id = t.conv_id and b.turn = t.turn - 1
-    left join conversations c on c.conv_id = t.conv_id and c.turn = t.turn + 2
-    left join conversations g on g.conv_id = t.conv_id and g.turn = t.turn + 3
-    where t.role = 'user'),
+def _judged(samples: str) -> str:
+    return f"""
+  with samples as ({samples}),
   useful as (
     select sample_id, rank,
            (len(wanted) > 0 and
@@ -264,6 +257,24 @@ _JUDGED = f"""
     select sample_id, 'context_recall', sum(verdict) / count(*)::double
     from {_statements('ground_truth')} group by sample_id)"""
 
+
+_JUDGED = _judged("""
+    select t.conv_id || ':' || t.turn as sample_id, t.text as question,
+           coalesce(a.text, '') as answer, g.text as ground_truth,
+           list_filter([b.text, c.text], lambda x: x is not null) as contexts
+    from conversations t
+    left join conversations a on a.conv_id = t.conv_id and a.turn = t.turn + 1
+    left join conversations b on b.conv_id = t.conv_id and b.turn = t.turn - 1
+    left join conversations c on c.conv_id = t.conv_id and c.turn = t.turn + 2
+    left join conversations g on g.conv_id = t.conv_id and g.turn = t.turn + 3
+    where t.role = 'user'""")
+_EVALUATED = _judged(f"""
+    select query_id::varchar as sample_id, query as question,
+           case when n_contexts = 0 then '{NO_CONTEXT_ANSWER}' else query end as answer,
+           case when length(query) % 2 = 0 then query end as ground_truth,
+           coalesce(listed, []) as contexts
+    from {_grounded(3)}""")
+
 _SMALL = _chunks("documents", "text", DOCUMENT, *SMALL_WINDOW)
 _OVERLAP = SMALL_WINDOW[1]
 
@@ -539,6 +550,10 @@ ORACLES: dict[str, str] = {
     "evaluate": _JUDGED + """
         select metric, format('{:.4f}', avg(value)) as label, true as logged
         from scores group by metric""",
+    "evaluation_run": _EVALUATED + """
+        select metric, format('{:.4f}', avg(value)) as label, true as logged,
+               (select count(*) from benchmark)::varchar as n_samples
+        from scores group by metric""",
     "collect_answers": f"""
         select query_id as sample_id, query as question,
                case when n_contexts = 0 then '{NO_CONTEXT_ANSWER}' else '' end as answer,

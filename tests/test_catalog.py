@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from groundwell.settings import shared_folder
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")
@@ -49,3 +50,9 @@ def test_every_statement_has_a_query():
 
 def test_entry(spark):
     assert entry(spark).count() > 0
+
+
+def test_a_query_leaves_no_run_folder(spark):
+    shared = Path(shared_folder(spark))
+    queries()["search_text"](spark, FOLDER).collect()
+    assert not list(shared.glob("search_text-*"))
