@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from groundwell.llm.common import ready, saved
+from groundwell.operators.sizes import broadcast_if_small
 
 #: Rows that the hashing is fitted on, at most, and queries among them.
 SAMPLE_ROWS = 4096
@@ -337,13 +338,15 @@ def nearest(points: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     placed = saved(
         indexed.select("vec_id", "vector", F.explode("buckets").alias("bucket"))
     )
-    # Only buckets of more than a block are worth a row here.
-    large = (
+    # Only buckets of more than a block are worth a row here, and while these are few the
+    # vectors are not shuffled to learn their block.
+    large = saved(
         placed.groupBy("bucket")
         .count()
         .where(F.col("count") > BLOCK)
         .select("bucket", F.ceil(F.col("count") / F.lit(BLOCK)).alias("blocks"))
     )
+    large = broadcast_if_small(large)
     cell = F.xxhash64("bucket", "block")
     n_blocks = F.coalesce("blocks", F.lit(1).cast("long"))
     cells = placed.join(large, "bucket", "left").select(
