@@ -309,7 +309,7 @@ def look_up(spark: SparkSession, archive: Archive, keys: DataFrame) -> DataFrame
         keys.select("key")
         .where("key is not null")
         .distinct()
-        .repartitionByRange("key")
+        .repartitionByRange(_tasks(spark), "key")
         .sortWithinPartitions("key")
         .mapInArrow(
             find, "key string, page_id bigint, file string, offset bigint, length bigint"
@@ -317,6 +317,12 @@ def look_up(spark: SparkSession, archive: Archive, keys: DataFrame) -> DataFrame
     )
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Tasks that look up or read: rows are small here and what they lead to is not, so that
+    their number must not follow from the bytes that are shuffled."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _located(rows: list[list]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True))
     kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
@@ -369,7 +375,7 @@ def read_records(spark: SparkSession, archive: Archive, located: DataFrame) -> D
 
     return (
         located.select("file", "offset", "length")
-        .repartitionByRange("file", "offset")
+        .repartitionByRange(_tasks(spark), "file", "offset")
         .sortWithinPartitions("file", "offset")
         .mapInArrow(
             read,
