@@ -59,7 +59,7 @@ def numbered(turns: DataFrame) -> DataFrame:
             "turn",
         )
         .withColumn("tokens", n_words("text"))
-        .repartitionByRange("conv_id", "turn", "role", "text")
+        .repartitionByRange("conv_id", "turn")
         .sortWithinPartitions("conv_id", "turn", "role", "text")
         .withColumn("part", F.spark_partition_id())
         .withColumn("at", F.monotonically_increasing_id())
