@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwell.llm.decontamination import normal_words
+from groundwell.operators.sizes import broadcast_if_small
 
 #: Notices by SPDX identifier.
 NOTICES = (
@@ -100,10 +101,10 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return (
         docs.select("doc_id", text.alias("text"))
         .select("doc_id", F.explode(units).alias("unit"))
-        .select("doc_id", "unit.whole", canonical(F.col("unit.text")).alias("form"))
-        .where("form != ''")
-        .select("doc_id", "whole", F.sha2("form", 256).alias("digest"))
-        .join(digests, "digest")
+        .select(
+            "doc_id", "unit.whole", F.sha2(canonical(F.col("unit.text")), 256).alias("digest")
+        )
+        .join(broadcast_if_small(digests), "digest")
         .groupBy("doc_id", "license_id")
         .agg(F.max("whole").alias("whole"), F.count("*").alias("units"))
     )
