@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import pytest
-from pyspark.sql import functions as F
 
 from groundwell.functions.prompts import NO_CONTEXT_ANSWER
 from groundwell.functions.vectors import hash_embedder
