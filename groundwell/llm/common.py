@@ -6,15 +6,16 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwell.session import ship_package
 from groundwell.settings import shared_folder
 
-#: Bytes of text that a Python task takes up at once; one longer text is taken alone.
-PIECE_BYTES = 4 << 20
+#: Bytes of text that a Python task takes up at once; one longer text is taken alone. Words
+#: and their hashes take some thirty times that.
+PIECE_BYTES = 1 << 20
 
 #: Fixed value: a word is a run of anything but a space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -70,7 +71,7 @@ def pieces(
     """The batches cut so that a piece has about ``limit`` bytes of text, or one row."""
     for batch in batches:
         texts, start, held = batch.column(column), 0, 0
-        sizes = pa.compute.binary_length(texts).to_pylist()
+        sizes = pc.binary_length(texts).to_pylist()
         for row, size in enumerate(sizes):
             if row > start and held + (size or 0) > limit:
                 yield batch.slice(start, row - start)
@@ -78,6 +79,8 @@ def pieces(
             held += size or 0
         if batch.num_rows > start:
             yield batch.slice(start)
+        # Workers are used again and would keep the room of their largest batch.
+        pa.default_memory_pool().release_unused()
 
 
 def utf8_list(texts: pa.Array) -> list[bytes]:
@@ -86,13 +89,6 @@ def utf8_list(texts: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in texts.cast(kind).to_pylist()]
 
 
-def word_array(text: Column | str) -> Column:
-    """The words of a text as an array, built-ins only; empty for null."""
-    text = F.col(text) if isinstance(text, str) else text
-    cut = F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+")
-    return F.filter(cut, lambda w: w != "")
-
-
 def n_words(text: Column | str) -> Column:
     """The number of words of a text; 0 for null."""
     text = F.col(text) if isinstance(text, str) else text

@@ -221,21 +221,23 @@ def rate(docs: DataFrame, model: Model, wanted: int = 1) -> DataFrame:
     ready(spark)
     new = ("expected_grade", "tails", "selected")
     names = [c for c in docs.columns if c not in new]
-    packed = docs.select(F.struct(*names).alias("row"), "text")
+    # Numbered, so that no name of theirs is in the way, and every column travels once.
+    numbered = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)))
+    text = f"c{names.index('text')}"
     shared = spark.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
-            tails = shared.value.tails(piece.column("text").to_pylist())
+        for piece in pieces(batches, text):
+            tails = shared.value.tails(piece.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [piece.column("row"), pa.array(list(tails), pa.list_(pa.float64()))],
-                ["row", "tails"],
+                [*piece.columns, pa.array(list(tails), pa.list_(pa.float64()))],
+                [*piece.schema.names, "tails"],
             )
 
-    fields = [packed.schema["row"], T.StructField("tails", T.ArrayType(T.DoubleType()))]
+    fields = [*numbered.schema.fields, T.StructField("tails", T.ArrayType(T.DoubleType()))]
     tail = F.col("tails")[min(wanted, len(model.thresholds)) - 1]
-    return packed.mapInArrow(work, T.StructType(fields)).select(
-        *(F.col("row")[c].alias(c) for c in names),
+    return numbered.mapInArrow(work, T.StructType(fields)).select(
+        *(F.col(f"c{i}").alias(c) for i, c in enumerate(names)),
         F.aggregate("tails", F.lit(0.0), lambda total, p: total + p).alias("expected_grade"),
         "tails",
         (tail >= SELECT).alias("selected"),

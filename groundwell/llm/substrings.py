@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -144,7 +144,7 @@ def _windows_of(located: DataFrame, window: int) -> DataFrame:
                 words, counts = _word_hashes(utf8_list(piece.column("text")))
                 spans = _Spans(words)
                 at = piece.column("at")
-                base = np.repeat(np.cumsum(counts) - counts, pa.compute.list_value_length(at))
+                base = np.repeat(np.cumsum(counts) - counts, pc.list_value_length(at))
                 flat = at.flatten()
                 first, n, anchor, kind, weight = (
                     flat.field(i).to_numpy(zero_copy_only=False) for i in range(5)

@@ -90,8 +90,8 @@ def _gram_counts(labelled: DataFrame) -> DataFrame:
                 ["gram", "toxic", "ordinary"],
             )
 
-        for batch in batches:
-            for text, kind in zip(batch.column("text"), batch.column("toxic"), strict=True):
+        for piece in pieces(batches):
+            for text, kind in zip(piece.column("text"), piece.column("toxic"), strict=True):
                 grams = _grams(_characters(text.as_py()))
                 held[kind.as_py()].append(grams)
                 size += len(grams)
@@ -261,7 +261,7 @@ class Model:
 def _features(docs: DataFrame, tables: Broadcast, kept: list[str]) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
-            found = [text_features(t, tables.value) for t in piece.column("text").to_pylist()]
+            found = [text_features(t.as_py(), tables.value) for t in piece.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [*(piece.column(k) for k in kept), pa.array(found, pa.list_(pa.float64()))],
                 [*kept, "features"],
@@ -335,20 +335,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     ready(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("score", "predicted")]
-    packed = docs.select(F.struct(*names).alias("row"), "text")
+    # Numbered, so that no name of theirs is in the way, and every column travels once.
+    numbered = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)))
+    text = f"c{names.index('text')}"
     tables = model.tables
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
-            found = [text_features(t, tables.value) for t in piece.column("text").to_pylist()]
+        for piece in pieces(batches, text):
+            found = [text_features(t.as_py(), tables.value) for t in piece.column(text)]
             scores = model.scores(np.array(found).reshape(len(found), -1))
             yield pa.RecordBatch.from_arrays(
-                [piece.column("row"), pa.array(scores)], ["row", "score"]
+                [*piece.columns, pa.array(scores)], [*piece.schema.names, "score"]
             )
 
-    fields = [packed.schema["row"], T.StructField("score", T.DoubleType())]
-    return packed.mapInArrow(work, T.StructType(fields)).select(
-        *(F.col("row")[c].alias(c) for c in names),
+    fields = [*numbered.schema.fields, T.StructField("score", T.DoubleType())]
+    return numbered.mapInArrow(work, T.StructType(fields)).select(
+        *(F.col(f"c{i}").alias(c) for i, c in enumerate(names)),
         "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
@@ -364,7 +366,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns."""
-    names = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]
-    wrapped = docs.select(F.struct(*names).alias("all"), "text")
-    kept = score(wrapped, fit(docs, labels)).where("predicted = 0")
-    return kept.select(*(F.col(f"all.c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    # Columns called as the new ones are put aside meanwhile.
+    aside = [f"aside {i}" if c in ("score", "predicted") else c for i, c in enumerate(docs.columns)]
+    kept = score(docs.toDF(*aside), fit(docs, labels)).where("predicted = 0")
+    return kept.select(*(F.col(f"`{a}`").alias(c) for a, c in zip(aside, docs.columns, strict=True)))
