@@ -136,6 +136,8 @@ def pack_documents(
             "shard", F.pmod(F.xxhash64("doc_id", "piece", "origin"), F.lit(shards))
         )
         .drop("origin")
+        # Rows are small and packing is not: no two shards need share a task.
+        .repartition(shards, "shard")
         .groupBy("shard")
         .applyInPandas(
             lambda rows: work(rows)[
