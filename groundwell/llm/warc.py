@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwell.llm.common import pieces, ready, saved
+from groundwell.operators.sizes import broadcast_if_small
 from groundwell.settings import shared_folder
 
 #: Payloads of fewer bytes are always written out.
@@ -124,7 +125,9 @@ def write_archive(pages: DataFrame, folder: str | None = None) -> Archive:
     responses, as are all where no id is known. Other columns are not read. An empty table
     gives an archive without files.
 
-    Page texts are shuffled once, by digest with a salt for the copies, and only hashes before.
+    Only hashes are shuffled while the list of payloads that occur twice is small enough to be
+    broadcast; beyond that page texts are joined with it once, and adaptive execution splits a
+    digest with very many copies.
     """
     spark = pages.sparkSession
     ready(spark)
@@ -140,14 +143,16 @@ def write_archive(pages: DataFrame, folder: str | None = None) -> Archive:
         F.sha2(payload, 256).alias("digest"),
         F.octet_length(payload).cast("long").alias("bytes"),
     )
-    first = (
+    first = saved(
         own.where(F.col("bytes") >= REVISIT_BYTES)
         .groupBy("digest")
         .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
         .where("n > 1")
         .select(F.col("digest").alias("same"), "first")
     )
-    marked = own.join(first, F.col("digest") == F.col("same"), "left").select(
+    marked = own.join(
+        broadcast_if_small(first), F.col("digest") == F.col("same"), "left"
+    ).select(
         "page_id",
         "url",
         "html",
