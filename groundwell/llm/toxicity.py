@@ -6,11 +6,14 @@ that an expression too rare to tell the classes apart is as likely under either,
 left in the ratio of the two likelihoods is evidence. A document is scored by the difference of
 its two log-likelihoods, per character of the whole text and per word of its most telling words;
 a logistic curve, fitted on rows that were not counted, turns these into a probability.
+
+Every counted gram is kept. Up to ``HELD_GRAMS`` of them go to the tasks as a whole; more stay a
+table, which the distinct grams of each chunk of documents are joined with.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,9 +33,10 @@ _BITS = 12
 LOWER = 3
 #: The difference is averaged over so many most telling words of a text.
 TELLING = (1, 4, 10)
-#: Size of the model that tasks hold: a slot keeps the most frequent gram that falls in it.
-GRAM_SLOTS = 1 << 21
-HISTORY_SLOTS = 1 << 19
+#: Grams up to which tasks hold the whole model, of some 40 bytes a gram; more are joined.
+HELD_GRAMS = 1 << 21
+#: About as many bytes of text make a chunk whose grams are looked up together.
+CHUNK_BYTES = 8 << 20
 #: Rows that the logistic curve is fitted on, at most.
 CURVE_ROWS = 20_000
 #: Scores from here on are predicted toxic.
@@ -196,38 +200,57 @@ def _slot(keys: np.ndarray, slots: int) -> np.ndarray:
     return (((low * _LOW + high * _HIGH) >> np.uint64(24)) & np.uint64(slots - 1)).astype(np.int64)
 
 
-def _slots(ratios: DataFrame, slots: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and ratios by slot; of several keys in one the most frequent, then the smallest.
+#: Keys and their ratios in order of slots, and where each slot begins and the last one ends.
+Table = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-    However many grams there are, ``slots`` rows at most reach the driver.
-    """
-    low = F.col("key").bitwiseAND(F.lit((1 << 30) - 1))
-    mixed = low * F.lit(int(_LOW)) + F.shiftrightunsigned("key", 30) * F.lit(int(_HIGH))
-    spot = F.shiftrightunsigned(mixed, 24).bitwiseAND(F.lit(slots - 1)).alias("slot")
-    kept = ratios.groupBy(spot).agg(
-        F.max(F.struct("weight", (-F.col("key")).alias("key"), "ratio")).alias("top")
-    )
-    rows = kept.select("slot", "top.key", "top.ratio").toArrow()
-    keys = np.full(slots, -1, np.int64).view(np.uint64)
-    values = np.zeros(slots, np.float32)
-    at = rows.column("slot").to_numpy()
-    keys[at] = (-rows.column("key").to_numpy()).view(np.uint64)
-    values[at] = rows.column("ratio").to_numpy()
-    return keys, values
-
-
-def _ratio_of(
-    grams: np.ndarray, tables: tuple[tuple[np.ndarray, np.ndarray], ...]
-) -> np.ndarray:
+
+def _in_slots(keys: np.ndarray, values: np.ndarray, slots: int) -> Table:
+    """All keys and ratios in order of their slots; a slot holds any number of keys."""
+    slot = _slot(keys, slots)
+    order = np.argsort(slot, kind="stable")
+    starts = np.zeros(slots + 1, np.int64)
+    np.cumsum(np.bincount(slot, minlength=slots), out=starts[1:])
+    return keys[order], values[order].astype(np.float32), starts
+
+
+def _slots(ratios: DataFrame, slots: int) -> Table:
+    """All rows of ``ratios`` (``key, ratio``) as a table of so many slots, on the driver."""
+    rows = ratios.select("key", "ratio").toArrow()
+    keys = rows.column("key").to_numpy().astype(np.int64).view(np.uint64)
+    return _in_slots(keys, rows.column("ratio").to_numpy(), slots)
+
+
+def _slots_for(keys: int) -> int:
+    return 1 << max(keys - 1, 1).bit_length()
+
+
+def _places(wanted: np.ndarray, table: Table) -> np.ndarray:
+    """Where each wanted key stands in the table; -1 if it does not."""
+    keys, _, starts = table
+    slot = _slot(wanted, len(starts) - 1)
+    at, end = starts[slot], starts[slot + 1]
+    places = np.full(len(wanted), -1, np.int64)
+    rest = np.flatnonzero(at < end)
+    while len(rest):
+        hit = keys[at[rest]] == wanted[rest]
+        places[rest[hit]] = at[rest[hit]]
+        rest = rest[~hit]
+        at[rest] += 1
+        rest = rest[at[rest] < end[rest]]
+    return places
+
+
+def _ratio_of(grams: np.ndarray, tables: tuple[Table, Table]) -> np.ndarray:
     """The log-likelihood ratio of each predicted character."""
-    (keys, values), (histories, spare) = tables
-    at = _slot(grams, len(keys))
-    seen = keys[at] == grams
-    out = np.where(seen, values[at], np.float32(0))
-    unseen = np.flatnonzero(~seen)
-    before = grams[unseen] >> np.uint64(_BITS)
-    at = _slot(before, len(histories))
-    out[unseen] = np.where(histories[at] == before, spare[at], np.float32(0))
+    seen, spare = tables
+    out = np.zeros(len(grams), np.float32)
+    places = _places(grams, seen)
+    met = places >= 0
+    out[met] = seen[1][places[met]]
+    unseen = np.flatnonzero(~met)
+    places = _places(grams[unseen] >> np.uint64(_BITS), spare)
+    met = places >= 0
+    out[unseen[met]] = spare[1][places[met]]
     return out.astype(np.float64)
 
 
@@ -246,30 +269,86 @@ def text_features(text: str | None, tables: tuple) -> list[float]:
 
 @dataclass(frozen=True)
 class Model:
-    """What tasks need to score a text; its size is bounded by the slots."""
+    """What scores a text: the ratios of grams and of histories, and the logistic curve.
+
+    The ratios are held by the tasks, or two tables ``key, ratio`` where they are too many.
+    """
 
-    tables: Broadcast
+    ratios: Broadcast | tuple[DataFrame, DataFrame]
     weights: np.ndarray
     center: np.ndarray
     scale: np.ndarray
 
-    def scores(self, features: np.ndarray) -> np.ndarray:
-        plain = (features - self.center) / self.scale
-        return 1 / (1 + np.exp(-np.clip(plain @ self.weights[1:] + self.weights[0], -30, 30)))
 
+def _curve_scores(features: np.ndarray, curve: tuple[np.ndarray, ...]) -> np.ndarray:
+    weights, center, scale = curve
+    plain = (features - center) / scale
+    return 1 / (1 + np.exp(-np.clip(plain @ weights[1:] + weights[0], -30, 30)))
 
-def _features(docs: DataFrame, tables: Broadcast, kept: list[str]) -> DataFrame:
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
-            found = [text_features(t.as_py(), tables.value) for t in piece.column("text")]
+
+def _with_features(
+    docs: DataFrame,
+    text: str,
+    ratios: Broadcast | tuple[DataFrame, DataFrame],
+    made: Callable[[np.ndarray], pa.Array],
+    field: T.StructField,
+) -> DataFrame:
+    """``docs`` with one more column, ``made`` from the features of the texts of a piece."""
+    schema = T.StructType([*docs.schema.fields, field])
+
+    def worked(batches: Iterator[pa.RecordBatch], tables: tuple) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, text):
+            found = [text_features(t.as_py(), tables) for t in piece.column(text)]
+            more = made(np.array(found).reshape(len(found), -1))
             yield pa.RecordBatch.from_arrays(
-                [*(piece.column(k) for k in kept), pa.array(found, pa.list_(pa.float64()))],
-                [*kept, "features"],
+                [*piece.columns, more], [*piece.schema.names, field.name]
             )
 
-    fields = [docs.schema[k] for k in kept]
-    fields.append(T.StructField("features", T.ArrayType(T.DoubleType())))
-    return docs.select(*kept, "text").mapInArrow(work, T.StructType(fields))
+    if isinstance(ratios, Broadcast):
+        return docs.mapInArrow(lambda batches: worked(batches, ratios.value), schema)
+
+    # The chunk follows from the row itself, so that a task that is run again finds the same.
+    told = [f.name for f in docs.schema if isinstance(f.dataType, (T.StringType, T.NumericType))]
+    total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    chunk = F.pmod(F.xxhash64(*told), F.lit(-(-total // CHUNK_BYTES) or 1))
+    dealt = docs.withColumn("chunk", chunk)
+
+    def distinct(key: tuple, group: pa.Table) -> pa.Table:
+        parts = [np.zeros(0, np.uint64)]
+        for piece in pieces(iter(group.to_batches()), text):
+            own = [_grams(_characters(t.as_py())) for t in piece.column(text)]
+            parts.append(np.unique(np.concatenate(own)))
+        grams = np.unique(np.concatenate(parts)).view(np.int64)
+        chunks = pa.array(np.full(len(grams), key[0].as_py(), np.int64))
+        return pa.table({"chunk": chunks, "gram": pa.array(grams)})
+
+    seen, spare = ratios
+    looked = (
+        dealt.groupBy("chunk")
+        .applyInArrow(distinct, "chunk bigint, gram bigint")
+        .withColumn("history", _history("gram"))
+        .join(seen.select(F.col("key").alias("gram"), F.col("ratio").alias("own")), "gram", "left")
+        .join(
+            spare.select(F.col("key").alias("history"), F.col("ratio").alias("backed")),
+            "history",
+            "left",
+        )
+        .select("chunk", "gram", F.coalesce("own", "backed").alias("ratio"))
+        .where("ratio is not null")
+    )
+
+    def scored(group: pa.Table, found: pa.Table) -> pa.Table:
+        grams = found.column("gram").to_numpy().astype(np.int64).view(np.uint64)
+        values = found.column("ratio").to_numpy().astype(np.float64)
+        none = np.zeros(0)
+        tables = (
+            _in_slots(grams, values, _slots_for(len(grams))),
+            _in_slots(none.astype(np.uint64), none, 1),
+        )
+        rows = group.drop_columns(["chunk"]).to_batches()
+        return pa.Table.from_batches(worked(iter(rows), tables))
+
+    return dealt.groupBy("chunk").cogroup(looked.groupBy("chunk")).applyInArrow(scored, schema)
 
 
 def _curve(features: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -309,22 +388,34 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     labelled = docs.select("doc_id", "text").join(broadcast_if_small(known), "doc_id")
     grams = saved(_gram_counts(labelled.where("fold in (0, 1)").select("text", "toxic")))
     seen, unseen = _ratios(grams)
-    tables = spark.sparkContext.broadcast(
-        (_slots(seen, GRAM_SLOTS), _slots(unseen, HISTORY_SLOTS))
-    )
+    count = grams.count()
+    if count <= HELD_GRAMS:
+        slots = _slots_for(count)
+        ratios = spark.sparkContext.broadcast((_slots(seen, slots), _slots(unseen, slots)))
+    else:
+        ratios = saved(seen.select("key", "ratio")), saved(unseen.select("key", "ratio"))
     rest = labelled.where("fold = 3").withColumn("draw", F.xxhash64("doc_id"))
     total = known.where("fold = 3").count()
     share = min(1.0, CURVE_ROWS / max(total, 1))
     drawn = rest.where(F.pmod("draw", F.lit(1 << 20)) <= int(share * (1 << 20)))
-    rows = _features(drawn, tables, ["toxic"]).limit(2 * CURVE_ROWS).toArrow()
+    listed = T.StructField("features", T.ArrayType(T.DoubleType()))
+    rows = (
+        _with_features(
+            drawn.select("toxic", "draw", "text"), "text", ratios,
+            lambda found: pa.array(list(found), pa.list_(pa.float64())), listed,
+        )
+        .select("toxic", "features")
+        .limit(2 * CURVE_ROWS)
+        .toArrow()
+    )
     toxic = rows.column("toxic").to_numpy().astype(np.float64)
     n = 1 + len(TELLING)
     if len(set(toxic.tolist())) < 2:
         share = min(max(float(toxic.mean()) if len(toxic) else 0.5, 1e-6), 1 - 1e-6)
         weights = np.r_[np.log(share / (1 - share)), np.zeros(n)]
-        return Model(tables, weights, np.zeros(n), np.ones(n))
+        return Model(ratios, weights, np.zeros(n), np.ones(n))
     features = np.array(rows.column("features").to_pylist(), np.float64)
-    return Model(tables, *_curve(features, toxic))
+    return Model(ratios, *_curve(features, toxic))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -337,19 +428,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     names = [c for c in docs.columns if c not in ("score", "predicted")]
     # Numbered, so that no name of theirs is in the way, and every column travels once.
     numbered = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)))
-    text = f"c{names.index('text')}"
-    tables = model.tables
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, text):
-            found = [text_features(t.as_py(), tables.value) for t in piece.column(text)]
-            scores = model.scores(np.array(found).reshape(len(found), -1))
-            yield pa.RecordBatch.from_arrays(
-                [*piece.columns, pa.array(scores)], [*piece.schema.names, "score"]
-            )
-
-    fields = [*numbered.schema.fields, T.StructField("score", T.DoubleType())]
-    return numbered.mapInArrow(work, T.StructType(fields)).select(
+    curve = model.weights, model.center, model.scale
+    return _with_features(
+        numbered, f"c{names.index('text')}", model.ratios,
+        lambda found: pa.array(_curve_scores(found, curve)),
+        T.StructField("score", T.DoubleType()),
+    ).select(
         *(F.col(f"c{i}").alias(c) for i, c in enumerate(names)),
         "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),

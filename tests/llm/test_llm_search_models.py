@@ -158,6 +158,44 @@ def test_backoff_is_shared_for_unseen_expressions(spark):
     assert toxicity.text_features("xyz", tables_)[0] < 0
 
 
+def test_grams_that_share_a_slot_are_all_kept(spark):
+    rows = [(" ".join(f"{i:x}{j:x}bad" for j in range(9)), i % 2) for i in range(40)]
+    labelled = spark.createDataFrame(rows, "text string, toxic int")
+    seen, unseen = toxicity._ratios(toxicity._gram_counts(labelled))
+    expected = {np.int64(r.key).astype(np.uint64): r.ratio for r in seen.collect()}
+    backed = {np.int64(r.key).astype(np.uint64): r.ratio for r in unseen.collect()}
+    few = toxicity._slots(seen, 16), toxicity._slots(unseen, 4)
+    grams = np.array(list(expected), np.uint64)
+    assert len(grams) > 200
+    assert toxicity._ratio_of(grams, few) == pytest.approx(list(expected.values()), abs=1e-6)
+    other = (np.array(list(backed), np.uint64) << np.uint64(12)) | np.uint64(4095)
+    assert toxicity._ratio_of(other, few) == pytest.approx(list(backed.values()), abs=1e-6)
+
+
+def test_toxicity_is_the_same_held_and_joined(spark, monkeypatch):
+    rng = random.Random(4)
+    words = ["house", "river", "green", "birds", "sing", "town"]
+    rows, labels = [], []
+    for i in range(160):
+        text = " ".join(rng.choices(words, k=12)) + (" vile grobnik" if i % 4 == 0 else "")
+        rows.append((i, text, {"a": text}))
+        labels.append((i, int(i % 4 == 0)))
+    rows += [(900, None, None), (901, "", {}), (0, rows[0][1], {}), (None, "vile grobnik", {})]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, more map<string,string>")
+    known = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    held = toxicity.score(docs, toxicity.fit(docs, known)).collect()
+    monkeypatch.setattr(toxicity, "HELD_GRAMS", 0)
+    monkeypatch.setattr(toxicity, "CHUNK_BYTES", 2_000)
+    model = toxicity.fit(docs, known)
+    assert isinstance(model.ratios, tuple)
+    joined = toxicity.score(docs, model).collect()
+    order = lambda r: (r.doc_id is None, r.doc_id or 0)
+    held, joined = sorted(held, key=order), sorted(joined, key=order)
+    assert [(r.doc_id, r.text) for r in held] == [(r.doc_id, r.text) for r in joined]
+    assert [r.score for r in joined] == pytest.approx([r.score for r in held], abs=1e-9)
+    assert 0 < sum(r.predicted for r in joined) < len(rows)
+
+
 @tables
 def test_quality_of_held_out_rows(spark):
     rows = queries.op3_quality(spark, FOLDER).collect()
