@@ -18,14 +18,25 @@ from pyspark.sql import functions as F
 from groundwell.llm.common import saved
 from groundwell.operators.sizes import broadcast_if_small
 
-#: Words of a seed, and the places in it that each mask looks at. Any two substitutions in a
-#: stretch leave one mask at least untouched; of three substitutions nine in ten cases do.
+#: Words of a seed, and the places in it that each mask looks at, the first two of them first.
+#: A covering set: whichever two words of a span are substituted, one mask at least is left
+#: untouched, and whichever three of a stretch, one mask at one of its places in the stretch.
 SPAN = 11
-MASKS = ((0, 1, 2, 3, 5, 9, 10), (0, 3, 4, 7, 8, 9, 10), (0, 1, 5, 6, 7, 8, 10))
+MASKS = (
+    (1, 2, 0, 3, 7, 9),
+    (1, 2, 0, 6, 8, 9),
+    (1, 2, 3, 4, 5, 8),
+    (1, 2, 4, 6, 7, 10),
+    (4, 9, 0, 3, 5, 6),
+    (4, 9, 0, 7, 8, 10),
+    (7, 8, 3, 5, 6, 10),
+)
 STRETCH = 15
 MATCHES = 12
 #: The words of an item around a seed that can share a stretch with it.
 _SIDE = STRETCH - SPAN
+#: So many words of a short item may be missing at the edge of a document.
+_EDGE = 2
 _PAIRS = tuple(sorted({mask[:2] for mask in MASKS}))
 _AROUND = SPAN + 2 * _SIDE
 #: A seed row has a fixed width of about 200 bytes, so that this many fit a broadcast.
@@ -42,9 +53,9 @@ def _hashes(text: Column) -> Column:
     return F.transform(normal_words(text), lambda w: F.xxhash64(w))
 
 
-def _padded(hashes: Column) -> Column:
+def _padded(hashes: Column, by: int = _SIDE) -> Column:
     """The hashes with nulls at both ends, as far as a stretch can reach beyond a seed."""
-    nulls = F.array_repeat(F.lit(None).cast("long"), _SIDE)
+    nulls = F.array_repeat(F.lit(None).cast("long"), by)
     return F.concat(nulls, hashes, nulls)
 
 
@@ -157,7 +168,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, keys: list[str]) -> DataFram
     pairs = broadcast_if_small(found.select("pair_key").distinct(), BROADCAST_SEEDS)
     texts = docs.select(
         *(F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)),
-        _hashes(F.col("text")).alias("words"),
+        _padded(_hashes(F.col("text")), _EDGE).alias("words"),
     )
     spots = _spots(texts, pairs).withColumn(
         "key", F.explode(_mask_keys(F.col("around"), F.col("pair")))

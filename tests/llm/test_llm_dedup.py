@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -214,6 +215,41 @@ def test_decontamination_matches_brute_force(spark):
     assert decontamination.contaminated(docs.limit(0), benchmark).count() == 0
 
 
+def most_agreeing(doc, item):
+    """The most agreements of a stretch at any alignment, without masks."""
+    length = min(len(item), 15)
+    return max(
+        sum(0 <= i + shift + j < len(doc) and doc[i + shift + j] == item[i + j] for j in range(length))
+        for shift in range(1 - len(item), len(doc))
+        for i in range(len(item) - length + 1)
+    )
+
+
+def test_decontamination_finds_every_pattern_of_substitutions(spark):
+    items, rows, expected = [], [], {}
+    for number, size in enumerate([11, 12, 13, 14, 15, 19]):
+        item = [f"i{number}w{j}" for j in range(size)]
+        items.append((number, " ".join(item)))
+        stretch = min(size, 15)
+        changes = stretch - -(-stretch * 12 // 15)
+        texts = []
+        for places in combinations(range(stretch), changes):
+            texts.append(["before"] + [f"x{j}" if j in places else w for j, w in enumerate(item[:stretch])])
+        texts += [[*w, "after"] for w in texts]
+        texts += [item[k:] + ["after"] * 9 for k in range(5)] + [["x"] * 9 + item[: size - k] for k in range(5)]
+        texts += [["x", *item[:3], "x", "x", "x", "x", *item[7:]]]
+        for words in texts:
+            best = most_agreeing(words, item)
+            if best >= stretch - changes:
+                expected[len(rows), number] = best
+            rows.append((len(rows), " ".join(words)))
+    benchmark = spark.createDataFrame(items, "item_id int, text string")
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    found = decontamination.contaminated(docs, benchmark).collect()
+    assert {(r.doc_id, r.item_id): r.matched for r in found} == expected
+    assert len(rows) > len(expected) > 1500
+
+
 def test_decontamination_is_native(spark):
     docs = docs_of(spark, [(1, "a b")])
     benchmark = spark.createDataFrame([(1, "x " * 20)], "item_id bigint, text string")
