@@ -102,6 +102,27 @@ def test_probe_template_orders_and_excludes():
     assert not rows[0].any() and all(not (r & r[::-1]).any() for r in rows)
 
 
+@pytest.mark.parametrize("wide", [3, 30])
+def test_fit_reaches_the_recall_where_spacing_differs(wide):
+    rng = np.random.default_rng(3)
+    tight = np.repeat(rng.standard_normal((28, 64)) * 50, 20, axis=0)
+    tight += rng.standard_normal(tight.shape)
+    sample = np.concatenate([tight, rng.standard_normal((440, 64)) * wide])
+    rng.shuffle(sample)
+    model = neighbours.fit(sample, 10)
+    assert model.found >= neighbours.RECALL
+    own, seen = model.buckets(sample), model.probes(sample)
+    right = 0
+    for q in range(len(sample)):
+        apart = ((sample - sample[q]) ** 2).sum(1)
+        near = np.argsort(apart)[1:11]
+        met = np.zeros(len(near), bool)
+        for t in range(own.shape[1]):
+            met |= np.isin(own[near, t], seen[q, t])
+        right += met.sum()
+    assert right >= 0.9 * 10 * len(sample)
+
+
 @tables
 def test_toxicity_of_held_out_rows(spark):
     rows = queries.op1_toxicity(spark, FOLDER).collect()
