@@ -43,10 +43,10 @@ class Scratch:
         self.folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
         self.tables = 0
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, compression: str = "snappy") -> DataFrame:
         self.tables += 1
         path = f"{self.folder}/{self.tables}"
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
