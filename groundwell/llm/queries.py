@@ -16,6 +16,7 @@ from groundwell.llm import (
     packing,
     quality,
     simhash,
+    spelling,
     substrings,
     toxicity,
     warc,
@@ -91,6 +92,10 @@ def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
 
 
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
 def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.link_scores(table(spark, folder, "documents"))
 
@@ -106,5 +111,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_substrings": op9_substrings,
     "op10_licenses": op10_licenses,
+    "op11_spelling": op11_spelling,
     "op13_alignment": op13_alignment,
 }
