@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from groundwell.llm import (
     alignment,
+    bytespans,
     chat,
     decontamination,
     licenses,
@@ -96,6 +97,13 @@ def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(table(spark, folder, "documents"))
 
 
+def op12_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return bytespans.remove_earlier(docs).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.link_scores(table(spark, folder, "documents"))
 
@@ -112,5 +120,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substrings": op9_substrings,
     "op10_licenses": op10_licenses,
     "op11_spelling": op11_spelling,
+    "op12_suffixes": op12_suffixes,
     "op13_alignment": op13_alignment,
 }

@@ -37,7 +37,7 @@ FORM_FACTOR = 10
 #: Words of one list; longer lists are cut in blocks of that size.
 BLOCK = 8192
 #: Words that a task takes up at once, whole lists of them.
-STEP_WORDS = 1 << 16
+STEP_WORDS = 1 << 14
 #: Different words that a task counts before it hands them on.
 HELD_WORDS = 1 << 17
 #: Fixed value: letters are A to Z in either case and U+00C0 to U+00FF.
