@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Strings of that length are sorted without further recursion.
-SHORT = 1 << 17
+SHORT = 1 << 18
 
 
 def _smaller(s: np.ndarray) -> np.ndarray:
@@ -68,11 +68,16 @@ def _induced(
     seeds = seeds[by_letter]
     seed_ends = np.cumsum(np.bincount(seed_letters, minlength=len(counts)))
 
+    # Whether the suffix to the left of each is one that the scan puts in place.
+    after_larger = np.zeros(n + 1, bool)
+    np.logical_not(smaller, out=after_larger[1:])
+    after_smaller = np.zeros(n + 1, bool)
+    after_smaller[1:] = smaller
+
     def larger_before(block: np.ndarray) -> None:
-        at = block - 1
-        at = at[at >= 0]
-        at = at[~smaller[at]]
+        at = block[after_larger[block]]
         if len(at):
+            at = at - 1
             _place(sa, heads, at, s[at], 1)
 
     larger_before(np.array([n], np.int32))
@@ -88,10 +93,9 @@ def _induced(
     tails = ends.copy()
 
     def smaller_before(block: np.ndarray) -> None:
-        at = block[::-1] - 1
-        at = at[at >= 0]
-        at = at[smaller[at]]
+        at = block[after_smaller[block]]
         if len(at):
+            at = at[::-1] - 1
             _place(sa, tails, at, s[at], -1)
 
     for c in used[::-1].tolist():
@@ -184,7 +188,7 @@ def permuted_common_prefixes(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
     suffix to its left; only the others are compared letter by letter.
     """
     n = len(s)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
     fresh = np.ones(n, bool)
     some = np.flatnonzero((before > 0) & (np.arange(n) > 0))
