@@ -101,6 +101,7 @@ def search_cells(
     n_probe: int = 8,
     *,
     exact: bool = False,
+    threshold: float | None = None,
     point_id: str = "chunk_id",
     query_id: str = "query_id",
     vector: str = "vector",
@@ -113,6 +114,10 @@ def search_cells(
     Queries are those of :func:`groundwell.operators.search.search`, with filters and own
     ``top_k``. With ``exact=False`` the ``n_probe`` nearest cells are searched and results may
     miss points. With ``exact=True`` they equal the exact search.
+
+    With a ``threshold`` the result is that of the exact search without the hits that score
+    less, or are not a number. Cells whose bound is below it are not visited, and one pass over
+    the others does (:func:`cell_visits` tells how many).
     """
     ship_package(points.sparkSession)
     requests = normal_requests(queries, top_k, max_top_k, query_id, vector)
@@ -129,12 +134,8 @@ def search_cells(
         requests,
     ).select("point_id", "vector", "cell", part)
 
-    radii = np.zeros(cells.n_cells)
-    if exact:
-        # At most one row per cell, whatever the number of points.
-        for row in points.groupBy("cell").agg(F.max("angle").alias("radius")).collect():
-            radii[row["cell"]] = row["radius"]
-    bounds = _cell_bounds(cells.centers, radii, cells.n_cells if exact else n_probe)
+    everywhere = exact or threshold is not None
+    bounds = _bounds_of(cells, points, cells.n_cells if everywhere else n_probe, everywhere)
     requests = requests.drop("filters").withColumn("near", bounds(F.col("vector"))).select(
         "query_id", "vector", "top_k", "part",
         F.arrays_zip("near.cell", "near.bound").alias("visits"),
@@ -154,6 +155,11 @@ def search_cells(
             cuts,
         )
 
+    if threshold is not None:
+        passed = candidates(requests, _passing("visits", threshold)).where(
+            ~F.isnan("score") & (F.col("score") >= threshold)
+        )
+        return rank_hits(passed, max_top_k, query_id=query_id, point_id=point_id)
     near = candidates(requests, F.slice("visits", 1, n_probe))
     if not exact:
         return rank_hits(near, max_top_k, query_id=query_id, point_id=point_id)
@@ -173,6 +179,33 @@ def search_cells(
     return rank_hits(both, max_top_k, query_id=query_id, point_id=point_id)
 
 
+def _bounds_of(cells: Cells, points: DataFrame, n_nearest: int, with_radii: bool):
+    radii = np.zeros(cells.n_cells)
+    if with_radii:
+        # At most one row per cell, whatever the number of points.
+        for row in points.groupBy("cell").agg(F.max("angle").alias("radius")).collect():
+            radii[row["cell"]] = row["radius"]
+    return _cell_bounds(cells.centers, radii, n_nearest)
+
+
+def _passing(visits: str, threshold: float) -> Column:
+    return F.filter(visits, lambda v: v["bound"] >= threshold - _SLACK)
+
+
+def cell_visits(
+    cells: Cells, points: DataFrame, queries: DataFrame, threshold: float,
+    query_id: str = "query_id", vector: str = "vector",
+) -> DataFrame:
+    """``query_id, n_cells``: the cells that could hold a score of ``threshold`` or more."""
+    ship_package(points.sparkSession)
+    bounds = _bounds_of(cells, points, cells.n_cells, True)
+    fitting = queries.where(F.size(vector) == cells.centers.shape[1])
+    return fitting.withColumn("near", bounds(F.col(vector))).select(
+        query_id,
+        F.size(F.filter("near.bound", lambda b: b >= threshold - _SLACK)).alias("n_cells"),
+    )
+
+
 def recall(found: DataFrame, exact: DataFrame, query_id: str, point_id: str) -> DataFrame:
     """One row: share of the exact hits that were found."""
     hit = found.select(query_id, point_id, F.lit(1).alias("found"))

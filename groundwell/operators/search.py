@@ -10,23 +10,33 @@ Two shapes of the same search:
 
 A per-query filter is an equi key and not a mask: stored rows are joined with the distinct
 filters by one entry of each, so that a row meets only queries whose filter it satisfies, and
-filtering comes before top-k. The width of a vector is part of the key: rows of another width
+filtering comes before top-k. With posting lists (:mod:`groundwell.operators.postings`) filters
+that ask for a small share of the rows are settled before any vector is read. The width of a vector is part of the key: rows of another width
 than the query's, or without a vector, are no candidates (see :func:`odd_vectors`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import (
+    DataType,
+    DoubleType,
+    IntegerType,
+    StructField,
+    StructType,
+    VariantType,
+)
 from pyspark.sql.window import Window
 
 from groundwell.functions.payload import TEXT_KEY, rebuild_payload
+from groundwell.functions.typed import text_entries, typed_entries, typed_filter
 from groundwell.functions.vectors import cosine
+from groundwell.operators.postings import SCAN_SHARE, asked_share, matching_ids
 from groundwell.operators.scoring import (
     SCORE_DECIMALS,
     Shortlist,
@@ -37,6 +47,8 @@ from groundwell.operators.sizes import broadcast_if_small, is_small
 from groundwell.session import ship_package
 from groundwell.settings import SEARCH_TOP_K_MAX, Settings, shared_folder
 
+Decode = Callable[[pa.Array], np.ndarray]
+
 # Queries up to these bounds are sent to every task; beyond them both sides are blocked.
 SMALL_QUERY_ROWS = 16_384
 SMALL_QUERY_BYTES = 64 * 1024 * 1024
@@ -65,6 +77,7 @@ def search(
     max_top_k: int = SEARCH_TOP_K_MAX,
     small_query_rows: int = SMALL_QUERY_ROWS,
     block_rows: int = BLOCK_ROWS,
+    postings: DataFrame | None = None,
 ) -> DataFrame:
     """``query_id, rank, point_id, score`` of the best points of each query.
 
@@ -72,20 +85,26 @@ def search(
     point's ``metadata`` must hold) and, with ``top_k=None``, a column ``top_k`` of at most
     ``max_top_k``; a larger one fails the job. Equal scores rank by id. Reading ``queries`` up
     to the size bound happens when the plan is built.
+
+    ``metadata`` is a text map, or a typed payload (``VARIANT``); ``filters`` is a text map for
+    the one and a typed object for the other, compared kind and value. ``postings`` are the
+    posting lists of the same points and metadata, where there are any.
     """
     ship_package(points.sparkSession)
     requests = normal_requests(queries, top_k, max_top_k, query_id, vector)
-    small = _small_table(requests.drop("filters"), small_query_rows)
-    stored = satisfying(
-        points.select(
-            F.col(point_id).alias("point_id"),
-            F.col(vector).alias("vector"),
-            *([F.col(metadata).alias("metadata")] if "filters" in requests.columns else []),
-        ),
-        requests,
+    small = small_table(requests, small_query_rows)
+    stored = points.select(
+        F.col(point_id).alias("point_id"),
+        F.col(vector).alias("vector"),
+        *([F.col(metadata).alias("metadata")] if "filters" in requests.columns else []),
     )
+    if postings is not None and "filters" in requests.columns:
+        wanted, unfiltered = wanted_filters(requests, small)
+        stored = narrowed(stored, postings, wanted, unfiltered)
+    else:
+        stored = satisfying(stored, requests, small)
     if small is not None:
-        candidates = _score_in_place(stored, small, requests.schema["query_id"].dataType)
+        candidates = score_in_place(stored, small, requests.schema["query_id"].dataType)
     else:
         candidates = score_in_blocks(stored, requests.drop("filters"), block_rows)
     return rank_hits(candidates, max_top_k, query_id=query_id, point_id=point_id)
@@ -114,6 +133,8 @@ def normal_requests(
             F.raise_error(F.lit(f"top_k must be in 1..{max_top_k}"))
         )
     filtered = "filters" in queries.columns
+    if filtered and isinstance(queries.schema["filters"].dataType, VariantType):
+        queries = queries.withColumn("filters", typed_filter(F.col("filters")))
     key = filter_key(F.col("filters")) if filtered else F.lit("")
     return queries.where(F.col(vector).isNotNull()).select(
         F.col(query_id).alias("query_id"),
@@ -259,7 +280,48 @@ def _width(vector: Column) -> Column:
     return F.concat(F.size(vector).cast("string"), F.lit(":"))
 
 
-def satisfying(stored: DataFrame, requests: DataFrame) -> DataFrame:
+def wanted_filters(
+    requests: DataFrame, small: pa.Table | None = None
+) -> tuple[DataFrame, bool]:
+    """The distinct filters of ``requests`` as ``key, entries``, and whether some have none.
+
+    Where the requests are known locally, so are their filters, and no job is needed; they are
+    then as few and small as these and broadcast.
+    """
+    if small is None:
+        key = filter_key(F.col("filters"))
+        wanted = (
+            requests.select(key.alias("key"), "filters")
+            .where("key != ''")
+            .dropDuplicates(["key"])
+            .select("key", F.map_entries("filters").alias("entries"))
+        )
+        return broadcast_if_small(wanted), not requests.where(key == "").isEmpty()
+    found: dict[str, list[tuple[str, str]]] = {}
+    unfiltered = False
+    for part, filters in zip(
+        small.column("part").to_pylist(), small.column("filters").to_pylist(), strict=True
+    ):
+        key = part.split(":", 1)[1]
+        if key:
+            found[key] = list(dict(filters).items())
+        unfiltered = unfiltered or not key
+    wanted = requests.sparkSession.createDataFrame(
+        list(found.items()), "key string, entries array<struct<key:string,value:string>>"
+    )
+    return F.broadcast(wanted), unfiltered
+
+
+def entries_of(metadata: str, frame: DataFrame) -> Column:
+    """What filters compare of text metadata or of a typed payload."""
+    if isinstance(frame.schema[metadata].dataType, VariantType):
+        return typed_entries(F.col(metadata))
+    return text_entries(F.col(metadata))
+
+
+def satisfying(
+    stored: DataFrame, requests: DataFrame, small: pa.Table | None = None
+) -> DataFrame:
     """``stored`` (``vector[, metadata]`` and more) with ``part``: one row for each distinct
     filter of ``requests`` that it satisfies; ``metadata`` is dropped.
 
@@ -272,38 +334,55 @@ def satisfying(stored: DataFrame, requests: DataFrame) -> DataFrame:
     stored = stored.where(F.col("vector").isNotNull())
     if "filters" not in requests.columns:
         return stored.withColumn("part", width)
-    key = filter_key(F.col("filters"))
-    wanted = (
-        requests.select(key.alias("key"), "filters").where("key != ''").dropDuplicates(["key"])
-    )
-    name = F.array_sort(F.map_keys("filters"))[0]
-    wanted = wanted.select(
-        "key",
-        F.map_entries("filters").alias("entries"),
-        name.alias("name"),
-        F.col("filters")[name].alias("value"),
-    ).where(F.col("name") != TEXT_KEY)
+    wanted, unfiltered = wanted_filters(requests, small)
     rest = [c for c in stored.columns if c != "metadata"]
-    entries = stored.select(
-        *rest, "metadata", F.explode("metadata").alias("name", "value")
-    )
-    holds = F.forall(
-        "entries",
-        lambda e: F.coalesce(
-            (e["key"] != TEXT_KEY) & (F.col("metadata")[e["key"]] == e["value"]), F.lit(False)
-        ),
-    )
+    held = stored.select(*rest, entries_of("metadata", stored).alias("held"))
     met = (
-        entries.join(broadcast_if_small(wanted), ["name", "value"])
-        .where(holds)
+        held.select("*", F.explode("held").alias("entry"))
+        .join(first_entry(wanted), "entry")
+        .where(F.forall("entries", lambda e: F.array_contains("held", e)))
         .select(*rest, F.concat(width, "key").alias("part"))
     )
-    if requests.where(key == "").isEmpty():
-        return met
-    return met.unionByName(stored.select(*rest, width.alias("part")))
+    return met.unionByName(stored.select(*rest, width.alias("part"))) if unfiltered else met
+
+
+def first_entry(wanted: DataFrame) -> DataFrame:
+    """``key, entries, entry``: each filter with its first entry by name."""
+    return wanted.withColumn("entry", F.array_min("entries"))
+
+
+def narrowed(
+    stored: DataFrame, postings: DataFrame, wanted: DataFrame, unfiltered: bool
+) -> DataFrame:
+    """As :func:`satisfying`, through posting lists.
+
+    Filters are intersected on lists of ids first. If they ask for more than ``SCAN_SHARE`` of
+    the points, all are scanned; else only the points asked for go on, and while these are few,
+    their vectors are picked out where they are.
+    """
+    width = _width(F.col("vector"))
+    rest = [c for c in stored.columns if c != "metadata"]
+    with_vector = stored.where(F.col("vector").isNotNull())
+    # A filter without a list of one of its entries finds nothing, so this is an upper bound.
+    asked, total = asked_share(postings, wanted)
+    if asked > SCAN_SHARE * total:
+        held = with_vector.select(*rest, entries_of("metadata", stored).alias("held"))
+        met = (
+            held.select("*", F.explode("held").alias("entry"))
+            .join(first_entry(wanted), "entry")
+            .where(F.forall("entries", lambda e: F.array_contains("held", e)))
+            .select(*rest, F.concat(width, "key").alias("part"))
+        )
+    else:
+        shared_folder(stored.sparkSession)
+        found = matching_ids(postings, wanted).checkpoint()
+        met = with_vector.select(*rest).join(broadcast_if_small(found), "point_id").select(
+            *rest, F.concat(width, "key").alias("part")
+        )
+    return met.unionByName(with_vector.select(*rest, width.alias("part"))) if unfiltered else met
 
 
-def _small_table(requests: DataFrame, rows: int) -> pa.Table | None:
+def small_table(requests: DataFrame, rows: int) -> pa.Table | None:
     """The requests as one local table, or None when they exceed the bounds."""
     if rows <= 0 or not is_small(requests, rows, SMALL_QUERY_BYTES):
         return None
@@ -321,8 +400,13 @@ def _candidate_schema(query_type: DataType, point_type: DataType) -> StructType:
     )
 
 
-def _score_in_place(stored: DataFrame, small: pa.Table, query_type: DataType) -> DataFrame:
-    """Score every partition of ``stored`` against all queries, without moving it."""
+def score_in_place(
+    stored: DataFrame, small: pa.Table, query_type: DataType, decode: Decode = as_matrix
+) -> DataFrame:
+    """Score every partition of ``stored`` against all queries, without moving it.
+
+    ``decode`` turns the stored column ``vector`` to a matrix of rows like the queries'.
+    """
     schema = _candidate_schema(query_type, stored.schema["point_id"].dataType)
     if small.num_rows == 0:
         return stored.sparkSession.createDataFrame([], schema)
@@ -351,7 +435,7 @@ def _score_in_place(stored: DataFrame, small: pa.Table, query_type: DataType) ->
                     by_part[part],
                     groups[part],
                     as_values(inside.column("point_id")),
-                    as_matrix(inside.column("vector")),
+                    decode(inside.column("vector")),
                 )
         found = best.rows()
         if found is not None:
@@ -374,6 +458,7 @@ def score_in_blocks(
     requests: DataFrame,
     block_rows: int = BLOCK_ROWS,
     stored_cuts: DataFrame | None = None,
+    decode: Decode = as_matrix,
 ) -> DataFrame:
     """Top-k candidates of ``requests`` in ``stored`` rows of the same ``part``.
 
@@ -381,7 +466,8 @@ def score_in_blocks(
     blocks, by a hash of id and vector, so that rows of one id part as well. Each
     pair of blocks of a part is one group of about that size and yields at most ``top_k`` rows
     per query. ``stored_cuts`` are the ``part, stored_blocks`` of the large
-    parts of ``stored`` where they are known already.
+    parts of ``stored`` where they are known already. ``decode`` is that of
+    :func:`score_in_place`.
     """
     schema = _candidate_schema(
         requests.schema["query_id"].dataType, stored.schema["point_id"].dataType
@@ -426,7 +512,7 @@ def score_in_blocks(
                 vectors,
                 members,
                 as_values(batch.column("point_id")),
-                as_matrix(batch.column("vector")),
+                decode(batch.column("vector")),
             )
         query, ids, value = best.rows()
         return pa.Table.from_arrays(

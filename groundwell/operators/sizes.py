@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Bytes of rows that may be sent to every executor, and rows that are looked at to tell.
+# Bytes and rows of a side that may be sent to every executor.
 BROADCAST_BYTES = 64 * 1024 * 1024
 BROADCAST_ROWS = 500_000
 
@@ -34,12 +34,10 @@ def row_bytes(df: DataFrame) -> Column:
 def is_small(
     side: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
 ) -> bool:
-    """Whether ``side`` stays below both bounds. Counts no further than ``max_rows``."""
-    rows, size = (
-        side.limit(max_rows + 1)
-        .agg(F.count(F.lit(1)), F.coalesce(F.sum(row_bytes(side)), F.lit(0)))
-        .first()
-    )
+    """Whether ``side`` stays below both bounds. Only partial sums leave the tasks."""
+    rows, size = side.agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(row_bytes(side)), F.lit(0))
+    ).first()
     return rows <= max_rows and size <= max_bytes
 
 

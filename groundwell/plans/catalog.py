@@ -21,9 +21,13 @@ from groundwell.functions.payload import (
 )
 from groundwell.functions.prompts import generation_request, grounded_prompt
 from groundwell.functions.text import chunk_text, count_tokens, tokens
+from groundwell.functions.typed import payload_from_json, text_entries, typed_entries
 from groundwell.functions.vectors import hash_embedder, hash_embedding, l2_normalize
 from groundwell.operators import chunking, evaluation, index, search
-from groundwell.operators.cells import Cells, recall, search_cells, store_cells
+from groundwell.operators.cells import Cells, cell_visits, recall, search_cells, store_cells
+from groundwell.operators.embedding_store import EmbeddingStore
+from groundwell.operators.postings import posting_lists
+from groundwell.operators.quantized import Quantizer, search_quantized
 from groundwell.operators.requests import with_reject_reason
 from groundwell.plans import evaluation as evaluation_plan
 from groundwell.plans import grounding, ingest, retrieval, tables
@@ -42,8 +46,7 @@ REQUEST_TEXT = "which stored vectors are nearest to this request"
 VECTOR_THRESHOLD = 0.3
 TEXT_THRESHOLD = 0.985
 N_CELLS = 16
-# The given vectors have no clusters: a quarter of the cells finds little more than this.
-RECALL_FLOOR = 0.3
+RECALL_FLOOR = 0.9
 
 embed_text = hash_embedder(TEXT_WIDTH)
 
@@ -352,13 +355,16 @@ def search_filtered_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def search_many_filters(spark: SparkSession, folder: str) -> DataFrame:
-    """Hundreds of filters over as many different fields."""
+    """Hundreds of filters over as many different fields, through posting lists."""
     field = lambda c: F.create_map(
         F.concat(F.lit("field"), F.col(c) % 250), F.lit("yes")
     )
     points = tables.vector_points(spark, folder).withColumn("metadata", field("chunk_id"))
     queries = tables.vector_queries(spark, folder).withColumn("filters", field("query_id"))
-    return search.search(points, queries, small_query_rows=0, block_rows=64)
+    return search.search(
+        points, queries, small_query_rows=0, block_rows=64,
+        postings=posting_lists(points, text_entries(F.col("metadata"))),
+    )
 
 
 @_query
@@ -561,18 +567,140 @@ def cell_search_filtered(spark: SparkSession, folder: str, root: str) -> DataFra
     return search_cells(cells, placed, queries, n_probe=4, exact=True)
 
 
+def _quantized(
+    spark: SparkSession, folder: str, root: str, queries: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Hits and short list of a search over stored codes; the codebooks are read back."""
+    points = tables.vector_points(spark, folder)
+    Quantizer.fit(points, N_CELLS).save(spark, f"{root}/books")
+    quantizer = Quantizer.load(spark, f"{root}/books")
+    quantizer.encode(points.select("chunk_id", "vector", "metadata")).write.parquet(f"{root}/codes")
+    return search_quantized(quantizer, spark.read.parquet(f"{root}/codes"), points, queries)
+
+
 @_query
 @_in_folder("cell_search_recall")
 def cell_search_recall(spark: SparkSession, folder: str, root: str) -> DataFrame:
+    """Recall of the search over codes, and how many vectors it read in full."""
     queries = tables.vector_queries(spark, folder)
-    cells, placed = _placed_points(spark, folder, root)
-    found = search_cells(cells, placed, queries, n_probe=4)
+    found, short = _quantized(spark, folder, root, queries)
+    exact = search.search(tables.vector_points(spark, folder), queries)
+    return recall(found, exact, "query_id", "chunk_id").crossJoin(
+        F.broadcast(short.agg(F.count(F.lit(1)).alias("n_read")))
+    ).select("n_exact", (F.col("recall") >= RECALL_FLOOR).alias("recall_reached"), "n_read")
+
+
+@_query
+@_in_folder("quantized_recall_filtered")
+def quantized_recall_filtered(spark: SparkSession, folder: str, root: str) -> DataFrame:
+    """The same with a filter per query."""
+    queries = tables.vector_queries(spark, folder).withColumn("filters", _same_label())
+    found, _ = _quantized(spark, folder, root, queries)
     exact = search.search(tables.vector_points(spark, folder), queries)
     return recall(found, exact, "query_id", "chunk_id").select(
         "n_exact", (F.col("recall") >= RECALL_FLOOR).alias("recall_reached")
     )
 
 
+@_query
+@_in_folder("rag_threshold_cells")
+def rag_threshold_cells(spark: SparkSession, folder: str, root: str) -> DataFrame:
+    """The hits of ``rag_threshold`` with the threshold inside the search, and whether each
+    query kept to the cells that can hold one."""
+    cells, placed = _placed_points(spark, folder, root)
+    queries = tables.vector_queries(spark, folder)
+    hits = search_cells(cells, placed, queries, threshold=VECTOR_THRESHOLD)
+    visits = cell_visits(cells, placed, queries, VECTOR_THRESHOLD)
+    return hits.join(visits, "query_id").select(
+        "query_id", "rank", "chunk_id", "score",
+        F.col("n_cells").between(1, N_CELLS).alias("cells_bounded"),
+    )
+
+
+# Typed payloads and filters of ``search_typed``, by the last digit of an id.
+TYPED_PAYLOADS = (
+    '{"page": 1}', '{"page": "1"}', '{"page": true}', '{"page": null}', '{"page": 1.0}',
+    '{"page": [1, "1", 2]}', "{}", '{"page": {"no": 1}}', '{"page": 1, "lang": "en"}', '{"page": "en"}',
+)
+TYPED_FILTERS = (
+    '{"page": 1}', '{"page": "1"}', '{"page": true}', '{"page": null}', '{"page": 2}',
+    '{"page": false}', "{}", '{"page.no": 1}', '{"page": 1, "lang": "en"}', '{"page": "2"}',
+)
+
+
+def _by_digit(values: tuple[str, ...], number: str) -> F.Column:
+    texts = F.array(*map(F.lit, values))
+    return payload_from_json(F.element_at(texts, (F.col(number) % 10 + 1).cast("int")))
+
+
+def _typed_points(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.vector_points(spark, folder).withColumn(
+        "metadata", _by_digit(TYPED_PAYLOADS, "chunk_id")
+    )
+
+
+@_query
+def search_typed(spark: SparkSession, folder: str) -> DataFrame:
+    """Filters that tell the number 1, the text "1", true and null apart."""
+    queries = tables.vector_queries(spark, folder).withColumn(
+        "filters", _by_digit(TYPED_FILTERS, "query_id")
+    )
+    return search.search(_typed_points(spark, folder), queries)
+
+
+@_query
+@_in_folder("search_typed_postings")
+def search_typed_postings(spark: SparkSession, folder: str, root: str) -> DataFrame:
+    """The same through stored posting lists, with the payload stored as it is."""
+    _typed_points(spark, folder).write.parquet(f"{root}/points")
+    points = spark.read.parquet(f"{root}/points")
+    posting_lists(points, typed_entries(F.col("metadata"))).write.parquet(f"{root}/postings")
+    queries = tables.vector_queries(spark, folder).withColumn(
+        "filters", _by_digit(TYPED_FILTERS, "query_id")
+    )
+    return search.search(points, queries, postings=spark.read.parquet(f"{root}/postings"))
+
+
+@_query
+@_in_folder("search_postings")
+def search_postings(spark: SparkSession, folder: str, root: str) -> DataFrame:
+    """One of ten labels and one of two halves, asked for by the queries of one label only."""
+    half = lambda c: (F.col(c) % 2).cast("string")
+    points = tables.vector_points(spark, folder).withColumn(
+        "metadata",
+        F.map_concat("metadata", F.create_map(F.lit("half"), half("chunk_id"))),
+    )
+    posting_lists(points, text_entries(F.col("metadata"))).write.parquet(f"{root}/postings")
+    queries = tables.vector_queries(spark, folder).where("label = 3").withColumn(
+        "filters",
+        F.create_map(F.lit("label"), F.lit("4"), F.lit("half"), half("query_id")),
+    )
+    return search.search(points, queries, postings=spark.read.parquet(f"{root}/postings"))
+
+
+@_query
+@_in_folder("embedding_store")
+def embedding_store(spark: SparkSession, folder: str, root: str) -> DataFrame:
+    """Two versions of the documents: how many texts of each went to the embedder, and whether
+    all rows found the vector of their text."""
+    store = EmbeddingStore(spark, f"{root}/vectors", f"hash-{TEXT_WIDTH}", embed_text)
+    first = tables.documents(spark, folder).select("document_id", "text")
+    shorter = F.when(F.col("lang") == "en", _without_article()).otherwise(F.col("text"))
+    second = tables.documents(spark, folder).select("document_id", shorter.alias("text"))
+    out = None
+    for batch, rows in enumerate((first, second)):
+        added = store.add(batch, rows).agg(F.count(F.lit(1)).alias("n_embedded"))
+        met = store.with_vectors(rows).agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            F.count_if(
+                F.col("vector") == hash_embedding(F.col("text"), TEXT_WIDTH)
+            ).alias("n_right"),
+        )
+        figures = met.crossJoin(F.broadcast(added)).withColumn("batch", F.lit(batch))
+        out = figures if out is None else out.unionByName(figures)
+    return out
+
+
 # Prompts -------------------------------------------------------------------------------------
 
 

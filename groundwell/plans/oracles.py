@@ -149,6 +149,21 @@ def _grounded(k: int) -> str:
          where score >= {TEXT_THRESHOLD} group by query_id) h on h.query_id = b.item_id)"""
 
 
+# Which last digits of a stored id each last digit of a query id asks for.
+SEARCH_TYPED = f"""
+    select query_id, rank, chunk_id, score
+    from {_top_k(_vector_pairs("""
+      case q.vec_id % 10
+        when 0 then c.vec_id % 10 in (0, 4, 5, 8)
+        when 1 then c.vec_id % 10 in (1, 5)
+        when 2 then c.vec_id % 10 = 2
+        when 3 then c.vec_id % 10 = 3
+        when 4 then c.vec_id % 10 = 5
+        when 5 then false
+        when 6 then true
+        when 7 then c.vec_id % 10 = 7
+        when 8 then c.vec_id % 10 = 8
+        else false end"""), '5')}"""
 _NEXT_LABEL_HITS = f"""(
   select *, case when label % 2 = 0 then 'label ' || label else '' end as chunk_text
   from {_top_k(_vector_pairs('c.label = (q.label + 1) % 10'), '5')}
@@ -384,8 +399,30 @@ ORACLES: dict[str, str] = {
         select query_id, rank, chunk_id, score
         from {_top_k(_vector_pairs('c.vec_id % 250 = q.vec_id % 250'), '5')}""",
     "cell_search_recall": f"""
-        select count(*) as n_exact, true as recall_reached
+        select count(*) as n_exact, true as recall_reached,
+               (select count(*) * least(count(*), 16 * 5) from embeddings) as n_read
         from {_top_k(_vector_pairs(), '5')}""",
+    "quantized_recall_filtered": f"""
+        select count(*) as n_exact, true as recall_reached
+        from {_top_k(_vector_pairs('c.label = q.label'), '5')}""",
+    "rag_threshold_cells": f"""
+        select query_id, rank, chunk_id, score, true as cells_bounded
+        from {_top_k(_vector_pairs(), '5')} where score >= {VECTOR_THRESHOLD}""",
+    "search_typed": SEARCH_TYPED,
+    "search_typed_postings": SEARCH_TYPED,
+    "search_postings": f"""
+        select query_id, rank, chunk_id, score
+        from {_top_k(_vector_pairs('q.label = 3 and c.label = 4 and c.vec_id % 2 = q.vec_id % 2'), '5')}""",
+    "embedding_store": """
+        with v as (
+          select 0 as batch, coalesce(text, '') as text from documents
+          union all
+          select 1, case when lang = 'en' then replace(coalesce(text, ''), ' the ', ' ')
+                         else coalesce(text, '') end from documents)
+        select batch, count(*) as n_rows, count(*) as n_right,
+               count(distinct text) filter (
+                 batch = 0 or text not in (select text from v where batch = 0)) as n_embedded
+        from v group by batch""",
     "rag_rejects": f"""
         with q as (
           select item_id, case when item_id % 5 = 0 then '' else text end as query,
