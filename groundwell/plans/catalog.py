@@ -10,6 +10,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groundwell.functions import sql
 from groundwell.functions.binding import let
 from groundwell.functions.ids import chunk_id, document_id_or_default, path_document_id
 from groundwell.functions.payload import (
@@ -24,6 +25,7 @@ from groundwell.functions.text import chunk_text, count_tokens, tokens
 from groundwell.functions.typed import payload_from_json, text_entries, typed_entries
 from groundwell.functions.vectors import hash_embedder, hash_embedding, l2_normalize
 from groundwell.operators import chunking, evaluation, index, search
+from groundwell.operators.bucketed import BucketedIndex
 from groundwell.operators.cells import Cells, cell_visits, recall, search_cells, store_cells
 from groundwell.operators.embedding_store import EmbeddingStore
 from groundwell.operators.postings import posting_lists
@@ -34,6 +36,7 @@ from groundwell.plans import grounding, ingest, retrieval, tables
 from groundwell.settings import GROUNDED_TOP_K_MAX, shared_folder
 from groundwell.sources.files import assemble_pages
 from groundwell.sources.run_log import metric_rows, param_rows, read_runs
+from groundwell.streaming.files import file_stream, ingest_file_stream, read_rejects
 from groundwell.streaming.ingest import ingest_stream
 from groundwell.streaming.retrieval import retrieval_stream
 
@@ -46,6 +49,7 @@ REQUEST_TEXT = "which stored vectors are nearest to this request"
 VECTOR_THRESHOLD = 0.3
 TEXT_THRESHOLD = 0.985
 N_CELLS = 16
+N_BUCKETS = 8
 RECALL_FLOOR = 0.9
 
 embed_text = hash_embedder(TEXT_WIDTH)
@@ -877,6 +881,41 @@ def index_lifecycle(spark: SparkSession, folder: str, root: str) -> DataFrame:
     )
 
 
+@_query
+@_in_folder("index_lifecycle_bucketed")
+def index_lifecycle_bucketed(spark: SparkSession, folder: str, root: str) -> DataFrame:
+    """The life of ``index_lifecycle`` in tables that are bucketed by id."""
+    documents = tables.documents(spark, folder)
+    toxic = tables.table(spark, folder, "labels").where(F.col("toxic") == 1)
+
+    def points(rows: DataFrame) -> DataFrame:
+        return ingest.points_of_requests(rows, embed_text)
+
+    first = BucketedIndex.open(spark, f"{root}/first", TEXT_WIDTH, N_BUCKETS)
+    first.load(points(documents))
+    english = documents.where(F.col("lang") == "en")
+    first.write_batch(1, points(english.withColumn("text", _without_article())), unique=True)
+    gone = chunking.chunk_documents(documents).join(
+        toxic.select(F.col("doc_id").cast("string").alias("document_id")), "document_id"
+    )
+    first.delete_batch(
+        2, gone.select(chunk_id(F.col("document_id"), F.col("chunk_index")).alias("chunk_id"))
+    )
+    second = first.compact(f"{root}/second")
+    french = documents.where(F.col("lang") == "fr")
+    marked = F.concat(F.lit("again: "), F.col("text"))
+    second.write_batch(0, points(french.withColumn("text", marked)), unique=True)
+    rows = second.points().select(
+        "chunk_id",
+        F.col("metadata")["document_id"].alias("document_id"),
+        F.col("metadata")["chunk_index"].alias("chunk_index"),
+        "chunk_text",
+    ).checkpoint()
+    first.drop()
+    second.drop()
+    return rows
+
+
 def _versions(spark: SparkSession, folder: str) -> DataFrame:
     """Requests by document: its text, then an English one again without an article."""
     versions = F.when(
@@ -954,6 +993,45 @@ def file_ingest(spark: SparkSession, folder: str, root: str) -> DataFrame:
     return stored.unionByName(counted).unionByName(rejected)
 
 
+@_query
+@_in_folder("stream_files")
+def stream_files(spark: SparkSession, folder: str, root: str) -> DataFrame:
+    """The benchmark as a stream of files, some of an unknown kind, some at a time."""
+    texts = tables.table(spark, folder, "benchmark")
+    for kind, rest in (("txt", 0), ("csv", 1)):
+        texts.where(F.col("item_id") % 2 == rest).select("text", "item_id").write.partitionBy(
+            "item_id"
+        ).format("text" if kind == "txt" else "csv").save(f"{root}/files/{kind}")
+    collection = index.Collection.create(spark, f"{root}/index", TEXT_WIDTH)
+    files = file_stream(spark, f"{root}/files", files_per_batch=64)
+    ingest_file_stream(
+        files, collection, f"{root}/rejects", embed_text, f"{root}/state", *SMALL_WINDOW
+    ).awaitTermination()
+    item = lambda path: F.regexp_extract(path, r"item_id=(\d+)", 1)
+    stored = collection.points().select(
+        item(F.col("metadata")["source"]).alias("item"),
+        F.col("metadata")["chunk_index"].alias("chunk_index"),
+        F.col("chunk_text").alias("said"),
+    )
+    refused = read_rejects(spark, f"{root}/rejects").select(
+        item(F.col("path")).alias("item"), F.lit("rejected").alias("chunk_index"),
+        F.col("reason").alias("said"),
+    )
+    return stored.unionByName(refused)
+
+
+@_query
+def sql_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks and their ids by the session's SQL functions alone."""
+    sql.register(spark)
+    return spark.sql(
+        """select cast(d.doc_id as string) as document_id, c.chunk_index, c.chunk_text,
+                  chunk_id(cast(d.doc_id as string), c.chunk_index) as chunk_id
+           from {docs} d, lateral text_chunks(d.text, 32, 8) c""",
+        docs=tables.spread_table(spark, folder, "documents"),
+    )
+
+
 # Streams -------------------------------------------------------------------------------------
 
 

@@ -548,6 +548,16 @@ ORACLES: dict[str, str] = {
                count(*) filter (where label % 2 <> 0) as n_without_text
         from embeddings""",
     "index_lifecycle": _LIFECYCLE,
+    "index_lifecycle_bucketed": _LIFECYCLE,
+    "stream_files": f"""
+        select item_id::varchar as item, chunk_index::varchar as chunk_index, chunk_text as said
+        from {_chunks('benchmark', 'text', 'item_id', *SMALL_WINDOW)} where item_id % 2 = 0
+        union all
+        select item_id::varchar, 'rejected', 'unsupported file ending: .csv'
+        from benchmark where item_id % 2 = 1""",
+    "sql_chunks": f"""
+        select document_id, chunk_index, chunk_text,
+               {_uuid5("document_id || ':' || chunk_index")} as chunk_id from {_SMALL}""",
     "stream_ingest": f"""
         select {_POINT}, lang
         from {_chunks('documents', 'text', DOCUMENT + ', lang', *WINDOW)}""",

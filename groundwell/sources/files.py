@@ -80,6 +80,14 @@ def load_documents(
     read. Without it PDF files are rejected. One bad file never stops the others.
     """
     found, missing = scan_files(spark, paths)
+    documents, rejected = split_documents(found, pdf_pages)
+    return documents, rejected.unionByName(missing)
+
+
+def split_documents(
+    found: DataFrame, pdf_pages: Callable[[Column], Column] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``(documents, rejected)`` of files ``path, content``, as :func:`load_documents` has them."""
     kind = ending(F.col("path"))
     is_text = kind.isin(*TEXT_ENDINGS)
     is_pdf = kind == PDF_ENDING
@@ -100,7 +108,7 @@ def load_documents(
         rejected = rejected.where(~is_text)
     return (
         read.where(F.col("text").isNotNull()).select("path", "text"),
-        rejected.select("path", reason.alias("reason")).unionByName(missing),
+        rejected.select("path", reason.alias("reason")),
     )
 
 
