@@ -1,7 +1,10 @@
-"""The same functions for SQL text: scalar and table functions of a session.
+"""The same functions for SQL text.
 
 They are defined in SQL, expand into the plan of the query that calls them, and start no Python
-worker. ``register`` makes them known as temporary functions.
+worker. ``register`` makes them known as temporary functions. Chunks are a list, made in a
+subquery and opened by ``lateral view outer inline(...)``: a function that returns a table would be
+joined back to its rows by the whole text, and without ``outer`` a filter on the size of the list
+would make it a second time.
 """
 
 from __future__ import annotations
@@ -36,14 +39,19 @@ def statements(prefix: str = "") -> list[str]:
             raise_error('the overlap does not fit the window')
           when n = 0 then 0
           else cast(greatest(0, ceil((n - size) / (size - overlap))) as int) + 1 end""",
+        f"""{make}word_windows(words array<string>, size int, overlap int)
+        returns array<struct<chunk_index int, chunk_text string>>
+        return case
+          when {prefix}chunk_count(size(words), size, overlap) = 0 then array()
+          else transform(
+            sequence(0, {prefix}chunk_count(size(words), size, overlap) - 1),
+            i -> named_struct(
+              'chunk_index', i,
+              'chunk_text', array_join(slice(words, i * (size - overlap) + 1, size), ' '))) end""",
         f"""{make}text_chunks(
           text string, size int default {size}, overlap int default {overlap}
-        ) returns table (chunk_index int, chunk_text string)
-        return select i, array_join(slice(words, i * (size - overlap) + 1, size), ' ')
-          from (select words, explode(
-                  case when many = 0 then array() else sequence(0, many - 1) end) as i
-                from (select words, {prefix}chunk_count(size(words), size, overlap) as many
-                      from (select {prefix}text_tokens(text) as words)))""",
+        ) returns array<struct<chunk_index int, chunk_text string>>
+        return {prefix}word_windows({prefix}text_tokens(text), size, overlap)""",
         f"""{make}uuid5(name string) returns string
         return concat(
           substring(sha1(concat(unhex('{URL_NAMESPACE}'), encode(name, 'UTF-8'))), 1, 8), '-',
@@ -66,7 +74,7 @@ def statements(prefix: str = "") -> list[str]:
 
 
 def register(spark: SparkSession, prefix: str = "") -> None:
-    """Define ``text_tokens``, ``chunk_count``, ``text_chunks`` (a table function), ``uuid5``,
+    """Define ``text_tokens``, ``chunk_count``, ``word_windows``, ``text_chunks``, ``uuid5``,
     ``chunk_id``, ``path_document_id`` and ``grounded_prompt`` for this session."""
     for statement in statements(prefix):
         spark.sql(statement)

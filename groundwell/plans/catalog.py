@@ -1025,9 +1025,12 @@ def sql_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks and their ids by the session's SQL functions alone."""
     sql.register(spark)
     return spark.sql(
-        """select cast(d.doc_id as string) as document_id, c.chunk_index, c.chunk_text,
-                  chunk_id(cast(d.doc_id as string), c.chunk_index) as chunk_id
-           from {docs} d, lateral text_chunks(d.text, 32, 8) c""",
+        """select document_id, chunk_index, chunk_text,
+                  chunk_id(document_id, chunk_index) as chunk_id
+           from (select cast(doc_id as string) as document_id, text_chunks(text, 32, 8) as chunks
+                 from {docs})
+           lateral view outer inline(chunks) c as chunk_index, chunk_text
+           where chunk_index is not null""",
         docs=tables.spread_table(spark, folder, "documents"),
     )
 
