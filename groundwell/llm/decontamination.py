@@ -5,9 +5,12 @@ words and ignores the others; the hashes of the words it looks at are joined bet
 and documents. Around each hit the aligned words are compared: a stretch of ``STRETCH`` words
 with ``MATCHES`` or more equal ones is an overlap, whatever words were substituted in between.
 
-The documents are scanned once and not shuffled: places whose first two looked-at words occur so
-in no item drop out at once, and seeds have a fixed width and carry the item's words around them
-as hashes, so that hits are verified where they are found.
+The documents are not shuffled: places whose first two looked-at words occur so in no item drop out
+at once, and seeds have a fixed width and carry the item's words around them as hashes, so that
+hits are verified where they are found. A benchmark of up to ``BROADCAST_SEEDS`` seeds is sent to
+the tasks whole. The keys of a larger one are cut by their hash in parts of about ``PART_KEYS``,
+and the documents are scanned once for each part; what hits a key goes on with the words around it,
+a row of fixed width, and meets the seeds of that key in a shuffled join.
 """
 
 from __future__ import annotations
@@ -15,8 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundwell.llm.common import saved
-from groundwell.operators.sizes import broadcast_if_small
+from groundwell.llm.common import free_name, saved
 
 #: Words of a seed, and the places in it that each mask looks at, the first two of them first.
 #: A covering set: whichever two words of a span are substituted, one mask at least is left
@@ -41,6 +43,8 @@ _PAIRS = tuple(sorted({mask[:2] for mask in MASKS}))
 _AROUND = SPAN + 2 * _SIDE
 #: A seed row has a fixed width of about 200 bytes, so that this many fit a broadcast.
 BROADCAST_SEEDS = 200_000
+#: Keys, of 8 bytes, that are sent to the tasks for one scan of the documents.
+PART_KEYS = 1_000_000
 
 
 def normal_words(text: Column) -> Column:
@@ -165,18 +169,22 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, keys: list[str]) -> DataFram
     Empty tables give an empty result.
     """
     found = saved(seeds(benchmark))
-    pairs = broadcast_if_small(found.select("pair_key").distinct(), BROADCAST_SEEDS)
+    n_seeds = found.count()
     texts = docs.select(
         *(F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)),
         _padded(_hashes(F.col("text")), _EDGE).alias("words"),
     )
-    spots = _spots(texts, pairs).withColumn(
-        "key", F.explode(_mask_keys(F.col("around"), F.col("pair")))
-    )
+    if n_seeds <= BROADCAST_SEEDS:
+        met = _keyed_spots(texts, found).join(F.broadcast(found.drop("pair_key")), "key")
+    else:
+        hits = [saved(part) for part in hits_by_part(texts, found, n_seeds)]
+        every = hits[0]
+        for part in hits[1:]:
+            every = every.unionByName(part)
+        met = every.join(found.drop("pair_key").hint("merge"), "key")
     least = F.ceil(F.least("size", F.lit(STRETCH)) * F.lit(MATCHES) / F.lit(STRETCH))
     return (
-        spots.join(broadcast_if_small(found.drop("pair_key"), BROADCAST_SEEDS), "key")
-        .withColumn("matched", _most(F.col("item"), F.col("around"), F.col("size")))
+        met.withColumn("matched", _most(F.col("item"), F.col("around"), F.col("size")))
         .where(F.col("matched") >= least)
         .groupBy(*(f"key_{i}" for i in range(len(keys))), "item_id")
         .agg(F.max("matched").alias("matched"))
@@ -184,6 +192,31 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, keys: list[str]) -> DataFram
     )
 
 
+def _keyed_spots(texts: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Places whose pair of words is one of ``seeds``, with the ``key`` of each of their masks."""
+    pairs = F.broadcast(seeds.select("pair_key").distinct())
+    return _spots(texts, pairs).withColumn(
+        "key", F.explode(_mask_keys(F.col("around"), F.col("pair")))
+    )
+
+
+def hits_by_part(texts: DataFrame, seeds: DataFrame, n_seeds: int) -> list[DataFrame]:
+    """For each part of the keys of ``seeds`` a scan of ``texts``: places that hit one of them,
+    with the words around. A part holds some ``PART_KEYS`` of ``n_seeds`` keys, and no more pairs
+    than keys, whatever the number of items and their lengths."""
+    parts = -(-n_seeds // PART_KEYS)
+    hits = []
+    for part in range(parts):
+        own = seeds.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part)
+        keys = F.broadcast(own.select("key").distinct())
+        hits.append(
+            _keyed_spots(texts, own)
+            .join(keys, "key", "left_semi")
+            .select(*(c for c in texts.columns if c != "words"), "key", "around")
+        )
+    return hits
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, matched`` for each document and each item that it overlaps."""
     return overlaps(docs, benchmark, ["doc_id"])
@@ -195,14 +228,15 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Rows are told apart by id and text, so that a clean row stays where its id, null included,
     also stands on a contaminated text.
     """
-    mark = F.xxhash64("text")
-    marked = docs.select("doc_id", "text", mark.alias("__text"))
-    bad = overlaps(marked, benchmark, ["doc_id", "__text"]).select(
-        F.col("doc_id").alias("__bad"), F.col("__text").alias("__bad_text")
+    text = F.xxhash64("text")
+    mark, bad_id, bad_text = (free_name(docs, n) for n in ("__text", "__bad", "__bad_text"))
+    marked = docs.select("doc_id", "text", text.alias(mark))
+    bad = overlaps(marked, benchmark, ["doc_id", mark]).select(
+        F.col("doc_id").alias(bad_id), F.col(mark).alias(bad_text)
     )
-    own = docs.withColumn("__text", mark)
+    own = docs.withColumn(mark, text)
     return own.join(
         bad.distinct(),
-        (own["__text"] == bad["__bad_text"]) & own["doc_id"].eqNullSafe(bad["__bad"]),
+        (own[mark] == bad[bad_text]) & own["doc_id"].eqNullSafe(bad[bad_id]),
         "left_anti",
-    ).drop("__text")
+    ).drop(mark)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from groundwell.llm.common import pieces, ready, saved, utf8_list, words_of
+from groundwell.llm.common import free_name, pieces, ready, saved, utf8_list, words_of
 from groundwell.llm.graph import connected_components
 
 #: Fixed value: the seed of the shingle hash.
@@ -274,18 +274,19 @@ def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     text = F.xxhash64("text")
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), text.alias("t"))
     found = near_duplicates(docs.select(rank.alias("doc_id"), "text"), width)
+    i, t, mark, copy = (free_name(docs, n) for n in ("__i", "__t", "__text", "__copy"))
     stay = (
         found.where("doc_id = component_id")
-        .select(F.col("doc_id.i").alias("__i"), F.col("doc_id.t").alias("__t"))
+        .select(F.col("doc_id.i").alias(i), F.col("doc_id.t").alias(t))
         .distinct()
     )
-    own = docs.withColumn("__text", text)
+    own = docs.withColumn(mark, text)
     met = own.join(
-        stay, own["doc_id"].eqNullSafe(stay["__i"]) & (own["__text"] == stay["__t"]), "left_semi"
+        stay, own["doc_id"].eqNullSafe(stay[i]) & (own[mark] == stay[t]), "left_semi"
     )
-    same = Window.partitionBy("doc_id", "__text").orderBy("__text")
+    same = Window.partitionBy("doc_id", mark).orderBy(mark)
     return (
-        met.withColumn("__copy", F.row_number().over(same))
-        .where("__copy = 1")
+        met.withColumn(copy, F.row_number().over(same))
+        .where(F.col(copy) == 1)
         .select(*docs.columns)
     )

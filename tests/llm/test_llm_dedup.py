@@ -11,6 +11,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from groundwell.llm import decontamination, graph, simhash, substrings
 
@@ -250,6 +251,62 @@ def test_decontamination_finds_every_pattern_of_substitutions(spark):
     assert len(rows) > len(expected) > 1500
 
 
+def large_benchmark(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(500)] + ["the", "of"] * 40
+    items = [rng.choices(vocabulary, k=rng.choice([11, 14, 40])) for _ in range(120)]
+    texts = []
+    for i in range(60):
+        words = rng.choices(vocabulary, k=rng.choice([5, 60, 200]))
+        at = rng.randrange(len(words))
+        cut = list(items[i][: rng.choice([11, 15, 30])])
+        if i % 3 == 0:
+            cut[rng.randrange(len(cut))] = "other"
+        words[at:at] = cut
+        texts.append(" ".join(words))
+    docs = docs_of(spark, list(enumerate(texts)))
+    bench = [(i, " ".join(w)) for i, w in enumerate(items)]
+    return docs, spark.createDataFrame(bench, "item_id bigint, text string")
+
+
+def test_decontamination_by_a_benchmark_in_parts(spark, monkeypatch):
+    docs, benchmark = large_benchmark(spark)
+    whole = Counter(map(tuple, decontamination.contaminated(docs, benchmark).collect()))
+    assert len(whole) >= 40
+    monkeypatch.setattr(decontamination, "BROADCAST_SEEDS", 0)
+    monkeypatch.setattr(decontamination, "PART_KEYS", 4000)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = decontamination.contaminated(docs, benchmark)
+        assert Counter(map(tuple, found.collect())) == whole
+        assert found._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") == 0
+        seeds = decontamination.seeds(benchmark)
+        texts = docs.select(F.col("doc_id").alias("key_0"), decontamination._hashes(F.col("text")).alias("words"))
+        parts = decontamination.hits_by_part(texts, seeds, seeds.count())
+        assert len(parts) > 2
+        for part in parts:
+            plan = part._jdf.queryExecution().executedPlan().toString()
+            # Only keys of the benchmark are sent; no document leaves its task.
+            assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_clashing_columns_stay(spark):
+    rows = [(1, "a b c d e"), (2, "a b c d e"), (3, "q r s")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr(
+        "*", "'x' as __text", "'y' as __I", "1 as __t", "2 as __copy", "3 as __bad", "4 as __bad_text"
+    )
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert {(r.doc_id, r["__text"], r["__copy"]) for r in kept.collect()} == {(1, "x", 2), (3, "x", 2)}
+    benchmark = spark.createDataFrame([(1, "a b c d e " * 4)], "item_id bigint, text string")
+    clean = decontamination.drop_contaminated(docs, benchmark)
+    assert clean.columns == docs.columns
+    assert {(r.doc_id, r["__text"], r["__bad"]) for r in clean.collect()} == {(i, "x", 3) for i in (1, 2, 3)}
+
+
 def test_decontamination_is_native(spark):
     docs = docs_of(spark, [(1, "a b")])
     benchmark = spark.createDataFrame([(1, "x " * 20)], "item_id bigint, text string")
