@@ -47,14 +47,15 @@ class BucketedIndex:
         for part in ("base", "changes"):
             path = spark._jvm.org.apache.hadoop.fs.Path(opened.folder(part))
             path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+        packed = "options (compression = 'zstd')"
         clustered = f"clustered by (chunk_id) sorted by (chunk_id) into {buckets} buckets"
         spark.sql(
-            f"create table if not exists {opened.name('base')} ({_COLUMNS}) using parquet "
+            f"create table if not exists {opened.name('base')} ({_COLUMNS}) using parquet {packed} "
             f"{clustered} location '{opened.folder('base')}'"
         )
         spark.sql(
             f"create table if not exists {opened.name('changes')} "
-            f"({_COLUMNS}, deleted int, batch bigint) using parquet partitioned by (batch) "
+            f"({_COLUMNS}, deleted int, batch bigint) using parquet {packed} partitioned by (batch) "
             f"{clustered} location '{opened.folder('changes')}'"
         )
         spark.catalog.recoverPartitions(opened.name("changes"))
