@@ -72,10 +72,12 @@ class BucketedIndex:
         for part in ("base", "changes"):
             self.spark.sql(f"drop table if exists {self.name(part)}")
 
-    def load(self, points: DataFrame) -> None:
-        """Fill the base with points whose ids are unique, in place of what it held."""
+    def load(self, points: DataFrame, placed: bool = False) -> None:
+        """Fill the base with points whose ids are unique, in place of what it held. ``placed``
+        tells that they lie by bucket already, and saves the shuffle."""
         rows = check_dimension(points, self.dimension).select(*POINT_COLUMNS)
-        rows.repartition(self.buckets, "chunk_id").write.insertInto(self.name("base"), overwrite=True)
+        rows = rows if placed else rows.repartition(self.buckets, "chunk_id")
+        rows.write.insertInto(self.name("base"), overwrite=True)
 
     def write_batch(
         self, batch: int, points: DataFrame, order: str | None = None, unique: bool = False
@@ -117,7 +119,7 @@ class BucketedIndex:
         if root == self.root:
             raise ValueError("compact into a new folder")
         compacted = BucketedIndex.open(self.spark, root, self.dimension, self.buckets)
-        compacted.load(self.points())
+        compacted.load(self.points(), placed=True)
         return compacted
 
     def _write(self, batch: int, changes: DataFrame) -> None:
