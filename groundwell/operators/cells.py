@@ -44,14 +44,24 @@ _SLACK = 10.0 ** (1 - SCORE_DECIMALS)
 
 @dataclass(frozen=True)
 class Cells:
-    """Unit-length centers, one row per cell."""
+    """Unit-length centers, one row per cell.
+
+    ``numbers`` names the cells where they are not numbered from 0; ``radii`` are the largest
+    angles of their points where they are known, so that a search need not look them up.
+    """
 
     centers: np.ndarray
+    numbers: np.ndarray | None = None
+    radii: np.ndarray | None = None
 
     @property
     def n_cells(self) -> int:
         return len(self.centers)
 
+    @property
+    def cell_numbers(self) -> np.ndarray:
+        return np.arange(self.n_cells) if self.numbers is None else self.numbers
+
     @classmethod
     def fit(
         cls, points: DataFrame, n_cells: int, vector: str = "vector", seed: int = 7,
@@ -74,7 +84,7 @@ class Cells:
         """Add ``cell`` and ``angle``, the angle to its center. Partition a stored index by
         ``cell`` to read only the cells a search visits."""
         ship_package(points.sparkSession)
-        placed = _nearest(self.centers)(F.col(vector))
+        placed = _nearest(self.centers, self.cell_numbers)(F.col(vector))
         return (
             points.withColumn("__placed", placed)
             .withColumn("cell", F.col("__placed.cell"))
@@ -181,11 +191,14 @@ def search_cells(
 
 def _bounds_of(cells: Cells, points: DataFrame, n_nearest: int, with_radii: bool):
     radii = np.zeros(cells.n_cells)
-    if with_radii:
+    if with_radii and cells.radii is not None:
+        radii = cells.radii
+    elif with_radii:
+        place = {number: i for i, number in enumerate(cells.cell_numbers.tolist())}
         # At most one row per cell, whatever the number of points.
         for row in points.groupBy("cell").agg(F.max("angle").alias("radius")).collect():
-            radii[row["cell"]] = row["radius"]
-    return _cell_bounds(cells.centers, radii, n_nearest)
+            radii[place[row["cell"]]] = row["radius"]
+    return _cell_bounds(cells.centers, radii, n_nearest, cells.cell_numbers)
 
 
 def _passing(visits: str, threshold: float) -> Column:
@@ -228,7 +241,7 @@ def _steps(vectors: pd.Series, n_cells: int) -> Iterator[np.ndarray]:
         yield _unit_rows(vectors.iloc[start:start + size])
 
 
-def _nearest(centers: np.ndarray):
+def _nearest(centers: np.ndarray, numbers: np.ndarray):
     @F.pandas_udf("cell INT, angle DOUBLE")
     def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for vectors in batches:
@@ -237,13 +250,13 @@ def _nearest(centers: np.ndarray):
                 similarity = unit @ centers.T
                 cell = similarity.argmax(axis=1)
                 angle = np.arccos(np.clip(similarity[np.arange(len(cell)), cell], -1.0, 1.0))
-                found.append(pd.DataFrame({"cell": cell.astype(np.int32), "angle": angle}))
+                found.append(pd.DataFrame({"cell": numbers[cell].astype(np.int32), "angle": angle}))
             yield pd.concat(found, ignore_index=True)
 
     return nearest
 
 
-def _cell_bounds(centers: np.ndarray, radii: np.ndarray, n_nearest: int):
+def _cell_bounds(centers: np.ndarray, radii: np.ndarray, n_nearest: int, numbers: np.ndarray):
     """The nearest cells in order of their centers, with the best cosine each could hold."""
 
     @F.pandas_udf("cell ARRAY<INT>, bound ARRAY<DOUBLE>")
@@ -255,8 +268,9 @@ def _cell_bounds(centers: np.ndarray, radii: np.ndarray, n_nearest: int):
                 bound = np.cos(np.maximum(0.0, angle - radii))
                 # A zero vector has score 0 everywhere, so no cell can be left out for it.
                 bound[~unit.any(axis=1)] = math.inf
-                cell = np.argsort(angle, axis=1, kind="stable")[:, :n_nearest].astype(np.int32)
-                best = np.take_along_axis(bound, cell, axis=1)
+                near = np.argsort(angle, axis=1, kind="stable")[:, :n_nearest]
+                best = np.take_along_axis(bound, near, axis=1)
+                cell = numbers[near].astype(np.int32)
                 found.append(pd.DataFrame({"cell": list(cell), "bound": list(best)}))
             yield pd.concat(found, ignore_index=True)
 

@@ -28,9 +28,11 @@ from groundwell.operators import chunking, evaluation, index, search
 from groundwell.operators.bucketed import BucketedIndex
 from groundwell.operators.cells import Cells, cell_visits, recall, search_cells, store_cells
 from groundwell.operators.embedding_store import EmbeddingStore
+from groundwell.operators.live_cells import LiveCells
 from groundwell.operators.postings import posting_lists
 from groundwell.operators.quantized import Quantizer, search_quantized
 from groundwell.operators.requests import with_reject_reason
+from groundwell.operators.sketches import ID_ERROR, RANK_ERROR, BatchSketches
 from groundwell.plans import evaluation as evaluation_plan
 from groundwell.plans import grounding, ingest, retrieval, tables
 from groundwell.settings import GROUNDED_TOP_K_MAX, shared_folder
@@ -49,6 +51,7 @@ REQUEST_TEXT = "which stored vectors are nearest to this request"
 VECTOR_THRESHOLD = 0.3
 TEXT_THRESHOLD = 0.985
 N_CELLS = 16
+CELL_POINTS = 128
 N_BUCKETS = 8
 RECALL_FLOOR = 0.9
 
@@ -621,6 +624,24 @@ def rag_threshold_cells(spark: SparkSession, folder: str, root: str) -> DataFram
     )
 
 
+@_query
+@_in_folder("cell_changes_exact")
+def cell_changes_exact(spark: SparkSession, folder: str, root: str) -> DataFrame:
+    """Exact hits over cells that are fitted once, on three quarters of the points and with every
+    fifth vector the wrong way round; then the others arrive and those are put right, cells are
+    split and merged, every seventh point is deleted, and cells are seen to again."""
+    points = tables.vector_points(spark, folder)
+    number = F.col("chunk_id")
+    reversed_vector = F.when(number % 5 == 0, F.reverse("vector")).otherwise(F.col("vector"))
+    live = LiveCells(spark, root, max_points=CELL_POINTS, min_points=CELL_POINTS // 16)
+    live.create(points.where(number % 4 != 3).withColumn("vector", reversed_vector), N_CELLS // 4)
+    live.apply(1, points.where((number % 4 == 3) | (number % 5 == 0)))
+    live.maintain(2)
+    live.apply(3, gone=points.where(number % 7 == 0).select("chunk_id"))
+    live.maintain(4)
+    return live.search(tables.vector_queries(spark, folder), n_probe=4, exact=True)
+
+
 # Typed payloads and filters of ``search_typed``, by the last digit of an id.
 TYPED_PAYLOADS = (
     '{"page": 1}', '{"page": "1"}', '{"page": true}', '{"page": null}', '{"page": 1.0}',
@@ -849,6 +870,41 @@ def index_audit(spark: SparkSession, folder: str) -> DataFrame:
     return index.audit(tables.vector_points(spark, folder), VECTOR_WIDTH)
 
 
+@_query
+@_in_folder("index_audit_sketches")
+def index_audit_sketches(spark: SparkSession, folder: str, root: str) -> DataFrame:
+    """``index_audit`` over five batches, of which each shares points with the next, from their
+    sketches and from all rows; and whether the estimates keep to their error."""
+    points = tables.vector_points(spark, folder)
+    digit = F.col("chunk_id") % 10
+    store = BatchSketches(spark, f"{root}/sketches", VECTOR_WIDTH)
+    batches = [points.where(digit.isin(2 * i, 2 * i + 1, (2 * i + 2) % 10)) for i in range(5)]
+    for number, batch in enumerate(batches):
+        store.write(number, batch)
+    rows = batches[0]
+    for batch in batches[1:]:
+        rows = rows.unionByName(batch)
+    exact = index.audit(rows, VECTOR_WIDTH)
+    # One row on each side.
+    told = store.audit().select(
+        *(F.col(c).alias(f"sketched_{c}") for c in exact.columns if c != "n_ids"),
+        F.col("n_ids").alias("estimate"),
+        F.get("lengths", F.lit(1)).alias("middle"),
+    )
+    lengths = rows.where("chunk_text is not null").crossJoin(F.broadcast(told)).agg(
+        (F.count_if(F.length("chunk_text") < F.col("middle")) / F.count(F.lit(1))).alias("below"),
+        (F.count_if(F.length("chunk_text") <= F.col("middle")) / F.count(F.lit(1))).alias("up_to"),
+    )
+    return exact.crossJoin(F.broadcast(told)).crossJoin(F.broadcast(lengths)).select(
+        *exact.columns,
+        *(f"sketched_{c}" for c in exact.columns if c != "n_ids"),
+        (F.abs(F.col("estimate") - F.col("n_ids")) <= F.col("n_ids") * ID_ERROR).alias("ids_within"),
+        F.lit(0.5).between(F.col("below") - RANK_ERROR, F.col("up_to") + RANK_ERROR).alias(
+            "lengths_within"
+        ),
+    )
+
+
 @_query
 @_in_folder("index_lifecycle")
 def index_lifecycle(spark: SparkSession, folder: str, root: str) -> DataFrame:

@@ -395,6 +395,9 @@ ORACLES: dict[str, str] = {
     "search_filtered": SEARCH_FILTERED,
     "search_filtered_blocks": SEARCH_FILTERED,
     "cell_search_filtered": SEARCH_FILTERED,
+    "cell_changes_exact": f"""
+        select query_id, rank, chunk_id, score
+        from {_top_k(_vector_pairs('c.vec_id % 7 <> 0'), '5')}""",
     "search_many_filters": f"""
         select query_id, rank, chunk_id, score
         from {_top_k(_vector_pairs('c.vec_id % 250 = q.vec_id % 250'), '5')}""",
@@ -547,6 +550,21 @@ ORACLES: dict[str, str] = {
                  embedding::double[], embedding::double[])) - 1) > 0.001) as n_not_unit,
                count(*) filter (where label % 2 <> 0) as n_without_text
         from embeddings""",
+    "index_audit_sketches": f"""
+        with a as (
+          select e.* from embeddings e, (values (0), (1)) as t(again)
+          where again = 0 or vec_id % 2 = 0),
+        f as (
+          select count(*) as n_points, count(distinct vec_id) as n_ids,
+                 count(*) filter (where len(embedding) <> {VECTOR_WIDTH}) as n_wrong_width,
+                 count(*) filter (where abs(sqrt(list_dot_product(
+                   embedding::double[], embedding::double[])) - 1) > 0.001) as n_not_unit,
+                 count(*) filter (where label % 2 <> 0) as n_without_text
+          from a)
+        select *, n_points as sketched_n_points, n_wrong_width as sketched_n_wrong_width,
+               n_not_unit as sketched_n_not_unit, n_without_text as sketched_n_without_text,
+               true as ids_within, true as lengths_within
+        from f""",
     "index_lifecycle": _LIFECYCLE,
     "index_lifecycle_bucketed": _LIFECYCLE,
     "stream_files": f"""
