@@ -165,10 +165,34 @@ _NOTICES = (
     ("MIT", "licensed under the mit license"),
     ("MPL-2.0", "licensed under the mozilla public license version 2 0"),
 )
+_TEXT_DIGESTS = (
+    ("Apache-2.0", "ebc600199db9838b4fc2d5288a12598c2702142177a89b3443f5cc87b137d94b"),
+    ("BSD-2-Clause", "c5cb44b340dfa97436d18371e401686dddf3451388afa1a24c0e410cd7a38b24"),
+    ("BSD-2-Clause", "986c3c3199a93b916c8f2e0aeed57819bcbdcb2cd9d99902dcc9d74b53f93a74"),
+    ("BSD-3-Clause", "9b83d3dee0616d07b82a272dd9bf5134a9f402b750f5ee6188458073b0a32ff2"),
+    ("BSD-3-Clause", "cc65957a28f15bbcef5b0c23770aae3bd8462cb25904250f77a812ab3b2efe15"),
+    ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.3-only", "80229e90e6f40a551a447f33ef48bd361a8e3166d53f29a2d1537245e2064feb"),
+    ("GPL-1.0-only", "9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c"),
+    ("GPL-2.0-only", "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1"),
+    ("GPL-3.0-only", "5272fb2d9117cba4ebb1b4a6612e61ab05ddddeff56bd30c3ac3798e23821b30"),
+    ("ISC", "6e9dc1cd727a12354f4cef293d9d285ed81ed312d597842774d1120ac62a6dc6"),
+    ("LGPL-2.0-only", "b4114daa3dfa52e27e78b2c4e17acd58bf4381e812762f4ded0bcb8eabd1092c"),
+    ("LGPL-2.1-only", "294fb9ec58649c7eb0cf90fc2900ac1b28b82fb6da9d40d7599d6b7d399d4d2e"),
+    ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MIT", "0cf21bdfd1964a97a8615e128534845826afbc887edc95aa5c925cbf64386b5c"),
+    ("MIT", "35a446201226de6b27cfb7106d0f6c697f63bfeac2913dcf89024911e66ef164"),
+    ("MIT", "6ad3654379e72bbdf8478d5c90fb1e2525aba033fbe675e0ef2248aac67c0f6f"),
+    ("MIT", "6c833965e9ca4cf8095655005226f24fe8bf7b1605dbe513204837a7371fa127"),
+    ("MPL-1.1", "1cfb6cca26abe2169c9c61164807107b2d4a0b64955a2cf2de46fad3483acda1"),
+    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+)
 _SPELLINGS = (
     ("licence", "license"),
     ("licenced", "licensed"),
     ("licences", "licenses"),
+    ("sublicence", "sublicense"),
     ("sub  license", "sublicense"),
     ("organisation", "organization"),
     ("favour", "favor"),
@@ -189,7 +213,10 @@ def _licenses() -> str:
     )
     for spelling, meant in _SPELLINGS:
         form = f"replace({form}, ' {spelling} ', ' {meant} ')"
-    known = ", ".join(f"('{name}', '{text}')" for name, text in _NOTICES)
+    known = ", ".join(
+        [f"('{name}', sha256('{text}'))" for name, text in _NOTICES]
+        + [f"('{name}', '{digest}')" for name, digest in _TEXT_DIGESTS]
+    )
     return rf"""
 with docs as (select doc_id, replace(coalesce(text, ''), chr(13), '') as text from documents),
 units as (
@@ -203,9 +230,9 @@ units as (
   ) where regexp_matches(p, '\S[^\n]*\n\s*\S')
 ),
 forms as (select doc_id, whole, trim(replace({form}, '  ', ' ')) as form from units),
-known(license_id, form) as (values {known})
+known(license_id, digest) as (values {known})
 select doc_id, license_id, bool_or(whole) as whole, count(*) as units
-from forms join known using (form) group by doc_id, license_id
+from forms join known on sha256(form) = digest group by doc_id, license_id
 """
 
 

@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -250,3 +251,52 @@ def test_licences(spark):
     assert {r.license_id for r in hits.collect()} == {"A", "B"}
     assert licenses.scan(docs.limit(0)).count() == 0
     assert licenses.scan(docs, known.limit(0)).count() == 0
+
+
+#: Fixed value: a whole licence text as it is published.
+MIT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+SHARED = Path("/usr/share/common-licenses")
+WHOLE = {
+    "Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0",
+    "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only",
+    "MPL-2.0": "MPL-2.0",
+}
+
+
+def test_whole_licence_texts(spark):
+    body = MIT.split("\n\n", 2)[2]
+    altered = MIT.upper().replace("LICENSE", "LICENCE").replace("2020 SOMEBODY", "1999-2003 A, B")
+    rows = [
+        (0, MIT), (1, altered), (2, body), (3, "The MIT License (MIT)\n\n" + body),
+        (4, MIT.replace("without restriction", "with restrictions")), (5, MIT + "\nand more"),
+        (6, MIT.replace("\n", "\r\n").replace("sublicense", "sub license")),
+    ]
+    expected = {(i, "MIT", True) for i in (0, 1, 2, 3, 6)}
+    for number, (file, name) in enumerate(WHOLE.items(), 100):
+        if (SHARED / file).exists():
+            text = (SHARED / file).read_text(encoding="utf-8")
+            rows += [(number, text), (-number, "© 2031 Nobody\n" + text.lower() + "\n\n* * *\n")]
+            expected |= {(number, name, True), (-number, name, True)}
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id int, text string"))
+    assert {(r.doc_id, r.license_id, r.whole) for r in found.collect()} == expected
