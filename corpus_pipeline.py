@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwell.llm import decontamination, packing, simhash, substrings, toxicity
+from groundwell.llm import decontamination, packing, similar, substrings, toxicity
 from groundwell.plans.tables import table
 from groundwell.settings import shared_folder
 
@@ -18,8 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group that shares 0.8 or more of its five-word shingles in steps."""
+    return similar.drop_similar(docs)
 
 
 def remove_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
