@@ -18,6 +18,9 @@ SCORE_DECIMALS = 9
 # Bounds the score matrix of one step to about 32 MB.
 _STEP_CELLS = 4_000_000
 
+# Rows that the first best of a query are taken from; the others have to reach the last of these.
+_FIRST_ROWS = 1024
+
 
 def as_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Rows of an ``ARRAY<FLOAT>`` column as a matrix of unit rows (zero rows stay zero)."""
@@ -51,7 +54,7 @@ def keep_best(
     query: np.ndarray, ids: np.ndarray, score: np.ndarray, top_k: np.ndarray
 ) -> np.ndarray:
     """Positions of the ``top_k[query]`` best rows of each query, by score and then id."""
-    _, id_rank = np.unique(ids, return_inverse=True)
+    id_rank = ids if ids.dtype != object else np.unique(ids, return_inverse=True)[1]
     order = np.lexsort((id_rank, -score, query))
     ranked = query[order]
     return order[place_in_group(ranked) < top_k[ranked]]
@@ -86,36 +89,115 @@ def block_candidates(
         yield query[best] + start, row[best], value[best]
 
 
+def _few_true(mask: np.ndarray) -> np.ndarray:
+    """Flat positions of the true values of a mask that holds few; eight are looked at at once."""
+    flat = mask.ravel()
+    whole = len(flat) // 8 * 8
+    some = np.flatnonzero(flat[:whole].view(np.uint64))[:, None] * 8 + np.arange(8)
+    some = np.r_[some.ravel(), np.arange(whole, len(flat))]
+    return some[flat[some]]
+
+
 class Shortlist:
-    """Running top-k of a fixed set of queries over any number of blocks."""
+    """Running top-k of a fixed set of queries over any number of blocks.
 
-    def __init__(self, top_k: np.ndarray) -> None:
-        self._top_k = top_k
-        self._limit = max(200_000, 4 * int(top_k.sum()))
-        self._size = 0
-        self._parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    Once a query has ``top_k`` rows, the last of them is its floor: what follows is scored in
+    single precision, and only rows that can reach the floor are scored again, exactly. ``floor``
+    are scores known beforehand that rows must reach. Memory is that of the ``top_k`` places.
+    """
+
+    def __init__(self, top_k: np.ndarray, floor: np.ndarray | None = None) -> None:
+        self._top_k = np.asarray(top_k)
+        self._first = np.cumsum(np.r_[0, self._top_k])[:-1]
+        self._held = np.zeros(len(self._top_k), dtype=np.int64)
+        self._least = np.full(len(self._top_k), -np.inf)
+        if floor is not None:
+            self._least = np.where(np.isnan(floor), -np.inf, floor)
+        self._score = np.full(int(self._top_k.sum()), -np.inf)
+        self._ids: np.ndarray | None = None
 
     def add(
         self, queries: np.ndarray, positions: np.ndarray, ids: np.ndarray, vectors: np.ndarray
     ) -> None:
         """Score one block for the queries whose numbers are ``positions``."""
+        if not len(positions) or not len(ids):
+            return
         order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], vectors[order]
-        for query, row, score in block_candidates(queries, self._top_k[positions], vectors):
-            self._parts.append((positions[query], ids[row], score))
-            self._size += len(query)
-        if self._size > self._limit:
-            self._fold()
-
-    def _fold(self) -> None:
-        query, ids, score = (np.concatenate(column) for column in zip(*self._parts))
+        start, size = 0, max(_FIRST_ROWS, int(self._top_k[positions].max()))
+        while start < len(ids):
+            opened = np.isneginf(self._least[positions])
+            if not opened.any():
+                size = len(ids)
+            piece = slice(start, start + size)
+            self._all(queries, positions, np.flatnonzero(opened), ids[piece], vectors[piece])
+            self._reaching(queries, positions, np.flatnonzero(~opened), ids[piece], vectors[piece])
+            start, size = start + size, 4 * size
+
+    def _all(
+        self, queries: np.ndarray, positions: np.ndarray, members: np.ndarray, ids: np.ndarray,
+        vectors: np.ndarray,
+    ) -> None:
+        if not len(members):
+            return
+        at = positions[members]
+        for query, row, score in block_candidates(queries[members], self._top_k[at], vectors):
+            self._merge(at[query], ids[row], score)
+
+    def _reaching(
+        self, queries: np.ndarray, positions: np.ndarray, members: np.ndarray, ids: np.ndarray,
+        vectors: np.ndarray,
+    ) -> None:
+        n, width = vectors.shape
+        # A bound of the rounding of a product of two unit rows in single precision, and of scores.
+        slack = (width + 8) * 2.0**-23 + 10.0**-SCORE_DECIMALS
+        single = vectors.astype(np.float32)
+        step = max(1, _STEP_CELLS // max(1, n))
+        for start in range(0, len(members), step):
+            some = members[start:start + step]
+            floor = self._least[positions[some]]
+            near = queries[some].astype(np.float32) @ single.T
+            reach = near >= np.nextafter((floor - slack).astype(np.float32), -np.inf)[:, None]
+            query, row = np.divmod(_few_true(reach), n)
+            # Of a query that many rows reach, as copies of one vector do, all are ranked at once.
+            many = np.bincount(query, minlength=len(some)) > 64 + 16 * self._top_k[positions[some]]
+            if many.any():
+                self._all(queries, positions, some[many], ids, vectors)
+                query, row = query[~many[query]], row[~many[query]]
+            pairs = max(1, _STEP_CELLS // (2 * max(1, width)))
+            for begin in range(0, len(query), pairs):
+                q, r = query[begin:begin + pairs], row[begin:begin + pairs]
+                score = np.einsum("ij,ij->i", queries[some[q]], vectors[r])
+                score = np.round(score, SCORE_DECIMALS) + 0.0
+                good = score >= floor[q]
+                self._merge(positions[some[q[good]]], ids[r[good]], score[good])
+
+    def _merge(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        """Take candidates into the places of their queries."""
+        if not len(query):
+            return
+        if self._ids is None:
+            self._ids = np.zeros(len(self._score), dtype=ids.dtype)
+        elif self._ids.dtype != ids.dtype:
+            self._ids = self._ids.astype(np.promote_types(self._ids.dtype, ids.dtype))
+        touched = np.unique(query)
+        mine = np.repeat(touched, self._held[touched])
+        slot = self._first[mine] + place_in_group(mine)
+        query = np.r_[mine, query]
+        ids, score = np.r_[self._ids[slot], ids], np.r_[self._score[slot], score]
         best = keep_best(query, ids, score, self._top_k)
-        self._parts = [(query[best], ids[best], score[best])]
-        self._size = len(best)
+        query = query[best]
+        slot = self._first[query] + place_in_group(query)
+        self._ids[slot], self._score[slot] = ids[best], score[best]
+        self._held[touched] = np.bincount(query, minlength=len(self._held))[touched]
+        full = touched[self._held[touched] == self._top_k[touched]]
+        last = self._score[self._first[full] + self._top_k[full] - 1]
+        self._least[full] = np.maximum(self._least[full], last)
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        if not self._parts:
+        if self._ids is None:
             return None
-        self._fold()
-        query, ids, score = self._parts[0]
-        return query, ids, np.where(np.isneginf(score), np.nan, score)
+        query = np.repeat(np.arange(len(self._held)), self._held)
+        slot = self._first[query] + place_in_group(query)
+        score = self._score[slot]
+        return query, self._ids[slot], np.where(np.isneginf(score), np.nan, score)
