@@ -6,7 +6,8 @@ Two shapes of the same search:
   task scores its partition against all queries and gives up at most ``top_k`` rows per query.
 * **Any number of queries**: both sides are cut in bounded blocks and each pair of blocks
   meets in one task. A filter value or cell that holds a large share of the rows is cut in
-  many blocks; the number of blocks comes from counts taken before the shuffle.
+  many blocks; the number of blocks comes from counts taken before the shuffle. Small blocks
+  are taken together, so that either side is copied as often as memory asks and not more.
 
 A per-query filter is an equi key and not a mask: stored rows are joined with the distinct
 filters by one entry of each, so that a row meets only queries whose filter it satisfies, and
@@ -18,6 +19,7 @@ than the query's, or without a vector, are no candidates (see :func:`odd_vectors
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -53,10 +55,17 @@ Decode = Callable[[pa.Array], np.ndarray]
 SMALL_QUERY_ROWS = 16_384
 SMALL_QUERY_BYTES = 64 * 1024 * 1024
 
-# Stored rows and bytes per block of the blocked search; blocks of queries are a quarter of
-# it. Larger blocks mean fewer copies of either side, and one pair of blocks must fit in a task.
+# Stored rows and bytes per block of the blocked search; blocks of queries are a sixteenth (a
+# quarter of the bytes). Larger blocks mean fewer copies of either side, and one pair of blocks
+# must fit in a task.
 BLOCK_ROWS = 131_072
 BLOCK_BYTES = 128 * 1024 * 1024
+REQUEST_SHARE = 16
+
+# Every block of one side meets every block of the other, so each row is copied as often as the
+# other side has blocks. A part of more blocks than this has them taken together, in as many
+# groups as this or as the bounds above ask for.
+BLOCK_GROUPS = 8
 
 # Rows of a block that are turned into a matrix at a time.
 _SLICE_ROWS = 16_384
@@ -453,29 +462,44 @@ def score_in_place(
     return stored.mapInArrow(score, schema)
 
 
+@dataclass(frozen=True)
+class Visits:
+    """Which stored rows of its part a request meets, where that is not all of them.
+
+    ``choose`` gets the unit vectors of the requests, their table and the distinct values that
+    the stored column ``key`` has in a group, and gives a mask of requests by values.
+    """
+
+    key: str
+    choose: Callable[[np.ndarray, pa.Table, np.ndarray], np.ndarray]
+
+
 def score_in_blocks(
     stored: DataFrame,
     requests: DataFrame,
     block_rows: int = BLOCK_ROWS,
     stored_cuts: DataFrame | None = None,
     decode: Decode = as_matrix,
+    visits: Visits | None = None,
 ) -> DataFrame:
     """Top-k candidates of ``requests`` in ``stored`` rows of the same ``part``.
 
-    Parts above ``block_rows`` rows or ``BLOCK_BYTES`` (a quarter for requests) are cut in
-    blocks, by a hash of id and vector, so that rows of one id part as well. Each
-    pair of blocks of a part is one group of about that size and yields at most ``top_k`` rows
+    Parts above ``block_rows`` rows or ``BLOCK_BYTES`` (less for requests) are cut in
+    blocks, by a hash of id and vector, so that rows of one id part as well; of many blocks
+    some are taken together (``BLOCK_GROUPS``). Each
+    pair of blocks of a part is one group of bounded size and yields at most ``top_k`` rows
     per query. ``stored_cuts`` are the ``part, stored_blocks`` of the large
     parts of ``stored`` where they are known already. ``decode`` is that of
-    :func:`score_in_place`.
+    :func:`score_in_place`. Requests may carry ``floor``, a score that their hits must reach.
     """
     schema = _candidate_schema(
         requests.schema["query_id"].dataType, stored.schema["point_id"].dataType
     )
     if stored_cuts is None:
-        stored_cuts = large_parts(stored, "stored_blocks", block_rows)
-    request_cuts = large_parts(
-        requests, "request_blocks", max(1, block_rows // 4), BLOCK_BYTES // 4
+        stored_cuts = grouped_blocks(stored, "stored_blocks", block_rows)
+    request_cuts = grouped_blocks(
+        requests, "request_blocks", max(1, block_rows // REQUEST_SHARE),
+        BLOCK_ROWS // REQUEST_SHARE, BLOCK_BYTES // 4,
     )
 
     def cut(side: DataFrame, own: str, other: str, row_id: str) -> DataFrame:
@@ -502,19 +526,41 @@ def score_in_blocks(
             points.schema.field("point_id").type,
             pa.float64(),
         ]
+        empty = pa.schema(list(zip(names, types))).empty_table()
         if points.num_rows == 0 or queries.num_rows == 0:
-            return pa.schema(list(zip(names, types))).empty_table()
+            return empty
         top_k = queries.column("top_k").to_numpy()
-        best = Shortlist(top_k)
-        vectors, members = as_matrix(queries.column("vector")), np.arange(len(top_k))
-        for batch in points.to_batches(max_chunksize=_SLICE_ROWS):
-            best.add(
-                vectors,
-                members,
-                as_values(batch.column("point_id")),
-                decode(batch.column("vector")),
-            )
-        query, ids, value = best.rows()
+        floor = None
+        if "floor" in queries.column_names:
+            floor = queries.column("floor").to_numpy().astype(np.float64)
+        best = Shortlist(top_k, floor)
+        vectors = as_matrix(queries.column("vector"))
+
+        def add(rows: pa.Table, members: np.ndarray) -> None:
+            for batch in rows.to_batches(max_chunksize=_SLICE_ROWS):
+                best.add(
+                    vectors if len(members) == len(vectors) else vectors[members],
+                    members,
+                    as_values(batch.column("point_id")),
+                    decode(batch.column("vector")),
+                )
+
+        if visits is None:
+            add(points, np.arange(len(top_k)))
+        else:
+            at = points.column(visits.key).to_numpy()
+            order = np.argsort(at, kind="stable")
+            values, first = np.unique(at[order], return_index=True)
+            chosen = visits.choose(vectors, queries, values)
+            points = points.drop_columns([visits.key]).combine_chunks()
+            for i, rows in enumerate(np.split(order, first[1:])):
+                members = np.flatnonzero(chosen[:, i])
+                if len(members):
+                    add(points.take(pa.array(rows)), members)
+        found = best.rows()
+        if found is None:
+            return empty
+        query, ids, value = found
         return pa.Table.from_arrays(
             [
                 queries.column("query_id").combine_chunks().take(pa.array(query)),
@@ -528,17 +574,34 @@ def score_in_blocks(
     return left.cogroup(right).applyInArrow(score, schema)
 
 
+def grouped_blocks(
+    side: DataFrame, name: str, block_rows: int, most_rows: int = BLOCK_ROWS,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """As :func:`large_parts`, of blocks that are taken together where there are more than
+    ``BLOCK_GROUPS``: in groups of at most ``most_rows`` and ``block_bytes``, or ``block_rows``
+    if that is more."""
+    return large_parts(side, name, block_rows, block_bytes, max(most_rows, block_rows))
+
+
 def large_parts(
-    side: DataFrame, name: str, block_rows: int, block_bytes: int = BLOCK_BYTES
+    side: DataFrame, name: str, block_rows: int, block_bytes: int = BLOCK_BYTES,
+    most_rows: int | None = None,
 ) -> DataFrame:
     """Parts above ``block_rows`` rows or ``block_bytes`` of vectors, and their number of blocks.
 
+    With ``most_rows``, more than ``BLOCK_GROUPS`` blocks of ``block_rows`` are taken together in
+    that many, or in as many as ``most_rows`` and ``block_bytes`` ask for.
+
     A task turns vectors to double, so a component counts 8 bytes. The counts are folded
     before the shuffle and read when the plan is built, so that a list of known length is
     broadcast and the vectors are not shuffled to learn their block; a longer list joins as
     the planner sees fit.
     """
     rows = F.ceil(F.count(F.lit(1)) / block_rows)
+    if most_rows is not None:
+        needed = F.ceil(F.count(F.lit(1)) / most_rows)
+        rows = F.greatest(F.least(rows, F.lit(BLOCK_GROUPS)), needed)
     size = F.ceil(F.sum(F.size("vector").cast("long") * 8) / block_bytes)
     large = (
         side.groupBy("part")
