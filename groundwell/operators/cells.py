@@ -6,8 +6,10 @@ centers are nearest to it. On the unit sphere a cell with center ``c`` and angul
 search therefore visits, in a second pass, only cells whose bound reaches the query's k-th
 best score of the first pass.
 
-Cells are equi keys. A cell with a large share of the rows is cut in blocks like any other
-part of a search.
+Cells lie in groups of about a block of rows, and groups are equi keys: a query travels once to
+a group in which it visits any cell, and meets there only the cells it visits. So a query that has
+to see nearly all cells is not copied for each of them. A group that one cell makes large is cut in
+blocks like any other part of a search.
 """
 
 from __future__ import annotations
@@ -18,16 +20,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundwell.functions.vectors import l2_normalize
-from groundwell.operators.scoring import SCORE_DECIMALS
+from groundwell.operators.scoring import SCORE_DECIMALS, place_in_group
 from groundwell.operators.search import (
+    BLOCK_BYTES,
     BLOCK_ROWS,
-    large_parts,
+    Visits,
+    grouped_blocks,
     normal_requests,
     rank_hits,
     satisfying,
@@ -47,12 +52,14 @@ class Cells:
     """Unit-length centers, one row per cell.
 
     ``numbers`` names the cells where they are not numbered from 0; ``radii`` are the largest
-    angles of their points where they are known, so that a search need not look them up.
+    angles of their points and ``sizes`` their points where both are known, so that a search need
+    not look them up.
     """
 
     centers: np.ndarray
     numbers: np.ndarray | None = None
     radii: np.ndarray | None = None
+    sizes: np.ndarray | None = None
 
     @property
     def n_cells(self) -> int:
@@ -133,7 +140,6 @@ def search_cells(
     requests = normal_requests(queries, top_k, max_top_k, query_id, vector)
     # The centers say which width this search has.
     requests = requests.where(F.size("vector") == cells.centers.shape[1])
-    part = F.concat_ws("|", "cell", "part").alias("part")
     stored = satisfying(
         points.select(
             F.col(point_id).alias("point_id"),
@@ -142,35 +148,41 @@ def search_cells(
             *([F.col(metadata).alias("metadata")] if "filters" in requests.columns else []),
         ),
         requests,
-    ).select("point_id", "vector", "cell", part)
-
-    everywhere = exact or threshold is not None
-    bounds = _bounds_of(cells, points, cells.n_cells if everywhere else n_probe, everywhere)
-    requests = requests.drop("filters").withColumn("near", bounds(F.col("vector"))).select(
-        "query_id", "vector", "top_k", "part",
-        F.arrays_zip("near.cell", "near.bound").alias("visits"),
     )
-    cuts = large_parts(stored, "stored_blocks", block_rows)
-
-    def candidates(rows: DataFrame, visits: Column) -> DataFrame:
-        visiting = rows.withColumn("visit", F.explode(visits)).select(
-            "query_id", "vector", "top_k", "part", F.col("visit.cell").alias("cell")
+    radii, sizes = _figures_of(cells, points)
+    per_group = min(block_rows, BLOCK_BYTES // (8 * cells.centers.shape[1]))
+    visits = _Visiting(cells, radii, _in_groups(sizes, per_group), n_probe, threshold)
+    # One row per cell.
+    homes = F.broadcast(
+        points.sparkSession.createDataFrame(
+            list(zip(cells.cell_numbers.tolist(), visits.groups.tolist())), "cell int, home int"
         )
-        # At most one row per cell, so stored cells that nobody visits are not read.
-        visited = F.broadcast(visiting.select("cell").distinct())
+    )
+    part = F.concat_ws("|", "home", "part").alias("part")
+    requests = requests.drop("filters")
+    stored = stored.join(homes, "cell").select("point_id", "vector", "cell", "home", part)
+    cuts = grouped_blocks(stored.drop("home"), "stored_blocks", block_rows)
+
+    def candidates(rows: DataFrame, which: str) -> DataFrame:
+        homes_of = visits.homes_of(which)
+        visiting = rows.withColumn("home", F.explode(homes_of("vector", "floor")))
+        # At most one row per group, so stored groups that nobody visits are not read.
+        visited = F.broadcast(visiting.select("home").distinct())
         return score_in_blocks(
-            stored.join(visited, "cell", "left_semi").drop("cell"),
-            visiting.select("query_id", "vector", "top_k", part),
+            stored.join(visited, "home", "left_semi").drop("home"),
+            visiting.select("query_id", "vector", "top_k", "floor", part),
             block_rows,
             cuts,
+            visits=Visits("cell", visits.choose(which)),
         )
 
     if threshold is not None:
-        passed = candidates(requests, _passing("visits", threshold)).where(
+        over = requests.withColumn("floor", F.lit(float(threshold)))
+        passed = candidates(over, "over").where(
             ~F.isnan("score") & (F.col("score") >= threshold)
         )
         return rank_hits(passed, max_top_k, query_id=query_id, point_id=point_id)
-    near = candidates(requests, F.slice("visits", 1, n_probe))
+    near = candidates(requests.withColumn("floor", F.lit(float("nan"))), "near")
     if not exact:
         return rank_hits(near, max_top_k, query_id=query_id, point_id=point_id)
     # Used twice below; at most top_k rows per query. A checkpoint outlives lost executors.
@@ -180,29 +192,113 @@ def search_cells(
         "query_id", F.col("score").alias("floor")
     )
     # A query with fewer hits than it wants so far has no floor and visits every cell.
-    needed = F.filter(
-        F.slice("visits", n_probe + 1, cells.n_cells),
-        lambda v: F.coalesce(v["bound"] >= F.col("floor") - _SLACK, F.lit(True)),
+    floored = requests.join(floor, "query_id", "left").withColumn(
+        "floor", F.coalesce("floor", F.lit(float("nan")))
     )
-    far = candidates(requests.join(floor, "query_id", "left"), needed)
+    far = candidates(floored, "far")
     both = best.select(far.columns).unionByName(far)
     return rank_hits(both, max_top_k, query_id=query_id, point_id=point_id)
 
 
-def _bounds_of(cells: Cells, points: DataFrame, n_nearest: int, with_radii: bool):
-    radii = np.zeros(cells.n_cells)
-    if with_radii and cells.radii is not None:
-        radii = cells.radii
-    elif with_radii:
-        place = {number: i for i, number in enumerate(cells.cell_numbers.tolist())}
-        # At most one row per cell, whatever the number of points.
-        for row in points.groupBy("cell").agg(F.max("angle").alias("radius")).collect():
-            radii[place[row["cell"]]] = row["radius"]
-    return _cell_bounds(cells.centers, radii, n_nearest, cells.cell_numbers)
+def _figures_of(cells: Cells, points: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Radius and number of points of each cell."""
+    if cells.radii is not None and cells.sizes is not None:
+        return cells.radii, cells.sizes
+    radii, sizes = np.zeros(cells.n_cells), np.zeros(cells.n_cells, dtype=np.int64)
+    place = {number: i for i, number in enumerate(cells.cell_numbers.tolist())}
+    figures = points.groupBy("cell").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n"))
+    # At most one row per cell, whatever the number of points.
+    for row in figures.collect():
+        radii[place[row["cell"]]], sizes[place[row["cell"]]] = row["radius"], row["n"]
+    return radii if cells.radii is None else cells.radii, sizes
 
 
-def _passing(visits: str, threshold: float) -> Column:
-    return F.filter(visits, lambda v: v["bound"] >= threshold - _SLACK)
+def _in_groups(sizes: np.ndarray, per_group: int) -> np.ndarray:
+    """A group for each cell: neighbours by number, until their points are ``per_group``."""
+    groups, group, held = np.zeros(len(sizes), dtype=np.int32), 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if held and held + size > per_group:
+            group, held = group + 1, 0
+        groups[i], held = group, held + size
+    return groups
+
+
+@dataclass(frozen=True)
+class _Visiting:
+    """Which cells a query visits: the nearest (``near``), others that can reach its floor
+    (``far``), or all that can reach the threshold (``over``)."""
+
+    cells: Cells
+    radii: np.ndarray
+    groups: np.ndarray
+    n_probe: int
+    threshold: float | None
+
+    def _mask(self, unit: np.ndarray, floor: np.ndarray, which: str) -> np.ndarray:
+        """Queries by cells."""
+        angle = np.arccos(np.clip(unit @ self.cells.centers.T, -1.0, 1.0))
+        if which != "over":
+            near = _least_places(angle, self.n_probe)
+            if which == "near":
+                return near
+        bound = np.cos(np.maximum(0.0, angle - self.radii))
+        # A zero vector has score 0 everywhere, so no cell can be left out for it.
+        bound[~unit.any(axis=1)] = math.inf
+        # What is not a number, as the floor of a query that has none, leaves no cell out.
+        if which == "over":
+            return ~(bound < self.threshold - _SLACK)
+        return ~(bound < (floor - _SLACK)[:, None]) & ~near
+
+    def _in_steps(self, unit: np.ndarray, floor: np.ndarray, which: str) -> Iterator[np.ndarray]:
+        size = max(1, _STEP_PRODUCTS // max(1, self.cells.n_cells))
+        for start in range(0, len(unit), size):
+            yield self._mask(unit[start:start + size], floor[start:start + size], which)
+
+    def homes_of(self, which: str):
+        """The groups with a cell that a query visits, from its vector and floor."""
+        starts = np.flatnonzero(np.r_[True, self.groups[1:] != self.groups[:-1]])
+
+        @F.pandas_udf("array<int>")
+        def homes(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            for vectors, floor in batches:
+                found: list[np.ndarray] = []
+                floors = floor.to_numpy(dtype=np.float64)
+                for mask in self._in_steps(_unit_rows(vectors), floors, which):
+                    some = np.logical_or.reduceat(mask, starts, axis=1)
+                    found += [np.flatnonzero(row).astype(np.int32) for row in some]
+                yield pd.Series(found, dtype=object)
+
+        return homes
+
+    def choose(self, which: str):
+        """The mask of :class:`groundwell.operators.search.Visits`."""
+
+        def chosen(unit: np.ndarray, requests: pa.Table, values: np.ndarray) -> np.ndarray:
+            number = self.cells.cell_numbers
+            order = np.argsort(number)
+            place = order[np.searchsorted(number, values, sorter=order)]
+            floor = requests.column("floor").to_numpy()
+            return np.concatenate([m[:, place] for m in self._in_steps(unit, floor, which)])
+
+        return chosen
+
+
+def _least_places(angle: np.ndarray, n: int) -> np.ndarray:
+    """A mask of the ``n`` least of each row, the first ones of equals; not a number is last."""
+    angle = np.where(np.isnan(angle), np.inf, angle)
+    if n >= angle.shape[1]:
+        return np.ones(angle.shape, dtype=bool)
+    last = np.partition(angle, n - 1, axis=1)[:, n - 1, None]
+    inside = angle < last
+    open_places = n - inside.sum(axis=1)
+    row, place = np.nonzero(angle == last)
+    first = place_in_group(row) < open_places[row]
+    inside[row[first], place[first]] = True
+    return inside
+
+
+def _radii_of(cells: Cells, points: DataFrame) -> np.ndarray:
+    return cells.radii if cells.radii is not None else _figures_of(cells, points)[0]
 
 
 def cell_visits(
@@ -211,7 +307,8 @@ def cell_visits(
 ) -> DataFrame:
     """``query_id, n_cells``: the cells that could hold a score of ``threshold`` or more."""
     ship_package(points.sparkSession)
-    bounds = _bounds_of(cells, points, cells.n_cells, True)
+    radii = _radii_of(cells, points)
+    bounds = _cell_bounds(cells.centers, radii, cells.n_cells, cells.cell_numbers)
     fitting = queries.where(F.size(vector) == cells.centers.shape[1])
     return fitting.withColumn("near", bounds(F.col(vector))).select(
         query_id,

@@ -130,12 +130,13 @@ class LiveCells:
         return self.spark.read.parquet(f"{self.root}/cells/version={self.last_batch()}")
 
     def cells(self) -> Cells:
-        """Centers and radii; a row per cell comes to the driver, whatever the number of points."""
+        """Centers, radii and sizes; a row per cell comes to the driver, whatever the number of points."""
         rows = self.table().orderBy("cell").collect()
         return Cells(
             np.array([r["center"] for r in rows]),
             np.array([r["cell"] for r in rows]),
             np.array([r["radius"] for r in rows]),
+            np.array([r["n_points"] for r in rows]),
         )
 
     def search(self, queries: DataFrame, top_k: int | None = 5, **options) -> DataFrame:

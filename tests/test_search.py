@@ -5,9 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundwell.functions.vectors import hash_embedder
+from groundwell.operators import cells as cells_module
 from groundwell.operators import index
+from groundwell.operators import search as search_module
 from groundwell.operators.cells import Cells, recall, search_cells
 from groundwell.operators.requests import split_requests
+from groundwell.operators.scoring import Shortlist
 from groundwell.operators.search import (
     large_parts,
     odd_vectors,
@@ -17,6 +20,7 @@ from groundwell.operators.search import (
     with_payload,
 )
 from groundwell.plans.retrieval import search_hits, search_responses, search_text
+from groundwell.session import ship_package
 
 POINTS = "chunk_id STRING, vector ARRAY<FLOAT>, metadata MAP<STRING,STRING>"
 QUERIES = "query_id INT, vector ARRAY<FLOAT>, top_k INT, filters MAP<STRING,STRING>"
@@ -374,3 +378,72 @@ def test_exact_cell_search_skips_cells_of_separate_clusters(spark):
     )
     assert found(hits) == brute(points, asked)
     assert radius < 1.6
+
+
+def test_small_blocks_are_taken_together(spark):
+    """Neither side is copied once for every block of the other, however small blocks are."""
+    ship_package(spark)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.standard_normal(4)]) for i in range(300)]
+    points = spark.createDataFrame(rows, "point_id long, vector array<float>").withColumn(
+        "part", F.lit("4:")
+    )
+    requests = spark.createDataFrame(
+        [(i, v, 1, "4:") for i, v in rows[:20]],
+        "query_id long, vector array<float>, top_k int, part string",
+    )
+    found = search_module.score_in_blocks(points, requests, 1)
+    assert found.count() <= 20 * search_module.BLOCK_GROUPS
+    best = found.groupBy("query_id").agg(F.max_by("point_id", "score").alias("p")).collect()
+    assert len(best) == 20 and all(r.query_id == r.p for r in best)
+
+
+def test_a_query_travels_once_to_a_group_of_cells(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.standard_normal(16)]) for i in range(200)]
+    points = spark.createDataFrame(rows, "chunk_id long, vector array<float>")
+    queries = points.select(F.col("chunk_id").alias("query_id"), "vector")
+    cells = cells_module.Cells(rng.standard_normal((40, 16)))
+    placed = cells.assign(points)
+    sent = []
+    score = cells_module.score_in_blocks
+
+    def counted(stored, requests, *args, **options):
+        sent.append(requests.count())
+        return score(stored, requests, *args, **options)
+
+    monkeypatch.setattr(cells_module, "score_in_blocks", counted)
+    found = cells_module.search_cells(cells, placed, queries, 3, n_probe=2, exact=True)
+    assert found.count() == 600
+    assert max(sent) <= 200  # and not once for each of 40 cells
+
+
+@pytest.mark.parametrize("k", [1, 5, 40])
+def test_shortlist_equals_a_full_ranking(k):
+    rng = np.random.default_rng(k)
+    vectors, queries = rng.standard_normal((6000, 8)), rng.standard_normal((30, 8))
+    vectors[::3] = vectors[1]
+    vectors[7] = 0
+    queries[0], queries[1] = vectors[1], 0
+    vectors, queries = (
+        m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30) for m in (vectors, queries)
+    )
+    vectors[11] = np.nan
+    top_k = np.full(30, k)
+    ids = rng.permutation(6000)
+    best = Shortlist(top_k)
+    for start in range(0, 6000, 2500):
+        piece = slice(start, start + 2500)
+        best.add(queries, np.arange(30), ids[piece], vectors[piece])
+    query, found, score = best.rows()
+    full = np.round(queries @ vectors.T, 9) + 0.0
+    full = np.where(np.isnan(full), -np.inf, full)
+    for q in range(30):
+        order = np.lexsort((ids, -full[q]))[:k]
+        assert found[query == q].tolist() == ids[order].tolist()
+        assert np.allclose(score[query == q], full[q][order], atol=1e-9)
+    floored = Shortlist(top_k, np.full(30, 0.9))
+    floored.add(queries, np.arange(30), ids, vectors)
+    rows = floored.rows()
+    assert (rows[2] >= 0.9).all()
+    assert len(rows[0]) == sum(min(k, int((full[q] >= 0.9).sum())) for q in range(30))
