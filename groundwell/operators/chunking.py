@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from groundwell.functions.binding import let
 from groundwell.functions.payload import coerce_metadata
@@ -17,8 +21,13 @@ from groundwell.functions.text import (
     tokens,
 )
 from groundwell.operators.running import running_sum
+from groundwell.session import ship_package
 from groundwell.settings import Settings
 
+#: Neighbouring windows that token rows are grouped for; only the first and last of them hold
+#: tokens that travel to a second group.
+WINDOWS_TOGETHER = 8
+
 
 def chunk_documents(
     documents: DataFrame,
@@ -52,14 +61,45 @@ def chunk_tallies(
     )
 
 
-def _windows_of(position: Column, n_tokens: Column, chunk_size: int, chunk_overlap: int) -> Column:
-    """Indexes of all windows that hold the token at ``position``."""
+def _windows_of(
+    position: Column, n_tokens: Column, chunk_size: int, chunk_overlap: int
+) -> list[Column]:
+    """First and last index of the windows that hold the token at ``position``."""
     step = check_window(chunk_size, chunk_overlap)
     first = F.greatest(F.lit(0), F.ceil((position - chunk_size + 1) / step)).cast("int")
     last = F.least(
         F.floor(position / step).cast("int"), chunk_count(n_tokens, chunk_size, chunk_overlap) - 1
     )
-    return F.sequence(first, last)
+    return [F.least(first, last).alias("first"), F.greatest(first, last).alias("last")]
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Token rows that follow each other in one document and the same windows, as one row.
+
+    A token that is null or holds the separator, or that has no position, stays alone.
+    """
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        position, token = batch.column("position"), batch.column("token")
+        place = position.fill_null(0).to_numpy()
+        alone = pc.or_(pc.match_substring(token, " ").fill_null(True), position.is_null())
+        alone = alone.to_numpy(zero_copy_only=False)
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = alone[1:] | alone[:-1] | (place[1:] != place[:-1] + 1)
+        document = batch.column("document_id").dictionary_encode(null_encoding="encode")
+        for value in (document.indices, batch.column("first"), batch.column("last")):
+            value = value.to_numpy()
+            new[1:] |= value[1:] != value[:-1]
+        at = np.flatnonzero(new)
+        cuts = np.append(at, batch.num_rows)
+        lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), token.fill_null(""))
+        text = pc.if_else(token.take(at).is_valid(), pc.binary_join(lists, " "), None)
+        kept = [batch.column(c).take(at) for c in ("document_id", "first", "last", "position")]
+        yield pa.RecordBatch.from_arrays(
+            [*kept, pa.array(np.diff(cuts), pa.int32()), text],
+            ["document_id", "first", "last", "start", "n", "text"],
+        )
 
 
 def chunk_token_rows(
@@ -69,23 +109,75 @@ def chunk_token_rows(
 ) -> DataFrame:
     """Chunks from ``document_id, position, n_tokens, token``, one row per token.
 
-    Groups are single chunks, so no group grows with its document.
+    Groups are a few neighbouring chunks, so no group grows with its document. Tokens that
+    already lie together travel as one text: a group takes its runs, wherever they come from.
+    Only where runs of a chunk overlap (a document id occurs twice) are they taken apart again.
     """
-    return (
-        token_rows.select(
+    ship_package(token_rows.sparkSession)
+    rows = token_rows.select(
+        "document_id",
+        *_windows_of(F.col("position"), F.col("n_tokens"), chunk_size, chunk_overlap),
+        "position",
+        "token",
+    )
+    schema = T.StructType(
+        [
+            rows.schema["document_id"],
+            *(T.StructField(c, T.IntegerType()) for c in ("first", "last")),
+            T.StructField("start", rows.schema["position"].dataType),
+            T.StructField("n", T.IntegerType()),
+            T.StructField("text", T.StringType()),
+        ]
+    )
+
+    def words(run: Column) -> Column:
+        single = F.array(F.struct(run["start"].alias("position"), run["text"].alias("token")))
+        several = F.transform(
+            F.split(run["text"], " "),
+            lambda word, i: F.struct((run["start"] + i).alias("position"), word.alias("token")),
+        )
+        return F.when(run["n"] == 1, single).otherwise(several)
+
+    def block(window: str) -> Column:
+        return F.floor(F.col(window) / WINDOWS_TOGETHER).cast("int")
+
+    def chunk(index: Column) -> Column:
+        own = F.filter("runs", lambda run: (run["first"] <= index) & (run["last"] >= index))
+        return F.struct(index.alias("chunk_index"), own.alias("own"))
+
+    grouped = (
+        rows.mapInArrow(_runs, schema)
+        .select(
             "document_id",
-            F.explode(
-                _windows_of(F.col("position"), F.col("n_tokens"), chunk_size, chunk_overlap)
-            ).alias("chunk_index"),
-            "position",
-            "token",
+            F.explode(F.sequence(block("first"), block("last"))).alias("block"),
+            F.struct("start", "n", "text", "first", "last").alias("run"),
         )
-        .groupBy("document_id", "chunk_index")
-        .agg(F.array_sort(F.collect_list(F.struct("position", "token"))).alias("words"))
+        .groupBy("document_id", "block")
+        .agg(F.array_sort(F.collect_list("run")).alias("runs"))
+    )
+    opens = F.col("block") * WINDOWS_TOGETHER
+    chunks = F.transform(F.sequence(opens, opens + WINDOWS_TOGETHER - 1), chunk)
+    own = F.col("own")
+    apart = F.forall(
+        F.zip_with(
+            F.slice(own, F.lit(1), F.size(own) - 1),
+            F.slice(own, F.lit(2), F.size(own) - 1),
+            lambda run, following: F.coalesce(
+                run["start"] + run["n"] <= following["start"], F.lit(False)
+            ),
+        ),
+        lambda right: right,
+    )
+    mixed = F.array_sort(F.flatten(F.transform(own, words)))
+    return (
+        grouped.select("document_id", F.inline(chunks))
+        .where(F.size("own") > 0)
         .select(
             "document_id",
             "chunk_index",
-            F.array_join(F.transform("words", lambda w: w["token"]), " ").alias("chunk_text"),
+            F.when(apart, F.array_join(F.transform(own, lambda run: run["text"]), " "))
+            .otherwise(F.array_join(F.transform(mixed, lambda w: w["token"]), " "))
+            .alias("chunk_text"),
         )
     )
 

@@ -10,6 +10,7 @@ from groundwell.functions.text import chunk_count, chunk_text, count_tokens, tok
 from groundwell.operators.chunking import (
     chunk_documents,
     chunk_documents_by_token,
+    chunk_token_rows,
     chunk_pages,
     coverage_audit,
     overlap_audit,
@@ -196,3 +197,59 @@ def test_a_page_without_a_number_is_kept(spark):
     )
     rows = {(r.document_id, r.chunk_index): r.chunk_text for r in chunk_pages(pages, 2, 0).collect()}
     assert rows == {("d", 0): "c d", ("d", 1): "a b", (None, 0): "e f"}
+
+
+def _shuffled_bytes(frame) -> int:
+    """Bytes of the rows that the exchanges of a frame passed on when it was collected."""
+    seen, todo = 0, [frame._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(plan.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(plan.plan())
+        else:
+            if kind == "ShuffleExchangeExec":
+                seen += plan.metrics().apply("dataSize").value()
+            children = plan.children()
+            todo += [children.apply(i) for i in range(children.size())]
+    return seen
+
+
+def test_token_rows_travel_as_runs(spark):
+    # A struct for each token took about nine times the text.
+    rows = [(f"d{i}", " ".join(f"w{i * j % 97}" for j in range(1000))) for i in range(40)]
+    frame = spark.createDataFrame(rows, "document_id STRING, text STRING")
+    chunks = chunk_documents_by_token(frame, 32, 8)
+    found = {(r.document_id, r.chunk_index): r.chunk_text for r in chunks.collect()}
+    assert found == {(d, i): c for d, t in rows for i, c in enumerate(windows(t, 32, 8))}
+    assert 0 < _shuffled_bytes(chunks) < 4 * sum(len(t) for _, t in rows)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_token_rows_in_any_order_and_twice(spark, parts):
+    rows = [
+        (None if i == 2 else f"d{i}", p, 50, None if (i, p) == (1, 7) else f"{'a b' if p == 9 else 'w'}{p}")
+        for i in range(4)
+        for p in range(50)
+    ]
+    rows += [("d3", p, 40, f"u{p}" if p % 3 else "") for p in range(40)]
+    rows += [("d0", None, 50, "x")]
+    frame = spark.createDataFrame(rows, "document_id STRING, position INT, n_tokens INT, token STRING")
+    if parts > 1:
+        frame = frame.repartition(parts, "position")
+    expected = {}
+    for d, p, n, t in rows:
+        last = max(0, -(-(n - 8) // 6))
+        first, stop = (0, last) if p is None else (max(0, -(-(p - 7) // 6)), min(p // 6, last))
+        for i in range(first, stop + 1):
+            expected.setdefault((d, i), []).append((p is not None, p or 0, t is not None, t or ""))
+    expected = {
+        key: " ".join(t for _, _, known, t in sorted(own) if known) for key, own in expected.items()
+    }
+    found = {
+        (r.document_id, r.chunk_index): r.chunk_text
+        for r in chunk_token_rows(frame, 8, 2).collect()
+    }
+    assert found == expected
