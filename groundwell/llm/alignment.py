@@ -5,7 +5,9 @@ are sorted by start with one ``lexsort``, their ends are accumulated by maximum,
 breaks where a start reaches the largest end so far. The overlaps inside the groups are the
 links between token occurrences.
 
-Each text is tokenized once. The id pairs that a chunk of documents holds are numbered inside
+Neither tokenizer joins a space to a character before it other than white space. So texts are cut
+there, and a worker tokenizes each distinct segment once while it remembers it; a vocabulary of
+which this is not known gets whole texts. The id pairs that a chunk of documents holds are numbered inside
 the chunk; Spark counts the pairs of all chunks, joins the counts back to (chunk, number), and
 each chunk's documents meet their own counts in one group of bounded size. Nothing that grows
 with the corpus is broadcast.
@@ -14,10 +16,12 @@ with the corpus is broadcast.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +35,11 @@ from groundwell.llm.common import Scratch, pieces, ready, saved
 VOCABULARY_A = "/opt/tokenizers/byte_bpe_50k.json"
 VOCABULARY_B = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text that are tokenized at once, and that make up a chunk.
-TOKENIZED_BYTES = 1 << 18
+TOKENIZED_BYTES = 1 << 20
 CHUNK_BYTES = 1 << 22
+#: Bytes of distinct segments whose tokens a worker keeps, and of those encoded as one string.
+KNOWN_BYTES = 1 << 22
+_STRING_BYTES = 1 << 13
 
 _COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 
@@ -46,12 +53,64 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 class _Codec:
-    """A tokenizer, and the bytes of each of its ids."""
+    """A tokenizer of texts after a space, and the bytes of each of its ids.
 
-    def __init__(self, encode, entries: list[bytes]) -> None:
+    ``parted`` tells that no token has a space after a character other than white space, and
+    that texts may be cut there.
+    """
+
+    def __init__(self, encode, entries: list[bytes], parted: bool = False) -> None:
         self.encode = encode
         self.entries = entries
+        self.parted = parted
         self.sizes = np.array([len(e) for e in entries], np.int64)
+        self._forget()
+
+    def _forget(self) -> None:
+        self._known: dict[bytes, int] = {}
+        self._held = 0
+        self._ids = self._many = np.zeros(0, np.int64)
+        self._spelt = np.zeros(0, bool)
+
+    def _keep(self, segments: list[bytes], ids: np.ndarray, many: np.ndarray, spelt: bool) -> None:
+        self._known.update(zip(segments, range(len(self._known), len(self._known) + len(segments))))
+        self._held += sum(map(len, segments))
+        self._ids = np.concatenate([self._ids, ids])
+        self._many = np.concatenate([self._many, many])
+        self._spelt = np.append(self._spelt, np.full(len(segments), spelt))
+
+    def _learn(self, strings: list[list[bytes]]) -> list[list[bytes]]:
+        """Encode strings of segments; returned are those that their tokens do not spell."""
+        whole = [b"".join(string) for string in strings]
+        found = self.encode([text.decode() for text in whole])
+        right = [
+            b"".join(map(self.entries.__getitem__, ids)) == text
+            for ids, text in zip(found, whole, strict=True)
+        ]
+        ids = np.array(list(chain.from_iterable(compress(found, right))), np.int64)
+        segments = list(chain.from_iterable(compress(strings, right)))
+        ends = np.cumsum([len(s) for s in segments], dtype=np.int64)
+        tokens = np.searchsorted(np.cumsum(self.sizes[ids]), ends, "right")
+        self._keep(segments, ids, np.diff(tokens, prepend=0), True)
+        return [string for string, ok in zip(strings, right, strict=True) if not ok]
+
+    def tokens(
+        self, segments: list[bytes], parted: bool
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``ids``, and of each of some distinct segments the place and number of its own there,
+        and whether they spell it."""
+        fresh = [s for s in segments if s not in self._known]
+        if self._held and self._held + sum(map(len, fresh)) > KNOWN_BYTES:
+            self._forget()
+            fresh = segments
+        if fresh:
+            wrong = self._learn(_strings(fresh) if parted else [[s] for s in fresh])
+            wrong = self._learn([[s] for string in wrong for s in string])
+            none = np.zeros(len(wrong), np.int64)
+            self._keep([s for (s,) in wrong], none[:0], none, False)
+        own = np.fromiter(map(self._known.__getitem__, segments), np.int64, len(segments))
+        places = (np.cumsum(self._many) - self._many)[own]
+        return self._ids, places, self._many[own], self._spelt[own]
 
 
 @lru_cache(maxsize=4)
@@ -67,11 +126,23 @@ def byte_level(path: str) -> _Codec:
         if all(c in alphabet for c in token):
             entries[number] = bytes(alphabet[c] for c in token)
 
-    def encode(texts: list[str]) -> list[list[int]]:
-        spaced = [" " + text for text in texts]
+    def encode(spaced: list[str]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast(spaced, add_special_tokens=False)]
 
-    return _Codec(encode, entries)
+    return _Codec(encode, entries, _splits_by_words(json.loads(tokenizer.to_str())))
+
+
+def _splits_by_words(told: dict) -> bool:
+    """Whether a byte-level tokenizer splits texts by the common pattern, in which white space
+    comes first in a word, and does nothing else to them."""
+    split = told["pre_tokenizer"] or {}
+    return (
+        told["normalizer"] is None
+        and split.get("type") == "ByteLevel"
+        and split.get("use_regex", True)
+        and not split["add_prefix_space"]
+        and all(t["special"] for t in told["added_tokens"])
+    )
 
 
 @lru_cache(maxsize=4)
@@ -85,7 +156,30 @@ def sentence_pieces(path: str) -> _Codec:
         else model.IdToPiece(i).replace("▁", " ").encode()
         for i in range(model.GetPieceSize())
     ]
-    return _Codec(lambda texts: model.encode(texts, num_threads=1), entries)
+    # The model puts the first space there itself.
+    return _Codec(
+        lambda spaced: model.encode([text[1:] for text in spaced], num_threads=1),
+        entries,
+        _keeps_words(model.serialized_model_proto()),
+    )
+
+
+def _keeps_words(serialized: bytes) -> bool:
+    """Whether a model merges pairs, takes texts as they are and has no piece in which a space
+    follows anything but spaces."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    told = sentencepiece_model_pb2.ModelProto.FromString(serialized)
+    rules = told.normalizer_spec
+    return (
+        told.trainer_spec.model_type == told.trainer_spec.BPE
+        and not told.trainer_spec.treat_whitespace_as_suffix
+        and not rules.precompiled_charsmap
+        and rules.add_dummy_prefix
+        and rules.escape_whitespaces
+        and not rules.remove_extra_whitespaces
+        and not any("▁" in p.piece.lstrip("▁") for p in told.pieces)
+    )
 
 
 @dataclass
@@ -116,14 +210,54 @@ class Aligned:
         return [np.bincount(owner, minlength=self.texts) for owner in owners]
 
 
-def _encoded(codec: _Codec, texts: list[str | None]) -> list[list[int] | None]:
-    """The ids of each text; None where it is empty or its tokens do not spell it."""
-    asked = [i for i, text in enumerate(texts) if text]
-    out: list[list[int] | None] = [None] * len(texts)
-    for i, ids in zip(asked, codec.encode([texts[i] for i in asked]), strict=True):
-        if b"".join(map(codec.entries.__getitem__, ids)) == b" " + texts[i].encode():
-            out[i] = ids
-    return out
+def _closes(last: np.ndarray, further: np.ndarray) -> np.ndarray:
+    """Whether a character is other than white space, by its last byte and the one before.
+
+    Some characters beyond ASCII that share bytes with white space count as such.
+    """
+    ascii_ = (last > 0x20) & (last < 0x7F)
+    return ascii_ | ((last > 0x7F) & ~np.isin(further, (0xC2, 0x80, 0x81, 0x9A, 0xA0)))
+
+
+def _segments(spaced: list[bytes], parted: bool) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct segments of some texts, which of them each text has in order, and where in
+    that row each text begins.
+
+    A cut is before a space that follows another character than white space in its text and does
+    not end it.
+    """
+    letters = np.frombuffer(b"".join(spaced), np.uint8)
+    ends = np.cumsum([len(t) for t in spaced], dtype=np.int64)
+    cut = np.zeros(len(letters) + 1, bool)
+    if parted:
+        cut[2:-1] = (letters[2:] == 0x20) & _closes(letters[1:-1], letters[:-2])
+        cut[ends - 1] = False
+    cut[ends] = True
+    cut[0] = True
+    at = np.flatnonzero(cut)
+    offsets, data = pa.array(at, pa.int64()), pa.py_buffer(letters)
+    every = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(at) - 1, [None, offsets.buffers()[1], data]
+    ).dictionary_encode()
+    starts = np.searchsorted(at, np.append(0, ends[:-1]))
+    return every.dictionary.to_pylist(), every.indices.to_numpy(), starts
+
+
+def _strings(segments: list[bytes]) -> list[list[bytes]]:
+    """Segments put together to strings that may be cut between them."""
+    size = np.array([len(s) for s in segments])
+    last, further = (np.array([s[i] for s in segments], np.uint8) for i in (-1, -2))
+    stop = ~_closes(last, further)
+    number = np.cumsum(size) // _STRING_BYTES
+    new = np.flatnonzero((number[1:] != number[:-1]) | stop[:-1]) + 1
+    cuts = [0, *new.tolist(), len(segments)]
+    return [segments[low:high] for low, high in zip(cuts, cuts[1:])]
+
+
+def _taken(ids: np.ndarray, places: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Stretches of ``ids``, one after the other."""
+    ends = np.cumsum(many)
+    return ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(places - ends + many, many)]
 
 
 def coalesce(
@@ -144,18 +278,20 @@ def coalesce(
 
 def align_texts(texts: list[str | None], first: _Codec, second: _Codec) -> Aligned:
     """The alignment of each text. Texts that one of the two does not spell have no tokens."""
-    kept = [
-        (i, x, y)
-        for i, (x, y) in enumerate(
-            zip(_encoded(first, texts), _encoded(second, texts), strict=True)
+    asked = np.array([i for i, text in enumerate(texts) if text], np.int64)
+    a = b = a_text = b_text = np.zeros(0, np.int64)
+    if len(asked):
+        parted = first.parted and second.parted
+        segments, own, starts = _segments([b" " + texts[i].encode() for i in asked.tolist()], parted)
+        sides = [codec.tokens(segments, parted) for codec in (first, second)]
+        rows = np.repeat(np.arange(len(asked)), np.diff(np.append(starts, len(own))))
+        spelt = (sides[0][3] & sides[1][3])[own]
+        kept = np.logical_and.reduceat(spelt, starts)[rows]
+        own, rows = own[kept], asked[rows[kept]]
+        (a, a_text), (b, b_text) = (
+            (_taken(ids, places[own], many[own]), np.repeat(rows, many[own]))
+            for ids, places, many, _ in sides
         )
-        if x is not None and y is not None
-    ]
-    rows = np.array([i for i, _, _ in kept], np.int64)
-    a = np.array([t for _, ids, _ in kept for t in ids], np.int64)
-    b = np.array([t for _, _, ids in kept for t in ids], np.int64)
-    a_text = np.repeat(rows, [len(ids) for _, ids, _ in kept])
-    b_text = np.repeat(rows, [len(ids) for _, _, ids in kept])
     a_end, b_end = np.cumsum(first.sizes[a]), np.cumsum(second.sizes[b])
     a_start, b_start = a_end - first.sizes[a], b_end - second.sizes[b]
     a_group, b_group, group_end = coalesce(a_start, a_end, b_start, b_end)
@@ -171,6 +307,20 @@ def align_texts(texts: list[str | None], first: _Codec, second: _Codec) -> Align
     )
 
 
+@lru_cache(maxsize=4)
+def _decimals_below(top: int) -> tuple[np.ndarray, np.ndarray]:
+    """The decimal digits of each number below ``top`` and a comma, after zero bytes, and how
+    many bytes that are."""
+    written = [b"%d," % i for i in range(top)]
+    size = max(map(len, written))
+    cells = np.frombuffer(b"".join(w.rjust(size, b"\0") for w in written), np.uint8)
+    return cells.reshape(-1, size), np.array([len(w) for w in written])
+
+
+def _decimals(largest: int) -> tuple[np.ndarray, np.ndarray]:
+    return _decimals_below(1 << max(16, largest.bit_length()))
+
+
 def group_digests(found: Aligned) -> list[str]:
     """SHA-256 of ``a1,a2|b1;a3|b2,b3`` for each text, "" for one without tokens."""
     ids = np.concatenate([found.a, found.b])
@@ -178,17 +328,12 @@ def group_digests(found: Aligned) -> list[str]:
     order = np.argsort(key, kind="stable")
     ids, key = ids[order], key[order]
     text = np.concatenate([found.a_text, found.b_text])[order]
-    width = len(str(max(int(ids.max()), 1))) if len(ids) else 1
-    cells = np.zeros((len(ids), width + 1), np.uint8)
-    rest = ids.copy()
-    for place in range(width - 1, -1, -1):
-        cells[:, place] = np.where((rest > 0) | (place == width - 1), rest % 10 + 48, 0)
-        rest //= 10
-    cells[:, width] = ord(",")
+    digits, width = _decimals(int(ids.max()) if len(ids) else 0)
+    cells = digits[ids]
     last = np.ones(len(ids), bool)
     last[:-1] = key[1:] != key[:-1]
-    cells[last, width] = np.where(key[last] % 2 == 0, ord("|"), ord(";"))
-    sizes = np.bincount(text, np.count_nonzero(cells, axis=1), found.texts).astype(np.int64)
+    cells[last, -1] = np.where(key[last] % 2 == 0, ord("|"), ord(";"))
+    sizes = np.bincount(text, width[ids], found.texts).astype(np.int64)
     written = cells[cells != 0].tobytes()
     ends = np.cumsum(sizes)
     return [

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -102,3 +103,41 @@ def test_alignment_of_nothing(spark):
     assert alignment.alignments(empty).count() == 0
     nulls = spark.createDataFrame([(1, None), (2, "")], "doc_id bigint, text string")
     assert [r.n_links for r in alignment.link_scores(nulls).collect()] == [0, 0]
+
+
+def test_parted_texts_have_the_tokens_of_whole_ones(monkeypatch):
+    rng = random.Random(5)
+    marks = [" ", " ", " ", "  ", "\n", "\t", "\r\n", " ", "　", "᠎", " ", "\x1c", "\x00",
+             "\u0085", "▁", "'s", "'ll", "7", "42", "é", "à", "中", "🙂", "-", "...", "<s>", "the", "Ab"]
+    texts = ["".join(rng.choices(marks, k=rng.randrange(1, 60))) for _ in range(3000)]
+    codecs = [
+        alignment.byte_level(alignment.VOCABULARY_A),
+        alignment.sentence_pieces(alignment.VOCABULARY_B),
+    ]
+    assert all(c.parted for c in codecs)
+    whole = [alignment._Codec(c.encode, c.entries) for c in codecs]
+    monkeypatch.setattr(alignment, "KNOWN_BYTES", 2000)  # forgotten again and again
+    for low in range(0, len(texts), 500):
+        some = texts[low : low + 500]
+        found, expected = (alignment.align_texts(some, *pair) for pair in (codecs, whole))
+        for name in ("a", "b", "a_text", "b_text", "group_text", "link_a", "link_b"):
+            assert getattr(found, name).tolist() == getattr(expected, name).tolist()
+        assert alignment.group_digests(found) == alignment.group_digests(expected)
+
+
+def test_distinct_words_are_tokenized_once(monkeypatch):
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefgh", k=9)) for _ in range(300)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(40)]
+    codecs = [
+        alignment.byte_level.__wrapped__(alignment.VOCABULARY_A),
+        alignment.sentence_pieces.__wrapped__(alignment.VOCABULARY_B),
+    ]
+    seen: list[list[str]] = [[], []]
+    for codec, own in zip(codecs, seen, strict=True):
+        encode = codec.encode
+        monkeypatch.setattr(codec, "encode", lambda s, own=own, e=encode: own.extend(s) or e(s))
+    for low in (0, 20):
+        alignment.align_texts(texts[low : low + 20], *codecs)
+    for own in seen:
+        assert 0 < sum(map(len, own)) < sum(map(len, texts)) / 10
