@@ -6,6 +6,8 @@ on a tie). Equal windows have equal anchors and meet in one shard; the windows t
 occurrence covers are consecutive and travel as one segment. Each shard sorts the suffixes of its
 distinct segments by induction (``suffixes``), takes the permuted common prefixes, and the windows
 of one run of suffixes that share ``window`` bytes or more are equal: byte by byte, not by hash.
+Segments without a window whose hash another place of the shard has too are equal to nothing and
+are left out of the sort.
 
 Before texts travel, anchors that occur in one document only drop out: tasks send lists of
 anchor hashes, and are told which of them another document has too. Anchors with very many
@@ -350,11 +352,54 @@ def _segments_sent(
     )
 
 
+def _sharing(texts: list[bytes], window: int) -> np.ndarray:
+    """The texts with a window whose hash occurs at another place of theirs."""
+    letters = np.frombuffer(b"".join(texts), np.uint8)
+    size = np.array([len(t) for t in texts], np.int64)
+    end = np.cumsum(size)
+    # Windows that start in the last bytes of a text are none.
+    whole = np.ones(max(len(letters) - window + 1, 0), bool)
+    at = np.maximum(end - window + 1, end - size)
+    edge = np.zeros(len(letters) + 1, np.int8)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, end, -1)
+    whole &= (np.cumsum(edge, dtype=np.int8) == 0)[: len(whole)]
+    with np.errstate(over="ignore"):
+        hashes = [
+            _grams(letters[low : low + _SLICE + window - 1], window)[whole[low : low + _SLICE]]
+            for low in range(0, len(whole), _SLICE)
+        ]
+    if not hashes:
+        return np.zeros(0, np.int64)
+    keys = np.concatenate(hashes)
+    order = np.argsort(keys)
+    same = np.flatnonzero(keys[order[1:]] == keys[order[:-1]])
+    place = np.flatnonzero(whole)[order[np.union1d(same, same + 1)]]
+    return np.unique(np.searchsorted(end, place, "right"))
+
+
 def earliest(texts: list[bytes], docs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """For each byte of the joined texts (a separator after each) the least of ``docs`` among the
     texts that hold the window starting there; and where each text starts."""
     size = np.array([len(t) for t in texts], np.int64)
     begin = np.cumsum(size + 1) - size - 1
+    n = np.maximum(size - window + 1, 0)
+    least = np.full(int((size + 1).sum()), _NEVER)
+    least[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())] = np.repeat(docs, n)
+    some = _sharing(texts, window)
+    if len(some):
+        found, _ = _sorted_earliest([texts[i] for i in some.tolist()], docs[some], window)
+        many = size[some] + 1
+        least[np.repeat(begin[some] - np.cumsum(many) + many, many) + np.arange(len(found))] = found
+    return least, begin
+
+
+def _sorted_earliest(
+    texts: list[bytes], docs: np.ndarray, window: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """As ``earliest``, by sorting all suffixes."""
+    size = np.array([len(t) for t in texts], np.int64)
+    begin = np.cumsum(size + 1) - size - 1
     # Letters from 1, so that the separator is like none of them.
     letters = np.zeros(int((size + 1).sum()), np.uint16)
     inside = np.ones(len(letters), bool)

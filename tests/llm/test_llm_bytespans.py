@@ -104,3 +104,38 @@ def test_earlier_strings_of_nothing(spark):
     assert bytespans.remove_earlier(empty).count() == 0
     rows = spark.createDataFrame([(1, None), (2, "")], "doc_id bigint, text string")
     assert [bytes(r.kept) for r in bytespans.remove_earlier(rows).collect()] == [b"", b""]
+
+
+def test_earliest_matches_brute_force():
+    rng = random.Random(3)
+    for _ in range(200):
+        window, kinds = rng.choice([1, 3, 5, 50]), rng.choice([b"ab\x00\xff", bytes(range(97, 123))])
+        sizes = [0, 1, window - 1, window, window + 1, 20, 80]
+        made = [bytes(rng.choices(kinds, k=rng.choice(sizes))) for _ in range(rng.randrange(1, 12))]
+        texts = list(dict.fromkeys([*made, made[0][:60] + b"zz" + made[0][10:]]))
+        docs = [rng.randrange(9) for _ in texts]
+        least: dict[bytes, int] = {}
+        for text, doc in zip(texts, docs, strict=True):
+            for i in range(len(text) - window + 1):
+                own = text[i : i + window]
+                least[own] = min(least.get(own, doc), doc)
+        expected = [
+            least.get(text[i : i + window], bytespans._NEVER)
+            if i + window <= len(text) else bytespans._NEVER
+            for text in texts for i in range(len(text) + 1)
+        ]
+        assert bytespans.earliest(texts, np.array(docs), window)[0].tolist() == expected
+
+
+def test_segments_equal_to_nothing_are_not_sorted(monkeypatch):
+    rng = random.Random(4)
+    texts = [bytes(rng.choices(range(256), k=200)) for _ in range(50)]
+    texts.append(texts[7][20:90] + b"end")
+    sorted_, sort = [], bytespans.suffix_array
+    monkeypatch.setattr(
+        bytespans, "suffix_array", lambda s, k: sorted_.append(len(s)) or sort(s, k)
+    )
+    least, begin = bytespans.earliest(texts, np.arange(51)[::-1].copy(), 50)
+    assert sorted_ == [len(texts[7]) + len(texts[50]) + 2]
+    at = begin[7] + 20
+    assert least[at : at + 21].tolist() == [0] * 21 and least[at - 1] == least[at + 21] == 43
